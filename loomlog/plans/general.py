@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.operators import instants, nested, parse_failures, schema_drift
+from loomlog.operators import forest, instants, nested, parse_failures, schema_drift
 from loomlog.tables import stored, table
 
 
@@ -65,4 +65,39 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return instants.normalised(rows, instants.dictionary(rows, stored))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p1_table, p2_found, p2_rejected, p2_records, p4_found, p4_bridge, p4_objects, p6_found)}
+#: So many messages that follow one another by seq are taken to lie close together in their tree.
+PLACE_ROWS = 4096
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    """The three tables of parent-child links as nodes of one forest. Only messages have a hint of what lies close together."""
+
+    def of(name: str, node: str, parent: str, place, order) -> DataFrame:
+        return table(spark, d, name).select(
+            F.lit(name).alias("origin"), F.col(node).cast("string").alias("node"), F.col(parent).cast("string").alias("parent"),
+            place.alias("place"), order.alias("ord"), F.lit(1).cast("long").alias("w0"), F.lit(0).cast("long").alias("w1"), F.lit(0).cast("long").alias("tag"),
+        )
+
+    near = F.concat_ws("/", F.coalesce("session_id", F.lit("")), F.coalesce(F.floor(F.col("seq") / PLACE_ROWS).cast("string"), F.col("uuid")))
+    return (
+        of("chat_messages", "uuid", "parent_uuid", near, F.col("seq"))
+        .unionByName(of("sessions", "session_id", "parent_session_id", F.col("session_id").cast("string"), F.col("session_id")))
+        .unionByName(of("store_sessions", "store_session_id", "parent_session_id", F.col("store_session_id"), F.lit(0).cast("long")))
+    )
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = forest.hierarchy(_links(spark, d), stored)
+    return rows.select("origin", F.col("node").alias("node_id"), F.coalesce("root", F.lit("")).alias("root_id"), "depth")
+
+
+def p7_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Each node's root, depth, path and descendants: those of its root with walk_no in (walk_no, walk_no + descendants]."""
+    rows = forest.ordered_hierarchy(_links(spark, d), stored)
+    return rows.select(
+        "origin", F.col("node").alias("node_id"), F.col("parent").alias("parent_id"), F.coalesce("root", F.lit("")).alias("root_id"), "depth",
+        F.col("before").alias("walk_no"), F.col("below0").alias("descendants"), "path_from", "path",
+    )
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p1_table, p2_found, p2_rejected, p2_records, p4_found, p4_bridge, p4_objects, p6_found, p7_found, p7_tree)}
