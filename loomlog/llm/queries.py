@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import conversations
+from loomlog.llm import conversations, encoding, mixing, splitting
 from loomlog.operators import instants
 from loomlog.tables import stored, table
 
@@ -22,5 +22,29 @@ def p5_turns(spark: SparkSession, d: str) -> DataFrame:
     return conversations.corrected(stored(conversations.turns(messages, stored), "turns"), stamps)
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_turns)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.ids(table(spark, d, "documents"))
+
+
+def _mixed(spark: SparkSession, d: str):
+    sizes = stored(encoding.sizes(table(spark, d, "documents")), "sizes")
+    return mixing.mix(sizes, table(spark, d, "mix_targets"), stored)
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The used documents of each mix with their number of uses."""
+    return _mixed(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of the tokens that each source really has."""
+    return mixing.shares(*_mixed(spark, d))
+
+
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    limits = table(spark, d, "split_limits").orderBy("limit_name").collect()  # a fixed table
+    return splitting.split(table(spark, d, "documents"), [(r["limit_name"], r["tokenizer_name"], r["max_tokens"], r["overlap_tokens"]) for r in limits])
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_turns, p8_ids, p9_mix, p9_shares, p10_pieces)}
 ORACLE_SQL: dict[str, str] = {}
