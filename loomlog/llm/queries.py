@@ -5,11 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import conversations, encoding, mixing, splitting
+from loomlog.llm import conversations, encoding, mixing, secrets, splitting
 from loomlog.operators import instants
 from loomlog.tables import stored, table
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    def of(name: str, key: str, text: str) -> DataFrame:
+        return table(spark, d, name).select(F.lit(name).alias("origin"), F.col(key).alias("row_id"), F.col(text).alias("text"))
+
+    return of("file_timelines", "backup_id", "content").unionByName(of("chat_messages", "row_id", "content")).unionByName(of("preference_examples", "example_id", "proposal_content"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.places(_texts(spark, d))
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.redacted(_texts(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.turns(table(spark, d, "chat_messages"), stored).select("session_id", "turn_no", "uuid")
 
@@ -46,5 +61,5 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(table(spark, d, "documents"), [(r["limit_name"], r["tokenizer_name"], r["max_tokens"], r["overlap_tokens"]) for r in limits])
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_turns, p8_ids, p9_mix, p9_shares, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p5_found, p5_turns, p8_ids, p9_mix, p9_shares, p10_pieces)}
 ORACLE_SQL: dict[str, str] = {}
