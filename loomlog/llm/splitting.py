@@ -12,6 +12,7 @@ one piece. Pieces cover the text without gaps, and each ends beyond the one befo
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame
 
 from loomlog.llm import tokenizers
 
+#: So many chunks of texts, at least, are cut together.
+TOGETHER = 40_000
 _SENTENCE_ENDS = tuple(".!?…。！？")
 _LINE, _SPACE, _INSIDE = 2, 1, 0
 
@@ -43,81 +46,159 @@ def _finer(tokenizer, chunk: str, most: int) -> list[tuple[str, int]]:
     return found
 
 
-def atoms(tokenizer, text: str, most: int, chunks: list[str], counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
-    """Where each boundary stands, the tokens before it, its kind, and whether the tokens are upper bounds."""
-    kinds = [_LINE, *(_LINE if "\n" in after or before.endswith(_SENTENCE_ENDS) else _SPACE for before, after in zip(chunks, chunks[1:]))]
-    rough = False
-    if max(counts) > most:
-        new: list[tuple[str, int, int]] = []
-        for chunk, n, kind in zip(chunks, counts, kinds):
-            if n <= most:
-                new.append((chunk, n, kind))
-                continue
-            parts = _finer(tokenizer, chunk, most)
-            rough = rough or any(len(p) == 1 for p, _ in parts)
-            new += [(p, k, _INSIDE if i else kind) for i, (p, k) in enumerate(parts)]
-        chunks, counts, kinds = (list(x) for x in zip(*new))
-    at = np.concatenate(([0], np.cumsum([len(c) for c in chunks])))
-    before = np.concatenate(([0], np.cumsum(counts)))
-    return at, before, np.array([*kinds, _LINE]), rough
-
-
-def cuts(before: np.ndarray, kinds: np.ndarray, most: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first and last boundary of each piece."""
-    m = len(before) - 1
-    here = np.arange(m + 1)
-    far = np.minimum(np.searchsorted(before, before + most, "right") - 1, m)
-    last_line = np.maximum.accumulate(np.where(kinds >= _LINE, here, -1))[far]
-    last_space = np.maximum.accumulate(np.where(kinds >= _SPACE, here, -1))[far]
-    end = np.where(last_space > here, last_space, far)
-    end = np.where((last_line > here) & (before[last_line] - before >= most / 2), last_line, end)
-    end = np.where(far == m, m, np.maximum(end, np.minimum(here + 1, m)))
-    start = np.minimum(np.searchsorted(before, before[end] - overlap, "right") - 1, end)
+class Lexicon(dict):
+    """Chunks by number, with the length, the kind of its ends and the tokens of each, for all tokenizers at once."""
+
+    def __init__(self, names: list[str], folder: str):
+        super().__init__()
+        self.tokenizers = [tokenizers.load(n, folder) for n in names]
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.lengths, self.ends, self.counts = array("i"), array("b"), [array("i") for _ in self.tokenizers]
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = number = len(self.lengths)
+        self.lengths.append(len(chunk))
+        self.ends.append(("\n" in chunk) + 2 * chunk.endswith(_SENTENCE_ENDS))
+        for tokenizer, counts in zip(self.tokenizers, self.counts):
+            counts.append(tokenizer.counts.make(chunk))
+        return number
+
+    def numbers(self, chunks: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, chunks), "int64", count=len(chunks))
+
+
+def _with_starts(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Running sums over texts that stand one after another: each text has one boundary more than chunks."""
+    padded = np.zeros(len(values) + len(sizes), "int64")
+    at = np.arange(len(values)) + np.repeat(np.arange(1, len(sizes) + 1), sizes)
+    padded[at] = values
+    return np.cumsum(padded)
+
+
+def cuts(before: np.ndarray, kinds: np.ndarray, first: np.ndarray, most: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last boundary of each piece, for texts whose boundaries stand one after another.
+
+    before: tokens before each boundary, running on from text to text; first: where each text's boundaries begin."""
+    n = len(before)
+    here = np.arange(n)
+    edge = np.append(first[1:], n) - 1
+    stop = np.repeat(edge, np.diff(np.append(first, n)))
+    far = np.minimum(np.searchsorted(before, before + most, "right") - 1, stop)
+    line = np.maximum.accumulate(np.where(kinds >= _LINE, here, -1))[far]
+    space = np.maximum.accumulate(np.where(kinds >= _SPACE, here, -1))[far]
+    end = np.where(space > here, space, far)
+    end = np.where((line > here) & (before[line] - before >= most / 2), line, end)
+    end = np.where(far == stop, stop, np.maximum(end, np.minimum(here + 1, stop)))
+    start = np.minimum(np.searchsorted(before, before[end] - overlap, "right") - 1, end) if overlap else end
     start = np.maximum(start, np.minimum(here + 1, end))
     start = np.where(end[start] <= end, end, start)
-    start = np.where(end == m, here, start)  # the last piece
-    reached = np.zeros(m + 1, bool)
-    reached[0] = True
-    table = start
-    for _ in range(max(1, int(m).bit_length() + 1)):
+    table = np.where(end == stop, here, start)  # the last piece leads to itself
+    reached = np.zeros(n, bool)
+    reached[first] = True
+    marked = len(first)
+    while True:
         reached[table[np.nonzero(reached)[0]]] = True
+        now = int(np.count_nonzero(reached))
+        if now == marked:
+            break
+        marked = now
         table = table[table]
     starts = np.nonzero(reached)[0]
     return starts, end[starts]
 
 
-def pieces(tokenizer, text: str, most: int, overlap: int, chunks: list[str] | None = None) -> list[tuple[int, int, int]]:
-    """(start, end, tokens) of each piece, in characters."""
-    chunks = tokenizers.CHUNK.findall(text) if chunks is None else chunks
+def _kinds(ends: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The kind of each boundary from the ends of the chunks around it."""
+    total = len(ends) + len(sizes)
+    after, prior = np.zeros(total, "int8"), np.zeros(total, "int8")
+    at = np.arange(len(ends)) + np.repeat(np.arange(len(sizes)), sizes)
+    after[at], prior[at + 1] = ends & 1, ends & 2
+    kinds = np.where((after > 0) | (prior > 0), _LINE, _SPACE)
+    kinds[first] = _LINE
+    kinds[first + sizes] = _LINE
+    return kinds
+
+
+def pieces(tokenizer, text: str, most: int, overlap: int) -> list[tuple[int, int, int]]:
+    """(start, end, tokens) of each piece of one text, in characters."""
+    chunks = tokenizers.CHUNK.findall(text)
     if not chunks:
         return []
     counts = tokenizer.chunk_counts(chunks)
     if sum(counts) <= most:
         return [(0, len(text), sum(counts))]
-    at, before, kinds, rough = atoms(tokenizer, text, most, chunks, counts)
-    first, last = cuts(before, kinds, most, overlap)
-    a, b, n = at[first].tolist(), at[last].tolist(), (before[last] - before[first]).tolist()
-    if rough:
-        n = [tokenizer.count(text[x:y]) for x, y in zip(a, b)]
+    parts: list[tuple[str, int, int]] = []
+    rough = False
+    for i, (chunk, n) in enumerate(zip(chunks, counts)):
+        kind = _LINE if not i or "\n" in chunk or chunks[i - 1].endswith(_SENTENCE_ENDS) else _SPACE
+        finer = [(chunk, n)] if n <= most else _finer(tokenizer, chunk, most)
+        rough = rough or n > most
+        parts += [(p, k, _INSIDE if j else kind) for j, (p, k) in enumerate(finer)]
+    at = np.concatenate(([0], np.cumsum([len(p) for p, _, _ in parts])))
+    before = np.concatenate(([0], np.cumsum([k for _, k, _ in parts])))
+    first, last = cuts(before, np.array([*(k for _, _, k in parts), _LINE]), np.array([0]), most, overlap)
+    a, b = at[first].tolist(), at[last].tolist()
+    n = [tokenizer.count(text[x:y]) for x, y in zip(a, b)] if rough else (before[last] - before[first]).tolist()
     return list(zip(a, b, n))
 
 
+def pieces_of_many(lexicon: Lexicon, which: int, numbered: list[tuple[int, str, np.ndarray]], most: int, overlap: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text, piece_no, start, end, tokens) of texts given with the numbers of their chunks: those within the limit at once, those with
+    too long chunks one by one, all others together."""
+    counts = np.array(lexicon.counts[which])
+    long: list[tuple[int, np.ndarray]] = []
+    for k, text, numbers in numbered:
+        own = counts[numbers]
+        total = int(own.sum())
+        if total <= most:
+            yield k, 1, 0, len(text), total
+        elif int(own.max()) > most:
+            for i, (a, b, n) in enumerate(pieces(lexicon.tokenizers[which], text, most, overlap)):
+                yield k, i + 1, a, b, n
+        else:
+            long.append((k, numbers))
+    if not long:
+        return
+    numbers, sizes = np.concatenate([x for _, x in long]), np.array([len(x) for _, x in long])
+    first = np.concatenate(([0], np.cumsum(sizes[:-1] + 1)))
+    before = _with_starts(counts[numbers], sizes)
+    at = _with_starts(np.array(lexicon.lengths)[numbers], sizes)
+    starts, ends = cuts(before, _kinds(np.array(lexicon.ends)[numbers], first, sizes), first, most, overlap)
+    owner = np.searchsorted(first, starts, "right") - 1
+    number = np.arange(len(starts)) - np.searchsorted(owner, owner, "left") + 1
+    base = at[first][owner]
+    keys = [k for k, _ in long]
+    for o, i, a, b, n in zip(owner.tolist(), number.tolist(), (at[starts] - base).tolist(), (at[ends] - base).tolist(), (before[ends] - before[starts]).tolist()):
+        yield keys[o], i, a, b, n
+
+
 def split(documents: DataFrame, limits: list[tuple[str, str, int, int]], folder: str = tokenizers.FOLDER) -> DataFrame:
     """(doc_id, limit_name, piece_no, start_char, end_char, n_tokens, text); limits: (limit_name, tokenizer_name, max_tokens, overlap_tokens)."""
+    used = sorted({t for _, t, _, _ in limits})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = [(name, tokenizers.load(t, folder), most, min(overlap, most // 2)) for name, t, most, overlap in limits]
+        lexicon = Lexicon(used, folder)
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not text:
-                    continue
-                chunks = tokenizers.CHUNK.findall(text)
-                for name, tokenizer, most, overlap in loaded:
-                    for k, (a, b, n) in enumerate(pieces(tokenizer, text, most, overlap, chunks)):
-                        for column, x in zip(out, (doc_id, name, k + 1, a, b, n, text[a:b])):
-                            column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            numbered: list[tuple[int, str, np.ndarray]] = []
+            waiting = 0
+            for k, text in enumerate(texts):
+                if text:
+                    numbered.append((k, text, lexicon.numbers(tokenizers.CHUNK.findall(text))))
+                    waiting += len(numbered[-1][2])
+                if numbered and (waiting >= TOGETHER or k + 1 == len(texts)):
+                    out: tuple[list, ...] = ([], [], [], [], [], [], [])
+                    for name, tokenizer, most, overlap in limits:
+                        for at, i, a, b, n in pieces_of_many(lexicon, used.index(tokenizer), numbered, most, min(overlap, most // 2)):
+                            for column, x in zip(out, (ids[at], name, i, a, b, n, texts[at][a:b])):
+                                column.append(x)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+                    numbered, waiting = [], 0
+                    if len(lexicon) > tokenizers.REMEMBERED:
+                        lexicon.forget()
 
     names = ["doc_id", "limit_name", "piece_no", "start_char", "end_char", "n_tokens", "text"]
     types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]

@@ -11,6 +11,7 @@ import base64
 import heapq
 import json
 import os
+import re
 import unicodedata
 from collections.abc import Callable
 from itertools import chain
@@ -31,30 +32,53 @@ _BYTE_WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}
 _WORD_WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 _NONE = 1 << 60
 #: A chunk is a run of white space and the run of other characters after it; words never go beyond a chunk.
-CHUNK = regex.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+CHUNK = re.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _TWO_SPACES = regex.compile(rf"[{SPACE}][{SPACE}]")
 
 
-def merge(symbols, rank: Callable[[int, int, int], int]) -> list[int]:
-    """The boundaries that are left when all merges are done. rank(a, b, c): of the parts a..b and b..c, _NONE if they don't merge."""
-    n = len(symbols)
+def merge_bytes(data: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The boundaries that are left when all merges of a word's bytes are done."""
+    n, get = len(data), ranks.get
     if n > LONG:
-        return _merge_long(n, rank)
+        return _merge_long(n, lambda a, b, c: get(data[a:c], _NONE))
     bounds = list(range(n + 1))
-    ranks = [rank(i, i + 1, i + 2) for i in range(n - 1)]
-    while ranks:
-        least = min(ranks)
+    beside = [get(data[i : i + 2], _NONE) for i in range(n - 1)]
+    while beside:
+        least = min(beside)
         if least == _NONE:
             break
-        i = ranks.index(least)
-        del bounds[i + 1], ranks[i]
-        if i < len(ranks):
-            ranks[i] = rank(bounds[i], bounds[i + 1], bounds[i + 2])
+        i = beside.index(least)
+        del bounds[i + 1], beside[i]
+        if i < len(beside):
+            beside[i] = get(data[bounds[i] : bounds[i + 2]], _NONE)
         if i:
-            ranks[i - 1] = rank(bounds[i - 1], bounds[i], bounds[i + 1])
+            beside[i - 1] = get(data[bounds[i - 1] : bounds[i + 1]], _NONE)
     return bounds
 
 
+def merge_symbols(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """The parts that are left when all merges of a word's symbols are done; here the parts themselves stand for the boundaries."""
+    n, get = len(symbols), ranks.get
+    if n > LONG:
+        joined = lambda a, b: "".join(symbols[a:b])
+        bounds = _merge_long(n, lambda a, b, c: get((joined(a, b), joined(b, c)), _NONE))
+        return [joined(a, b) for a, b in zip(bounds, bounds[1:])]
+    parts = symbols
+    beside = [get(pair, _NONE) for pair in zip(parts, parts[1:])]
+    while beside:
+        least = min(beside)
+        if least == _NONE:
+            break
+        i = beside.index(least)
+        parts[i] += parts.pop(i + 1)
+        del beside[i]
+        if i < len(beside):
+            beside[i] = get((parts[i], parts[i + 1]), _NONE)
+        if i:
+            beside[i - 1] = get((parts[i - 1], parts[i]), _NONE)
+    return parts
+
+
 def _merge_long(n: int, rank) -> list[int]:
     after, before = list(range(1, n + 2)), list(range(-1, n))
     alive = [True] * n
@@ -113,7 +137,7 @@ class ByteBPE:
         ranks = self.ranks
         if data in ranks:
             return (ranks[data],)
-        bounds = merge(data, lambda a, b, c: ranks.get(data[a:c], _NONE))
+        bounds = merge_bytes(data, ranks)
         return tuple(ranks[data[a:b]] for a, b in zip(bounds, bounds[1:]))
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
@@ -173,10 +197,7 @@ class WordBPE:
     def _word(self, word: str) -> tuple[int, ...]:
         symbols = [self.visible[b] for b in word.encode("utf-8", "replace")]
         symbols[-1] += self.suffix
-        get = self.ranks.get
-        joined = lambda a, b: "".join(symbols[a:b])
-        bounds = merge(symbols, lambda a, b, c: get((joined(a, b), joined(b, c)), _NONE))
-        return tuple(self.vocab[joined(a, b)] for a, b in zip(bounds, bounds[1:]))
+        return tuple(map(self.vocab.__getitem__, merge_symbols(symbols, self.ranks)))
 
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(map(self.words.__getitem__, self.find(self.normal(text))))) if text else []
