@@ -27,23 +27,24 @@ _SENTENCE_ENDS = tuple(".!?…。！？")
 _LINE, _SPACE, _INSIDE = 2, 1, 0
 
 
-def _finer(tokenizer, chunk: str, most: int) -> list[tuple[str, int]]:
-    """A chunk of too many tokens as words, and words as characters where needed; characters count as much as they can at most."""
-    spans = tokenizer.word_spans(chunk) or [(chunk, most + 1)]
-    joined: list[list] = []
-    for text, n in spans:  # white space stays with the word after it
-        if joined and not joined[-1][0].strip(tokenizers.STRIP):
-            joined[-1][0] += text
-            joined[-1][1] += n
-        else:
-            joined.append([text, n])
-    found: list[tuple[str, int]] = []
-    for text, n in joined:
+def _finer(tokenizer, chunk: str, most: int) -> tuple[list[int], list[int], bool]:
+    """The lengths and tokens of a chunk's words, where it has too many tokens, and of the characters of too long words; the last says
+    whether there are such: characters count as much as they can at most."""
+    lengths, counts = tokenizer.spans(chunk) or ([len(chunk)], [most + 1])
+    if max(counts) <= most:
+        return lengths, counts, False
+    fine: tuple[list[int], list[int]] = ([], [])
+    at = 0
+    for length, n in zip(lengths, counts):
         if n <= most:
-            found.append((text, n))
+            fine[0].append(length)
+            fine[1].append(n)
         else:
-            found += [(c, tokenizer.most(c)) for c in text]
-    return found
+            word = chunk[at : at + length]
+            fine[0].extend([1] * length)
+            fine[1].extend([1] * length if word.isascii() else map(tokenizer.most, word))
+        at += length
+    return *fine, True
 
 
 class Lexicon(dict):
@@ -130,49 +131,74 @@ def pieces(tokenizer, text: str, most: int, overlap: int) -> list[tuple[int, int
     counts = tokenizer.chunk_counts(chunks)
     if sum(counts) <= most:
         return [(0, len(text), sum(counts))]
-    parts: list[tuple[str, int, int]] = []
+    lengths: list[int] = []
+    tokens: list[int] = []
+    kinds: list[int] = []
     rough = False
     for i, (chunk, n) in enumerate(zip(chunks, counts)):
-        kind = _LINE if not i or "\n" in chunk or chunks[i - 1].endswith(_SENTENCE_ENDS) else _SPACE
-        finer = [(chunk, n)] if n <= most else _finer(tokenizer, chunk, most)
-        rough = rough or n > most
-        parts += [(p, k, _INSIDE if j else kind) for j, (p, k) in enumerate(finer)]
-    at = np.concatenate(([0], np.cumsum([len(p) for p, _, _ in parts])))
-    before = np.concatenate(([0], np.cumsum([k for _, k, _ in parts])))
-    first, last = cuts(before, np.array([*(k for _, _, k in parts), _LINE]), np.array([0]), most, overlap)
+        kinds.append(_LINE if not i or "\n" in chunk or chunks[i - 1].endswith(_SENTENCE_ENDS) else _SPACE)
+        if n <= most:
+            lengths.append(len(chunk))
+            tokens.append(n)
+            continue
+        more, their, bounds = _finer(tokenizer, chunk, most)
+        lengths += more
+        tokens += their
+        kinds += [_INSIDE] * (len(more) - 1)
+        rough = rough or bounds
+    at = np.concatenate(([0], np.cumsum(lengths)))
+    before = np.concatenate(([0], np.cumsum(tokens)))
+    first, last = cuts(before, np.array([*kinds, _LINE]), np.array([0]), most, overlap)
     a, b = at[first].tolist(), at[last].tolist()
     n = [tokenizer.count(text[x:y]) for x, y in zip(a, b)] if rough else (before[last] - before[first]).tolist()
     return list(zip(a, b, n))
 
 
-def pieces_of_many(lexicon: Lexicon, which: int, numbered: list[tuple[int, str, np.ndarray]], most: int, overlap: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, piece_no, start, end, tokens) of texts given with the numbers of their chunks: those within the limit at once, those with
-    too long chunks one by one, all others together."""
-    counts = np.array(lexicon.counts[which])
-    long: list[tuple[int, np.ndarray]] = []
-    for k, text, numbers in numbered:
-        own = counts[numbers]
-        total = int(own.sum())
-        if total <= most:
-            yield k, 1, 0, len(text), total
-        elif int(own.max()) > most:
-            for i, (a, b, n) in enumerate(pieces(lexicon.tokenizers[which], text, most, overlap)):
-                yield k, i + 1, a, b, n
-        else:
-            long.append((k, numbers))
-    if not long:
-        return
-    numbers, sizes = np.concatenate([x for _, x in long]), np.array([len(x) for _, x in long])
-    first = np.concatenate(([0], np.cumsum(sizes[:-1] + 1)))
-    before = _with_starts(counts[numbers], sizes)
-    at = _with_starts(np.array(lexicon.lengths)[numbers], sizes)
-    starts, ends = cuts(before, _kinds(np.array(lexicon.ends)[numbers], first, sizes), first, most, overlap)
-    owner = np.searchsorted(first, starts, "right") - 1
-    number = np.arange(len(starts)) - np.searchsorted(owner, owner, "left") + 1
-    base = at[first][owner]
-    keys = [k for k, _ in long]
-    for o, i, a, b, n in zip(owner.tolist(), number.tolist(), (at[starts] - base).tolist(), (at[ends] - base).tolist(), (before[ends] - before[starts]).tolist()):
-        yield keys[o], i, a, b, n
+class Group:
+    """Texts that are cut together: (key, text) of each, and the numbers of their chunks one after another."""
+
+    def __init__(self):
+        self.keys: list[int] = []
+        self.texts: list[str] = []
+        self.numbers: list[np.ndarray] = []
+        self.waiting = 0
+
+    def add(self, key: int, text: str, numbers: np.ndarray) -> None:
+        self.keys.append(key)
+        self.texts.append(text)
+        self.numbers.append(numbers)
+        self.waiting += len(numbers)
+
+
+def pieces_of_many(lexicon: Lexicon, which: int, group: Group, most: int, overlap: int) -> tuple[list, list, list, list, list]:
+    """(key, piece_no, start, end, tokens) of the texts' pieces as lists: texts within the limit at once, those with too long chunks one
+    by one, all others together."""
+    all_numbers, sizes = np.concatenate(group.numbers), np.array([len(x) for x in group.numbers])
+    begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    counts = np.array(lexicon.counts[which])[all_numbers]
+    totals, longest = np.add.reduceat(counts, begin), np.maximum.reduceat(counts, begin)
+    whole = np.nonzero(totals <= most)[0].tolist()
+    out = ([group.keys[k] for k in whole], [1] * len(whole), [0] * len(whole), [len(group.texts[k]) for k in whole], totals[whole].tolist() if whole else [])
+    for k in np.nonzero((totals > most) & (longest > most))[0].tolist():
+        found = pieces(lexicon.tokenizers[which], group.texts[k], most, overlap)
+        for column, values in zip(out, ([group.keys[k]] * len(found), range(1, len(found) + 1), *zip(*found))):
+            column.extend(values)
+    together = (totals > most) & (longest <= most)
+    if together.any():
+        chosen = np.nonzero(together)[0]
+        mine = np.repeat(together, sizes)
+        numbers, sizes = all_numbers[mine], sizes[chosen]
+        first = np.concatenate(([0], np.cumsum(sizes[:-1] + 1)))
+        before = _with_starts(counts[mine], sizes)
+        at = _with_starts(np.array(lexicon.lengths)[numbers], sizes)
+        starts, ends = cuts(before, _kinds(np.array(lexicon.ends)[numbers], first, sizes), first, most, overlap)
+        owner = np.searchsorted(first, starts, "right") - 1
+        base = at[first][owner]
+        keys = np.array(group.keys)[chosen]
+        rows = (keys[owner], np.arange(len(starts)) - np.searchsorted(owner, owner, "left") + 1, at[starts] - base, at[ends] - base, before[ends] - before[starts])
+        for column, values in zip(out, rows):
+            column.extend(values.tolist())
+    return out
 
 
 def split(documents: DataFrame, limits: list[tuple[str, str, int, int]], folder: str = tokenizers.FOLDER) -> DataFrame:
@@ -183,20 +209,16 @@ def split(documents: DataFrame, limits: list[tuple[str, str, int, int]], folder:
         lexicon = Lexicon(used, folder)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            numbered: list[tuple[int, str, np.ndarray]] = []
-            waiting = 0
+            group = Group()
             for k, text in enumerate(texts):
                 if text:
-                    numbered.append((k, text, lexicon.numbers(tokenizers.CHUNK.findall(text))))
-                    waiting += len(numbered[-1][2])
-                if numbered and (waiting >= TOGETHER or k + 1 == len(texts)):
-                    out: tuple[list, ...] = ([], [], [], [], [], [], [])
+                    group.add(k, text, lexicon.numbers(tokenizers.CHUNK.findall(text)))
+                if group.keys and (group.waiting >= TOGETHER or k + 1 == len(texts)):
                     for name, tokenizer, most, overlap in limits:
-                        for at, i, a, b, n in pieces_of_many(lexicon, used.index(tokenizer), numbered, most, min(overlap, most // 2)):
-                            for column, x in zip(out, (ids[at], name, i, a, b, n, texts[at][a:b])):
-                                column.append(x)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
-                    numbered, waiting = [], 0
+                        at, number, start, end, tokens = pieces_of_many(lexicon, used.index(tokenizer), group, most, min(overlap, most // 2))
+                        columns = ([ids[x] for x in at], [name] * len(at), number, start, end, tokens, [texts[x][a:b] for x, a, b in zip(at, start, end)])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+                    group = Group()
                     if len(lexicon) > tokenizers.REMEMBERED:
                         lexicon.forget()
 

@@ -30,6 +30,9 @@ STRIP = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000,
 #: How the two vocabularies part a text into words: fixed values.
 _BYTE_WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 _WORD_WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
+#: The same for texts of ASCII alone.
+_BYTE_WORDS_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t\n\x0b\x0c\r A-Za-z0-9]+|[\t\n\x0b\x0c\r ]+(?![^\t\n\x0b\x0c\r ])|[\t\n\x0b\x0c\r ]+"
+_WORD_WORDS_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\t\n\x0b\x0c\r A-Za-z0-9]+"
 _NONE = 1 << 60
 #: A chunk is a run of white space and the run of other characters after it; words never go beyond a chunk.
 CHUNK = re.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
@@ -126,11 +129,12 @@ class ByteBPE:
     def __init__(self, path: str):
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.find = regex.compile(_BYTE_WORDS).findall
+        any_text, ascii_text = regex.compile(_BYTE_WORDS).findall, re.compile(_BYTE_WORDS_ASCII).findall
+        self.find = lambda text: ascii_text(text) if text.isascii() else any_text(text)
         self.words = _Memory(self._word)
         self.chunks = _Memory(self._chunk)
         self.spaced = _Memory(lambda piece: self._chunk(piece if piece[:1] == "\n" else " " + piece))
-        self.counts = _Memory(lambda chunk: len(self.chunks[chunk]))
+        self.counts = _Memory(lambda chunk: sum(map(len, map(self.words.__getitem__, self.find(chunk)))))
 
     def _word(self, word: str) -> tuple[int, ...]:
         data = word.encode("utf-8", "replace")
@@ -160,8 +164,12 @@ class ByteBPE:
     def chunk_counts(self, chunks: list[str]) -> list[int]:
         return list(map(self.counts.__getitem__, chunks))
 
-    def word_spans(self, chunk: str) -> list[tuple[str, int]]:
-        return [(w, len(self.words[w])) for w in self.find(chunk)]
+    def spans(self, chunk: str) -> tuple[list[int], list[int]]:
+        """The lengths and tokens of a chunk's words; its white space stays with the first word after it."""
+        words = self.find(chunk)
+        lengths, counts = list(map(len, words)), list(map(len, map(self.words.__getitem__, words)))
+        lead = next((i for i, w in enumerate(words) if w.strip(STRIP)), len(words) - 1)
+        return [sum(lengths[: lead + 1]), *lengths[lead + 1 :]], [sum(counts[: lead + 1]), *counts[lead + 1 :]]
 
     def most(self, char: str) -> int:
         """No text has more tokens than the sum of this over its characters."""
@@ -185,9 +193,10 @@ class WordBPE:
         self.suffix = model["end_of_word_suffix"]
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.visible = _visible_bytes()
-        self.find = regex.compile(_WORD_WORDS).findall
+        any_text, ascii_text = regex.compile(_WORD_WORDS).findall, re.compile(_WORD_WORDS_ASCII).findall
+        self.find = lambda text: ascii_text(text) if text.isascii() else any_text(text)
         self.words = _Memory(self._word)
-        self.counts = _Memory(lambda chunk: sum(len(self.words[w]) for w in self.find(self.normal(chunk))))
+        self.counts = _Memory(lambda chunk: sum(map(len, map(self.words.__getitem__, self.find(self.normal(chunk))))))
 
     @staticmethod
     def normal(text: str) -> str:
@@ -208,20 +217,17 @@ class WordBPE:
     def chunk_counts(self, chunks: list[str]) -> list[int]:
         return list(map(self.counts.__getitem__, chunks))
 
-    def word_spans(self, chunk: str) -> list[tuple[str, int]] | None:
-        """None where the words of the normal form aren't those of the text."""
-        words = self.find(self.normal(chunk))
-        spans, at = [], 0
+    def spans(self, chunk: str) -> tuple[list[int], list[int]] | None:
+        """As for bytes; None where the words of the normal form aren't those of the text."""
         low = chunk.lower()
         if len(low) != len(chunk) or self.normal(chunk) != low:
             return None
-        for w in words:
-            end = low.index(w, at) + len(w)
-            spans.append((chunk[at:end], len(self.words[w])))
-            at = end
-        if at < len(chunk):
-            spans.append((chunk[at:], 0))
-        return spans
+        words = self.find(low)
+        lengths, counts = list(map(len, words)), list(map(len, map(self.words.__getitem__, words)))
+        if not words:
+            return [len(chunk)], [0]
+        lengths[0] += len(chunk) - sum(lengths)  # only the white space before them belongs to no word
+        return lengths, counts
 
     def most(self, char: str) -> int:
         return max(len(self.normal(char).encode("utf-8", "replace")), len(char.encode("utf-8", "replace")))
