@@ -33,7 +33,7 @@ _STRICT = {
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _classify(lines: pd.Series, suspect: pd.Series) -> pd.Series:
     def one(line, doubted):
         if not doubted:
