@@ -16,9 +16,11 @@ NATURAL = ["source", "source_session_id"]
 
 
 def status(sessions: DataFrame, events: DataFrame, errors: DataFrame) -> DataFrame:
-    """One row with three counts."""
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return count(sessions, "sessions").join(count(events, "events")).join(count(errors, "errors"))
+    """One row with three counts. Each table is counted by itself; the three counts are put side by side without a join."""
+    tables = {"sessions": sessions, "events": events, "errors": errors}
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()]
+    whole = counts[0].unionByName(counts[1]).unionByName(counts[2])
+    return whole.agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in tables])
 
 
 def unresolved(errors: DataFrame) -> DataFrame:
@@ -30,10 +32,9 @@ def recent_errors(errors: DataFrame, limit: int = ERROR_PAGE) -> DataFrame:
     return errors.orderBy(F.desc("last_seen_at"), F.desc("id")).limit(limit)
 
 
-def doctor(errors: DataFrame, details: int = 0) -> DataFrame:
-    """(unresolved) and, where asked for, (id, last_seen_at) of the newest errors beside it."""
-    count = errors.agg(F.count(F.lit(1)).alias("unresolved"))
-    return count.join(recent_errors(errors, details).select("id", "last_seen_at")) if details else count
+def doctor(errors: DataFrame, details: int = 0) -> tuple[DataFrame, DataFrame | None]:
+    """(unresolved) and, where asked for, the newest errors."""
+    return errors.agg(F.count(F.lit(1)).alias("unresolved")), recent_errors(errors, details) if details else None
 
 
 def checked_limit(limit: int) -> int:

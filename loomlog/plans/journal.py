@@ -39,19 +39,15 @@ def journal_status(spark, d):
     return journal.status(table(spark, d, "sessions"), table(spark, d, "session_lines"), table(spark, d, "error_records"))
 
 
-@query("select source, count(*) as n, min(source_session_id) as first_id from source_files group by source")
+@query(
+    """select origin, source, count(*) as n, min(id) as first_id from (select 'source_files' as origin, source, source_session_id as id from source_files
+    union all select 'sessions', source, source_session_id from sessions union all select 'store_sessions', source, store_session_id from store_sessions) group by all"""
+)
 def union_sources(spark, d):
-    """The sources' listings as one, counted by source."""
-    files = table(spark, d, "source_files")
-    parts = [files.where(F.col("source") == s) for s in SOURCES] + [files.where(~F.coalesce(F.col("source").isin(SOURCES), F.lit(False)))]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("source_session_id").alias("first_id"))
-
-
-#: The agent tools, in the order in which they are listed: fixed values.
-SOURCES = ["claude_cli", "claude_local_agent", "codex_cli", "pi_agent", "gemini_cli", "factory", "opencode", "hermes"]
+    """The listings of all sources as one."""
+    of = lambda name, key: table(spark, d, name).select(F.lit(name).alias("origin"), "source", F.col(key).alias("id"))
+    whole = of("source_files", "source_session_id").unionByName(of("sessions", "source_session_id")).unionByName(of("store_sessions", "store_session_id"))
+    return whole.groupBy("origin", "source").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
 @query("select source, path, count(*) as files from source_files group by source, path")
@@ -520,7 +516,7 @@ def ratio_pending(spark, d):
 
 @query("select count(*) as unresolved from error_records")
 def doctor(spark, d):
-    return journal.doctor(table(spark, d, "error_records"))
+    return journal.doctor(table(spark, d, "error_records"))[0]
 
 
 @query("select path, opened_at from source_files order by path desc offset 30")

@@ -47,6 +47,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: The tables written by stored() in this application.
+_STORED: list[str] = []
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes all tables that stored() has written: for the end of an application, when no DataFrame built on them is read any more."""
+    while _STORED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @atexit.register
 def _drop_local() -> None:
     for path in _LOCAL_SHARED:
@@ -57,4 +68,5 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once as a Parquet table in the shared folder and read back: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/loomlog/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STORED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

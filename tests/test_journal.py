@@ -119,7 +119,7 @@ def test_searches(spark):
 
 def test_empty_tables(spark):
     none = spark.createDataFrame([], ERRORS).withColumns({"resolved_at": F.lit(None).cast("string"), "id": F.lit(1)})
-    assert journal.status(none, none, journal.unresolved(none)).first() == (0, 0, 0) and journal.doctor(none).first()[0] == 0
+    assert journal.status(none, none, journal.unresolved(none)).first() == (0, 0, 0) and journal.doctor(none)[0].first()[0] == 0 and journal.doctor(none)[1] is None
     events = spark.createDataFrame([], "payload binary, codec string")
     assert tuple(journal.codec_stats(events).first()) == (0, 0, 0, 0, 0)
 
