@@ -57,7 +57,7 @@ def sessions_page(sessions: DataFrame, search: str | None = None, hits: DataFram
     """The newest sessions with their parent's id in its tool, by started_at (updated_at where null), then id; searched literally in four
     columns, or found by payload (hits: session_id)."""
     parents = sessions.select(F.col("session_id").alias("parent_session_id"), F.col("source_session_id").alias("parent_source_session_id"))
-    rows = sessions.join(parents, "parent_session_id", "left")
+    rows = sessions.drop("parent_source_session_id").join(parents, "parent_session_id", "left")
     if search:
         found = text.literal_contains(F.col("source"), search)
         for c in ("source_session_id", "cwd", "file_path"):

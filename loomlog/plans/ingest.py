@@ -31,13 +31,13 @@ def _stores(spark: SparkSession, home: str) -> list[tuple[str, str, str, str]]:
 
 
 def changed_files(listed: DataFrame, sessions: DataFrame, errors: DataFrame) -> DataFrame:
-    """The listed files that aren't known to be unchanged, with what is stored for their path. A file with an unresolved broken line is
+    """The listed files that aren't known to be unchanged (side files of settings included), with what is stored for their path. A file with an unresolved broken line is
     read again."""
-    known = sessions.where("file_path is not null").select("source", F.col("file_path").alias("path"), F.struct("source_session_id", "file_size", "file_mtime", "content_fingerprint", "next_read_offset", "prefix_fingerprint").alias("known"))
+    known = sessions.where("file_path is not null").select("source", F.col("file_path").alias("path"), F.struct("source_session_id", "file_size", "file_mtime", "content_fingerprint", "next_read_offset", "prefix_fingerprint", F.get_json_object("source_metadata", "$.mtime").cast("long").alias("side_mtime")).alias("known"))
     known = known.groupBy("source", "path").agg(F.max("known").alias("known"))
     broken = errors.where("resolved_at is null and error_kind = 'invalid_json'").select("source", F.col("file_path").alias("path")).distinct().withColumn("retry", F.lit(True))
     rows = listed.join(known, ["source", "path"], "left").join(broken, ["source", "path"], "left").withColumn("retry", F.coalesce("retry", F.lit(False)))
-    same = (F.col("known.file_size") == F.col("size")) & (F.col("known.file_mtime") == F.col("mtime")) & F.col("known.content_fingerprint").isNotNull()
+    same = (F.col("known.file_size") == F.col("size")) & (F.col("known.file_mtime") == F.col("mtime")) & F.col("known.content_fingerprint").isNotNull() & F.col("known.side_mtime").eqNullSafe(F.col("side_mtime"))
     return rows.where(F.col("retry") | ~F.coalesce(same, F.lit(False)))
 
 
@@ -126,7 +126,7 @@ def _pass(spark: SparkSession, home: str, store: Store, now) -> dict[str, int]:
         F.lit(None).cast("long").alias("file_size"), F.col("fingerprint").alias("content_fingerprint"), F.col("event_count").alias("next_read_offset"), F.lit(None).cast("string").alias("source_metadata"), F.lit(None).cast("string").alias("prefix_fingerprint"),
     )
     imported = stored(of_files.unionByName(of_stores).dropDuplicates(KEY), "imported")
-    skipped = plan.where("mode = 'skip'").select(*KEY, F.col("size").alias("skip_size"), F.col("mtime").alias("skip_mtime"), F.col("path").alias("skip_path")).dropDuplicates(KEY)
+    skipped = plan.where("mode = 'skip'").select(*KEY, F.col("size").alias("skip_size"), F.col("mtime").alias("skip_mtime"), F.col("path").alias("skip_path"), F.col("metadata").alias("skip_metadata")).dropDuplicates(KEY)
 
     known = sessions.select(*KEY, "session_id")
     fresh = imported.join(known, KEY, "left_anti").select(*KEY)
@@ -163,7 +163,7 @@ def _merge(sessions: DataFrame, imported: DataFrame, skipped: DataFrame, ids: Da
     parents = ids.select("source", F.col("source_session_id").alias("parent_source_session_id"), F.col("session_id").alias("parent_session_id"))
     return (
         both.withColumn("event_count", F.when(F.col("touched"), F.coalesce("n", F.lit(0))).otherwise(F.col("old_count")))
-        .withColumns({"file_size": F.coalesce("skip_size", "file_size"), "file_mtime": F.coalesce("skip_mtime", "file_mtime"), "file_path": F.coalesce("skip_path", "file_path")})
+        .withColumns({"file_size": F.coalesce("skip_size", "file_size"), "file_mtime": F.coalesce("skip_mtime", "file_mtime"), "file_path": F.coalesce("skip_path", "file_path"), "source_metadata": F.coalesce("skip_metadata", "source_metadata")})
         .join(parents, ["source", "parent_source_session_id"], "left")
     )
 

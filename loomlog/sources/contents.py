@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Iterable, Iterator
 from json.decoder import scanstring
 
@@ -38,6 +39,17 @@ def read_bounded(path: str, size: int | None) -> bytes:
         return file.read() if size is None else file.read(size)
 
 
+def modified(path: str) -> int | None:
+    """When a file was changed, in whole seconds."""
+    if "://" in path:
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(path)
+        changed = system.get_file_info(at).mtime_ns
+        return None if changed is None else changed // 1_000_000_000
+    return int(os.stat(path).st_mtime)
+
+
 def fingerprint(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
@@ -136,7 +148,7 @@ def side_file(source: str, path: str | None) -> tuple[str | None, str | None, st
     except ValueError as e:
         value, error = None, str(e)
     if source == "factory":
-        return canonical({"path": path, "size": len(data), "fingerprint": fingerprint(data), "settings": value, "parse_error": error}), None, None, None
+        return canonical({"path": path, "size": len(data), "mtime": modified(path), "fingerprint": fingerprint(data), "settings": value, "parse_error": error}), None, None, None
     value = value if isinstance(value, dict) else {}
     first = lambda *names: next((value[n] for n in names if value.get(n) is not None), None)
     cwd = first("cwd", "workspace_path", "workspacePath", "project_path", "projectPath")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UUID = "[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
-COLUMNS = "source string, source_session_id string, id_kind string, parent_source_session_id string, metadata_path string, format string, path string, size long, mtime long"
+COLUMNS = "source string, source_session_id string, id_kind string, parent_source_session_id string, metadata_path string, format string, path string, size long, mtime long, side_mtime long"
 
 
 @dataclass(frozen=True)
@@ -101,9 +101,12 @@ def discover(spark: SparkSession, home: str) -> DataFrame:
             own, kind, parent = stem(path), F.lit("codex_header"), none
         elif rule.source == "factory":
             own, kind, parent, metadata = stem(path), F.lit("factory_header"), none, F.regexp_replace(path, r"\.jsonl$", ".settings.json")
+            side = _listed(spark, [os.path.join(home, f) for f in rule.folders], "*.settings.json").select(F.regexp_replace("path", r"\.settings\.json$", ".jsonl").alias("path"), F.col("mtime").alias("side_mtime"))
+            files = files.join(side, "path", "left")
         else:
             own, kind, parent = stem(path), F.lit("gemini_chat"), none
-        parts.append(files.select(F.lit(rule.source).alias("source"), own.alias("source_session_id"), kind.alias("id_kind"), parent.alias("parent_source_session_id"), metadata.alias("metadata_path"), F.lit(rule.format).alias("format"), "path", "size", "mtime"))
+        files = files if "side_mtime" in files.columns else files.withColumn("side_mtime", F.lit(None).cast("long"))
+        parts.append(files.select(F.lit(rule.source).alias("source"), own.alias("source_session_id"), kind.alias("id_kind"), parent.alias("parent_source_session_id"), metadata.alias("metadata_path"), F.lit(rule.format).alias("format"), "path", "size", "mtime", "side_mtime"))
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)

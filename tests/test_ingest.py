@@ -6,6 +6,7 @@ import pytest
 
 from loomlog.plans import ingest
 from loomlog.plans.store import Store
+from loomlog.plans.view import dump_events, show_timeline, view_of
 from loomlog.sources import contents, files
 
 U = "00000000-0000-4000-8000-0000000000"
@@ -80,6 +81,8 @@ def journey(spark, tmp_path_factory):
     write(fixed, stamp(8), stamp(9))
     write(bad, stamp(0), stamp(1), stamp(2))
     os.utime(f"{home}/.factory/sessions/-w/f1.jsonl", (1, 1))
+    write(f"{home}/.factory/sessions/-w/f1.settings.json", {"model": "m2"})
+    os.utime(f"{home}/.factory/sessions/-w/f1.settings.json", (2, 2))
     reports.append(ingest.run(spark, home, store, "2026-06-02T00:00:00.000Z"))
     return store, reports, first, snapshot(store), raw
 
@@ -168,6 +171,45 @@ def test_growth_and_rewrites(journey):
     assert per_generation(last, ("claude_cli", f"{U}25")) == {0: 3}
     assert per_generation(last, ("factory", "fac")) == {0: 2} and last[0]["factory", "fac"].file_mtime == 1
     assert reports[2]["inserted_events"] == 8
+    assert json.loads(last[0]["factory", "fac"].source_metadata)["settings"] == {"model": "m2"}
+
+
+def test_views(journey, spark, tmp_path):
+    store = journey[0]
+    view = view_of(store, search="codex_CLI")
+    assert {r.source_session_id for r in view["sessions"].collect()} == {f"{U}31", f"{U}32"} and not view["has_next"]
+    chosen = view["selected"]
+    assert chosen.source == "codex_cli" and view["events"].count() == 2 and "payload" not in view["events"].columns
+    view = view_of(store, search="session_meta", session_id=chosen.session_id, expanded=(0, 0))
+    assert [r.source_session_id for r in view["sessions"].collect()] == [f"{U}31"] and view["preview"].startswith('{"') and view["errors"].count() == 2
+    assert view_of(store, search="no such thing")["selected"] is None
+    dump_events(store, "claude_cli", f"{U}21", str(tmp_path / "dump"), 2)
+    assert [json.loads(r.value) for r in spark.read.text(str(tmp_path / "dump")).collect()] == [stamp(0, cwd="/work"), stamp(1)]
+    with pytest.raises(LookupError):
+        dump_events(store, "claude_cli", "none", str(tmp_path / "other"))
+
+
+def test_extraction_of_a_journal(spark, tmp_path):
+    home, store = str(tmp_path / "h"), Store(spark, str(tmp_path / "j"))
+    main = f"{home}/.claude/projects/-w/{U}31"
+    use = lambda n, ts, path: {"type": "assistant", "timestamp": ts, "cwd": "/w", "message": {"content": [{"type": "tool_use", "id": n, "name": "Edit", "input": {"file_path": path, "new_string": "x"}}]}}
+    snap = lambda ts, **files: {"type": "file-history-snapshot", "snapshot": {"timestamp": ts, "trackedFileBackups": {k: {"backupFileName": v} for k, v in files.items()}}}
+    write(f"{main}.jsonl", use("t1", "1", "/w/a"), snap("2", a="b@v1"), use("t2", "5", "b"), snap("6", b="gone"))
+    write(f"{main}/subagents/agent-1.jsonl", use("t3", "3", "a"), snap("4", a="b@v2"))
+    write(f"{home}/.claude/file-history/{U}31/b@v1", "one")
+    write(f"{home}/.claude/file-history/{U}31/b@v2", "one", "two")
+    ingest.run(spark, home, store)
+    history = f"{home}/.claude/file-history"
+    assert ingest.extract(spark, store, history) == {"sessions": 1, "timeline_rows": 3, "examples": 3}
+    got = {r.tool_use_id: (r.outcome, r.evidence_kind) for r in store.table("preference_examples").collect()}
+    assert got == {"t1": ("accepted", "direct_edit"), "t2": ("rejected", "missing_final_state"), "t3": ("accepted", "direct_edit")}
+    assert ingest.extract(spark, store, history)["sessions"] == 0 and store.table("preference_examples").count() == 3
+    assert show_timeline(store, "claude_cli", f"{U}31", "/w/a").count() == 2
+    with pytest.raises(LookupError):
+        show_timeline(store, "claude_cli", f"{U}31", "nothing")
+    write(f"{main}.jsonl", snap("1", z="b@v1"))
+    ingest.run(spark, home, store)
+    assert ingest.extract(spark, store, history)["examples"] == 1 and store.table("file_timelines").count() == 2
 
 
 def test_pack_restore_and_compaction(journey, spark, tmp_path):
