@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Payloads of fewer bytes stay raw.
+#: Payloads of fewer bytes stay raw; the codecs: fixed values.
 MIN_BYTES = 1024
 SUPPORTED = ("raw", "zstd")
 

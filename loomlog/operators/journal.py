@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomlog.functions import text
 
+#: Sizes of pages, the largest offset, the shortest search of payloads, sizes of batches: fixed values.
 SESSION_PAGE, EVENT_PAGE, ERROR_PAGE = 50, 25, 50
 MAX_OFFSET, MIN_SEARCH, BATCH, MAX_BATCH = 100_000, 3, 1_000, 10_000
 NATURAL = ["source", "source_session_id"]

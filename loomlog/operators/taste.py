@@ -18,6 +18,7 @@ from loomlog.functions import text
 from loomlog.functions.strictjson import load_object
 from loomlog.operators import ordered
 
+#: Version, length of the context, and the words by which a result tells a denial: fixed values.
 VERSION = "taste-1"
 PRIOR_EVENTS = 5
 DENIAL = "new_string was NOT written"

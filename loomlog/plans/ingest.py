@@ -209,12 +209,9 @@ def extract(spark: SparkSession, store: Store, history_root: str, force: bool =
         rows = store.table("events").join(numbered.select("session_id", F.col("current_generation").alias("generation"), *KEY, F.col("stream_idx").cast("int").alias("stream_idx"), chain.alias("agent_id")), ["session_id", "generation"])
         lines = rows.select(*KEY, "stream_idx", "agent_id", F.col("seq").alias("line_seq"), codec.decode("payload", "codec").cast("string").alias("payload"))
         timeline, examples = taste.extract(lines, todo, contents.blobs(spark, history_root), stored)
-        kept = lambda name: store.table(name).join(todo.select(*KEY), KEY, "left_anti")
         done = todo.select(*KEY, F.lit(taste.VERSION).alias("extractor_version"), "event_count", now.alias("extracted_at"))
         timeline, examples = stored(timeline, "timeline"), stored(examples, "examples")
-        store.commit(
-            file_timelines=kept("file_timelines").unionByName(timeline), preference_examples=kept("preference_examples").unionByName(examples), taste_extractions=kept("taste_extractions").unionByName(done)
-        )
+        store.replace_sessions(todo, file_timelines=timeline, preference_examples=examples, taste_extractions=done)
         return {"sessions": todo.count(), "timeline_rows": timeline.count(), "examples": examples.count()}
 
 

@@ -10,7 +10,7 @@ import json
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 1
@@ -26,6 +26,9 @@ SCHEMAS = {
     "taste_extractions": "source string, source_session_id string, extractor_version string, event_count long, extracted_at string",
 }
 APPENDED = {"events"}
+#: Tables that are replaced by session: in so many parts by the hash of the session, of which a run writes those it touches.
+BY_SESSION = {"file_timelines", "preference_examples", "taste_extractions"}
+PARTS = 256
 POINTER, LOCK = "journal.json", "journal.lock"
 
 
@@ -68,6 +71,26 @@ class Store:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.root}/data/{f}" for f in folders])
 
+    def part_of(self) -> Column:
+        return F.pmod(F.xxhash64("source", "source_session_id"), F.lit(PARTS)).cast("int")
+
+    def replace_sessions(self, touched: DataFrame, **tables: DataFrame) -> None:
+        """The rows of the touched sessions (source, source_session_id) anew, in all given tables at once: what they had is gone, also where
+        there are no new rows. Only the parts that hold touched sessions are read and written."""
+        run, state = uuid.uuid4().hex[:12], self.state()
+        parts = sorted(r["part"] for r in touched.select(self.part_of().alias("part")).distinct().collect())  # PARTS at most
+        for name, df in tables.items():
+            held = state["tables"].get(name, [])
+            mine = [f for f in held if int(f.rpartition("=")[2]) in set(parts)]
+            old = self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.root}/data/{f}" for f in mine]) if mine else self.spark.createDataFrame([], SCHEMAS[name])
+            kept = old.join(touched.select("source", "source_session_id").distinct(), ["source", "source_session_id"], "left_anti")
+            folder = f"{name}-{run}"
+            rows = kept.unionByName(df.select(kept.columns)).withColumn("part", self.part_of())
+            rows.repartition("part").write.partitionBy("part").option("compression", "zstd").parquet(f"{self.root}/data/{folder}")
+            written = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/data/{folder}")) if s.isDirectory()]
+            state["tables"][name] = sorted(set(held) - set(mine)) + [f"{folder}/{part}" for part in sorted(written)]
+        self._show(state, run)
+
     @contextmanager
     def writing(self):
         """The only writer: a lock file that can't be created twice."""
@@ -83,6 +106,8 @@ class Store:
     def commit(self, **tables: DataFrame) -> dict[str, int]:
         """Writes new versions (events: what is added) and then shows all of them at once. Returns the rows written."""
         run, state, rows = uuid.uuid4().hex[:12], self.state(), {}
+        if wrong := BY_SESSION & set(tables):
+            raise ValueError(f"{wrong} are replaced by session")
         for name, df in tables.items():
             folder = f"{name}-{run}"
             shaped = df.select(*[F.col(c.strip().split()[0]).cast(c.strip().split()[1]) for c in SCHEMAS[name].split(",")])
@@ -112,7 +137,7 @@ class Store:
         data = self._path(f"{self.root}/data")
         if not self._fs.exists(data):
             return []
-        named = {f for folders in self.state()["tables"].values() for f in folders}
+        named = {f.partition("/")[0] for folders in self.state()["tables"].values() for f in folders}
         return sorted({s.getPath().getName() for s in self._fs.listStatus(data)} - named)
 
     def vacuum(self) -> list[str]:
@@ -126,7 +151,7 @@ class Store:
         other = Store(self.spark, target)
         if other._fs.exists(self._path(target)):
             raise FileExistsError(target)
-        other.commit(**{name: self.table(name) for name in self.state()["tables"]})
+        other._take(self)
 
     def check(self) -> list[str]:
         """What a restored journal lacks: columns, or unique keys."""
@@ -137,6 +162,8 @@ class Store:
                 wrong.append(f"{name}: unknown table")
                 continue
             want = self.spark.createDataFrame([], SCHEMAS[name]).dtypes
+            if not folders:
+                continue
             have = dict(self.spark.read.parquet(*[f"{self.root}/data/{f}" for f in folders]).dtypes)
             wrong += [f"{name}: {c} isn't {t}" for c, t in want if have.get(c) != t]
             if name in keys and self.table(name).groupBy(*keys[name]).count().where("count > 1").limit(1).count():
@@ -148,8 +175,18 @@ class Store:
         other = Store(self.spark, source)
         if wrong := other.check():
             raise ValueError("; ".join(wrong))
+        self._take(other)
+
+    def _take(self, other: Store) -> None:
+        """All tables of another journal in place of one's own, folder by folder where they are kept by session."""
         state, run = {"schema_version": SCHEMA_VERSION, "tables": {}}, uuid.uuid4().hex[:12]
-        for name in other.state()["tables"]:
-            other.table(name).write.option("compression", "zstd").parquet(f"{self.root}/data/{name}-{run}")
-            state["tables"][name] = [f"{name}-{run}"]
+        for name, folders in other.state()["tables"].items():
+            rows = other.table(name)
+            if name in BY_SESSION:
+                rows.withColumn("part", self.part_of()).repartition("part").write.partitionBy("part").option("compression", "zstd").parquet(f"{self.root}/data/{name}-{run}")
+                there = self._fs.listStatus(self._path(f"{self.root}/data/{name}-{run}"))
+                state["tables"][name] = sorted(f"{name}-{run}/{s.getPath().getName()}" for s in there if s.isDirectory())
+            else:
+                rows.write.option("compression", "zstd").parquet(f"{self.root}/data/{name}-{run}")
+                state["tables"][name] = [f"{name}-{run}"]
         self._show(state, run)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from loomlog.functions.strictjson import loads
 from loomlog.operators.nested import canonical
 
+#: A header line is looked for in so many bytes: a fixed value.
 HEADER_BYTES = 64 * 1024
 FACTS = (
     "path string, error_kind string, message string, header_id string, fingerprint string, committed long, prefix_intact boolean, metadata string,"

@@ -210,6 +210,11 @@ def test_extraction_of_a_journal(spark, tmp_path):
     write(f"{main}.jsonl", snap("1", z="b@v1"))
     ingest.run(spark, home, store)
     assert ingest.extract(spark, store, history)["examples"] == 1 and store.table("file_timelines").count() == 2
+    assert len(store.vacuum()) > 0 and store.check() == [] and store.table("preference_examples").count() == 1
+    store.pack(str(tmp_path / "packed"))
+    other = Store(spark, str(tmp_path / "other"))
+    other.restore(str(tmp_path / "packed"))
+    assert other.table("file_timelines").count() == 2 and ingest.extract(spark, other, history)["sessions"] == 0
 
 
 def test_pack_restore_and_compaction(journey, spark, tmp_path):
