@@ -101,3 +101,14 @@ def p7_tree(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p1_table, p2_found, p2_rejected, p2_records, p4_found, p4_bridge, p4_objects, p6_found, p7_found, p7_tree)}
+
+ORACLE_SQL = {
+    "p7_found": """with recursive n as (
+        select 'chat_messages' as origin, uuid as id, min(parent_uuid) as p from chat_messages where uuid is not null group by uuid
+        union all select 'sessions', cast(session_id as varchar), min(cast(parent_session_id as varchar)) from sessions group by session_id
+        union all select 'store_sessions', store_session_id, min(parent_session_id) from store_sessions where store_session_id is not null group by store_session_id),
+      r as (
+        select n.origin, n.id, n.id as root, 0 as depth from n left join n as u on u.origin = n.origin and u.id = n.p where u.id is null
+        union all select n.origin, n.id, r.root, r.depth + 1 from n join r on n.origin = r.origin and n.p = r.id)
+      select n.origin, n.id as node_id, coalesce(r.root, '') as root_id, cast(coalesce(r.depth, -1) as bigint) as depth from n left join r on r.origin = n.origin and r.id = n.id""",
+}
