@@ -62,4 +62,22 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p5_found, p5_turns, p8_ids, p9_mix, p9_shares, p10_pieces)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "p5_found": """with recursive m as (
+        select session_id as s, uuid as id, min(parent_uuid) as p, min(seq) as seq, min(case when regexp_full_match(coalesce(content, ''), '\\s*') then null
+          when trim(lower(msg_role)) in ('user', 'human') then 'user' when trim(lower(msg_role)) in ('assistant', 'model', 'gemini', 'ai') then 'assistant'
+          when trim(lower(msg_role)) in ('tool', 'toolresult') then 'tool' when trim(lower(msg_role)) = 'system' then 'system' end) as who
+        from chat_messages where uuid is not null group by session_id, uuid),
+      w as (
+        select s, id, who, [{'seq': seq, 'id': id}] as path from m where p is null
+        union all select m.s, m.id, m.who, list_append(w.path, {'seq': m.seq, 'id': m.id}) from m join w on m.s = w.s and m.p = w.id),
+      ordered as (select s, id, who, path, row_number() over (partition by s order by path) as n, len(path) as depth from w),
+      ends as (select a.s, a.id, min(b.n) as stop from ordered a left join ordered b on b.s = a.s and b.n > a.n and b.depth <= a.depth where a.who = 'user' group by a.s, a.id),
+      answered as (select a.s, a.id, bool_or(b.n is not null) as ok from ordered a join ends e on e.s = a.s and e.id = a.id
+        left join ordered b on b.s = a.s and b.who = 'assistant' and b.n > a.n and (e.stop is null or b.n < e.stop) group by a.s, a.id),
+      kept as (
+        select m.s from m left join m as u on u.s = m.s and u.id = m.p left join w on w.s = m.s and w.id = m.id left join answered a on a.s = m.s and a.id = m.id
+        group by m.s having count(*) filter (m.p is null) = 1 and count(*) filter (m.p is not null and u.id is null) = 0 and count(*) filter (w.id is null) = 0
+        and count(*) filter (m.who = 'user') > 0 and count(*) filter (m.who = 'user' and not coalesce(a.ok, false)) = 0)
+      select s as session_id, row_number() over (partition by s order by n) as turn_no, id as uuid from ordered join kept using (s) where who is not null""",
+}
