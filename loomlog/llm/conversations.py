@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.llm.tokenizers import STRIP
 from loomlog.operators import forest
 
 #: Speakers and the spellings of their roles: fixed values.
@@ -31,7 +32,7 @@ PLACE_ROWS = 4096
 
 
 def speaker(role: Column) -> Column:
-    name = F.lower(F.regexp_replace(role, rf"\A[{_SPACE}]+|[{_SPACE}]+\z", ""))
+    name = F.lower(F.btrim(role, F.lit(STRIP + "\x1c\x1d\x1e\x1f")))
     result = F.lit(None).cast("string")
     for who, spellings in SPEAKERS.items():
         result = F.when(name.isin(spellings), who).otherwise(result)

@@ -44,7 +44,7 @@ _KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _KEY_BODY = re.compile(r"(?:\s|\\r|\\n|[\"'+,\\>|#*/]|[\w-]+: [^\n\\]*(?:\n|\\n))*[A-Za-z0-9+/]{24,}")
 
 _SENSITIVE = r"(?:(?:api|secret|encryption|private|access|signing|master|shared|account)[ _-]?key|secret|token|passw(?:or)?d|passphrase|(?<![a-z])pass|(?<=smtp)pass|pwd|(?<![a-z])pw|(?<=admin)pw|credentials?|_auth)"
-_NAME = re.compile(rf"(?<![A-Za-z0-9])[A-Za-z0-9_.-]*?{_SENSITIVE}(?![A-Za-z0-9_-])", re.I)
+_NAME = re.compile(rf"(?<![A-Za-z0-9])[A-Za-z0-9_.-]{{0,64}}?{_SENSITIVE}(?![A-Za-z0-9_-])", re.I)
 _BETWEEN = re.compile(
     r"""\\?["'`]?\]?\s*(?:
         :\s*(?:&\s*)?(?:'static\s+)?(?:str|String|string|text|any|Secret\w*)\s*(?:\|\s*\w+\s*)?=(?![=>])\s*
@@ -54,15 +54,15 @@ _BETWEEN = re.compile(
     )""",
     re.X | re.I,
 )
-_FALLBACK = re.compile(r"(?:(?:os\.environ\.get|(?:os\.)?getenv|env|ENV\.fetch)\([^,()\n]*,|[\w.]+(?:\([^()\n]*\)|\[[^\[\]\n]*\])?[ \t]*(?:\?\?|\|\||\bor\b|\?:))[ \t]*(?=[\"'`])")
+_FALLBACK = re.compile(r"(?:(?:os\.environ\.get|(?:os\.)?getenv|env|ENV\.fetch)\([^,()\n]*,|[\w.]{1,200}(?:\([^()\n]{0,200}\)|\[[^\[\]\n]{0,200}\])?[ \t]*(?:\?\?|\|\||\bor\b|\?:))[ \t]*(?=[\"'`])")
 _WRAP = re.compile(r"(?:(?:String::from|str|Secret(?:Str)?|SecretString::from|new\s+\w+|bytes|quote|trim|\w+)?\(\s*)?(?:[fFbBrRuU]{1,2}(?=[\"']))?")
 _QUOTED = re.compile(r"""\\?(?P<q>["'`])(?P<v>(?:(?!(?P=q))[^\n\\]|\\(?!["'`]).)*)""")
 _MORE = re.compile(r"""[ \t]*[+\\.]?[ \t]*\r?\n[ \t]*\+?[ \t]*[fbru]{0,2}(?P<q>["'])(?P<v>(?:(?!(?P=q))[^\n\\])*)(?P=q)""")
-_UNQUOTED = re.compile(r"[^\s\"'`,;<>(){}\[\]|&\\]+")
+_UNQUOTED = re.compile(r"[^\s\"'`,;<>(){}\[\]|&\\]{1,4097}")
 _FOLDED = re.compile(r":\s*[>|][+-]?[0-9]?[ \t]*\r?\n([ \t]+)(?P<v>[^\s]+)[ \t]*(?=\r?\n|\Z)")
 _NEXT_LINE = re.compile(r"\\?[\"'`]?\]?\s*[:=]\s*\(?\s*\\?\r?\n[ \t]*(?=\\?[\"'`])")
 
-_ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://(?P<u>[^/\s:@'\"<>]*):(?P<v>[^\s@'\"<>]+?)@(?=[A-Za-z0-9\[])")
+_ADDRESS = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{0,30}://(?P<u>[^/\s:@'\"<>]{0,200}):(?P<v>[^\s@'\"<>]{1,1000}?)@(?=[A-Za-z0-9\[])")
 _BASIC = re.compile(r"\bbasic\s+(?P<v>[A-Za-z0-9+/_-]{8,}={0,2})", re.I)
 _BEARER = re.compile(r"\b(?:bearer|token)\s+(?P<v>[A-Za-z0-9._~+/-]{16,}={0,2})", re.I)
 _LOGIN = re.compile(r"""["']?\bauths?["']?\s*[:=]\s*["'](?P<v>[A-Za-z0-9+/]{8,}={0,2})["']""")
@@ -70,9 +70,9 @@ _PLACES = [
     re.compile(r"\bidentified\s+(?:with\s+\S+\s+)?by\s+(?:password\s+)?(?P<q>['\"])(?P<v>[^'\"\n]+)(?P=q)", re.I),
     re.compile(r"https?://hooks\.[^\s/\"']+/(?P<v>(?:services|workflows|triggers)/[A-Za-z0-9]{6,}/[A-Za-z0-9/_-]{16,})"),
     re.compile(r"\blogin\s+\S+\s+password\s+(?P<v>[^\s'\"]+)", re.I),
-    re.compile(r"\b(?:docker|podman|helm|oc|az|npm)\b[^\n]*\blogin\b[^\n]*?\s(?:-p|--password)[ =]\s*(?P<q>[\"']?)(?P<v>[^\s\"']+)(?P=q)"),
-    re.compile(r"\b(?:mysql\w*|mariadb\w*|sshpass|mongo\w*)\b[^\n]*?\s-p\s*(?P<q>[\"']?)(?P<v>[^\s\"']+)(?P=q)"),
-    re.compile(r"\b(?:curl|wget|http)\b[^\n]*?\s(?:-u|--user)[ =]\s*(?P<q>[\"']?)[^\s:\"']+:(?P<v>[^\s\"']+)(?P=q)"),
+    re.compile(r"\b(?:docker|podman|helm|oc|az|npm)\b[^\n]{0,300}?\blogin\b[^\n]{0,300}?\s(?:-p|--password)[ =]\s*(?P<q>[\"']?)(?P<v>[^\s\"']+)(?P=q)"),
+    re.compile(r"\b(?:mysql\w{0,20}|mariadb\w{0,20}|sshpass|mongo\w{0,20})\b[^\n]{0,500}?\s-p\s*(?P<q>[\"']?)(?P<v>[^\s\"']+)(?P=q)"),
+    re.compile(r"\b(?:curl|wget|http)\b[^\n]{0,500}?\s(?:-u|--user)[ =]\s*(?P<q>[\"']?)[^\s:\"']+:(?P<v>[^\s\"']+)(?P=q)"),
     re.compile(r"\bauth\s*=\s*\(\s*([\"'])[^\"']*\1\s*,\s*(?P<q>[\"'])(?P<v>[^\"'\n]+)(?P=q)"),
     re.compile(r"\b[Uu]se\s+(?P<q>[`'\"]?)(?P<v>[^\s`'\"]+)(?P=q)\s+(?:as|for)\s+(?:the|my|our|your|a)\s[^\n.]{0,60}?" + _SENSITIVE, re.I),
     re.compile(r"\b(?:with|as)\s+\S+\s+and\s+(?P<q>[`'\"]?)(?P<v>[^\s`'\"]+)(?P=q)\s+as\s+(?:the|its|my)\s+[^\n.]{0,30}?" + _SENSITIVE, re.I),
@@ -175,7 +175,7 @@ def _literal(text: str, at: int) -> tuple[int, int] | None:
                 return None  # found as a key block
             return (quoted.start("v"), quoted.end("v")) if plausible(value) else None
     bare = _UNQUOTED.match(text, at)
-    if bare:
+    if bare and len(bare[0]) <= 4096:
         end = bare.end()
         value = bare[0].rstrip(".:") if text[end : end + 1] in ("", " ", "\n", "\r") else bare[0]
         if text[end : end + 1] not in ("(", "{", "[") and plausible(value, quoted=False):

@@ -63,3 +63,18 @@ def test_places(spark):
     clean = {r.row_id: r for r in secrets.redacted(df).collect()}
     assert clean[3].credentials == 3 and HEX not in clean[3].text and PHRASE not in clean[3].text
     assert secrets.places(df.where("false")).count() == 0
+
+
+LONG = {
+    "dashes": "a-" * 50_000 + "key", "one word": "Ab1" * 33_000 + " key", "names": "token:" * 20_000, "commands": "docker login " * 8_000, "addresses": "http://a:b" * 10_000 + " key", "dots": "a.b_c-" * 20_000 + "token=",
+    "blocks": "-----BEGIN PRIVATE KEY-----" + "x: " * 40_000, "quotes": 'token = "' * 12_000, "entries": "name: x\n" * 20_000 + "key",
+}
+
+
+@pytest.mark.parametrize("name", sorted(LONG))
+def test_long_texts_take_seconds(name):
+    import time
+
+    began = time.process_time()
+    secrets.find(LONG[name])
+    assert time.process_time() - began < 15
