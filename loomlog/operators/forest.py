@@ -15,11 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.operators import ordered
+
 BUCKET_ROWS = 20_000
+#: So many children of one node, at most, are put in order together.
+CHILDREN = 5_000
 #: A path is given from the nearest node above whose depth below its local top is a multiple of this.
 LANDMARK = 16
 
-_NODE = "origin string, node string, parent string, place string, ord long, w0 long, w1 long, tag long"
+_NODE = "origin string, node string, parent string, place string, ord long, w0 long, w1 long, tag long, real string, step long"
 _LOCAL = _NODE.replace("place string", "bucket long") + ", top string, up long, ext string, cyclic boolean, t0 long, t1 long"
 
 
@@ -28,8 +32,8 @@ def _parents(origins: list, nodes: list, parents: list) -> list[int]:
     return [-1 if p is None else at.get((o, p), -1) for o, p in zip(origins, parents)]
 
 
-def _colour(up: list[int]) -> tuple[list[int], list[int]]:
-    """Each node's local top and its depth below it; -1 on cycles and below them."""
+def _colour(up: list[int], step: list[int]) -> tuple[list[int], list[int]]:
+    """Each node's local top and its depth below it, step counting for a node's own level; -1 on cycles and below them."""
     n = len(up)
     colour, top, depth = bytearray(n), [-1] * n, [-1] * n
     for start in range(n):
@@ -41,7 +45,7 @@ def _colour(up: list[int]) -> tuple[list[int], list[int]]:
             trail.append(at)
             at = up[at]
         if at < 0:
-            head, level = trail[-1], -1
+            head, level = trail[-1], -step[trail[-1]]
         elif colour[at] == 1:  # a back edge
             head, level = -1, 0
         else:
@@ -49,7 +53,7 @@ def _colour(up: list[int]) -> tuple[list[int], list[int]]:
         for x in reversed(trail):
             colour[x] = 2
             if head >= 0:
-                level += 1
+                level += step[x]
                 top[x], depth[x] = head, level
     return top, depth
 
@@ -57,7 +61,7 @@ def _colour(up: list[int]) -> tuple[list[int], list[int]]:
 def _contract(bucket: pa.Table) -> pa.Table:
     columns = {c: bucket[c].to_pylist() for c in bucket.column_names}
     nodes, parents = columns["node"], columns["parent"]
-    top, depth = _colour(_parents(columns["origin"], nodes, parents))
+    top, depth = _colour(_parents(columns["origin"], nodes, parents), columns["step"])
     sums = {"w0": [None] * len(nodes), "w1": [None] * len(nodes)}
     for w, total in sums.items():
         for i, t in enumerate(top):
@@ -75,19 +79,46 @@ def _contract(bucket: pa.Table) -> pa.Table:
 
 
 def _arrow(column: str) -> pa.DataType:
-    if column in ("origin", "node", "parent", "top", "ext", "root", "path_from"):
+    if column in ("origin", "node", "parent", "real", "top", "ext", "root", "path_from"):
         return pa.string()
     return pa.bool_() if column in ("cyclic", "missing") else pa.list_(pa.string()) if column == "path" else pa.int64()
 
 
-def local_components(nodes: DataFrame, keep) -> DataFrame:
+def _spread(rows: DataFrame, keep) -> DataFrame:
+    """The nodes, where no node has more than CHILDREN children: those of a crowded one are put, CHILDREN at a time in their order, below
+    helpers that count for no level and no weight; helpers of helpers where there are too many. `real` keeps the parent."""
+    level = 0
+    while True:
+        crowded = rows.where("parent is not null").groupBy("origin", "parent").count().where(F.col("count") > CHILDREN)
+        crowded = keep(crowded.join(rows.select("origin", F.col("node").alias("parent")), ["origin", "parent"], "left_semi").select("origin", "parent"), "crowded")
+        if not crowded.limit(1).count():
+            return rows
+        level += 1
+        many = rows.join(crowded, ["origin", "parent"], "left_semi").select(rows.columns)
+        many = ordered.numbered(many, ["origin", "parent"], [F.col("ord").asc_nulls_last(), F.col("node")], "nth", keep)
+        helper = F.concat("parent", F.lit(f"\x00{level}\x00"), F.floor(F.col("nth") / CHILDREN).cast("string"))
+        many = keep(many.withColumn("helper", helper), "helped")
+        zero = F.lit(0).cast("long")
+        helpers = many.groupBy("origin", F.col("helper").alias("node")).agg(
+            F.min("parent").alias("parent"), F.min("place").alias("place"), F.floor(F.min("nth") / CHILDREN).alias("ord"), zero.alias("w0"), zero.alias("w1"), zero.alias("tag"),
+            F.substring_index(F.min("parent"), "\x00", 1).alias("real"), zero.alias("step"),
+        )
+        below = many.withColumn("parent", F.col("helper")).select(rows.columns)
+        others = rows.join(crowded, ["origin", "parent"], "left_anti").select(rows.columns)
+        rows = keep(others.unionByName(below).unionByName(helpers.select(rows.columns)), "spread")
+
+
+def local_components(nodes: DataFrame, keep, spread: bool = False) -> DataFrame:
     """Every node with its local top, its depth below it, and the parent that the top has elsewhere."""
     rows = keep(
         nodes.where("node is not null")
         .groupBy("origin", "node")
-        .agg(F.min("parent").alias("parent"), F.min("place").alias("place"), F.min("ord").alias("ord"), F.max("w0").alias("w0"), F.max("w1").alias("w1"), F.max("tag").alias("tag")),
+        .agg(F.min("parent").alias("parent"), F.min("place").alias("place"), F.min("ord").alias("ord"), F.max("w0").alias("w0"), F.max("w1").alias("w1"), F.max("tag").alias("tag"))
+        .withColumns({"real": F.col("parent"), "step": F.lit(1).cast("long")}),
         "nodes",
     )
+    if spread:
+        rows = _spread(rows, keep)
     buckets = max(1, -(-rows.count() // BUCKET_ROWS))
     crowded = rows.groupBy("place").count().where(F.col("count") > BUCKET_ROWS).select(F.col("place").alias("crowded"), F.ceil(F.col("count") / BUCKET_ROWS).alias("parts"))
     part = F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0))
@@ -99,9 +130,9 @@ def local_components(nodes: DataFrame, keep) -> DataFrame:
 def linked_tops(local: DataFrame, keep) -> DataFrame:
     """(origin, top, ext, next, step, ord, t0, t1) of the tops whose parent stands in another bucket; next is the parent's top, null
     where that is cyclic."""
-    tops = local.where("node = top and ext is not null").select("origin", "top", "ext", "ord", "t0", "t1")
-    targets = local.select("origin", F.col("node").alias("ext"), F.col("top").alias("next"), (F.col("up") + 1).alias("step"), "cyclic")
-    return keep(tops.join(targets, ["origin", "ext"]), "links")
+    tops = local.where("node = top and ext is not null").select("origin", "top", "ext", "ord", "t0", "t1", F.col("step").alias("own"))
+    targets = local.select("origin", F.col("node").alias("ext"), F.col("top").alias("next"), F.col("up").alias("above"), "cyclic")
+    return keep(tops.join(targets, ["origin", "ext"]).withColumn("step", F.col("above") + F.col("own")).drop("above", "own"), "links")
 
 
 def resolved(links: DataFrame, keep) -> DataFrame:
@@ -141,7 +172,7 @@ def _rooted(local: DataFrame, state: DataFrame) -> DataFrame:
     rows = local.join(found, ["origin", "top"], "left")
     cyclic = F.col("cyclic") | (F.col("done").isNotNull() & ~F.col("done"))
     return rows.select(
-        "origin", "node", "parent", "bucket", "ord", "w0", "w1", "tag", "top", "up", "ext",
+        "origin", "node", "parent", "bucket", "ord", "w0", "w1", "tag", "real", "step", "top", "up", "ext",
         F.when(~cyclic, F.coalesce("anc", "top")).alias("root"),
         F.when(~cyclic, F.col("up") + F.coalesce("dist", F.lit(0))).otherwise(F.lit(-1)).alias("depth"),
         ((F.col("node") == F.col("top")) & F.col("ext").isNotNull() & F.col("done").isNull()).alias("missing"),
@@ -182,18 +213,19 @@ def _order(bucket: pa.Table) -> pa.Table:
             before[x] = count
             count += w0[x] + (below0[x] if hung[x] else 0)
             p = up[x]
+            own = [columns["node"][x]] if columns["step"][x] else []
             if p < 0 or hung[x]:
-                landmark[x], path[x] = columns["parent"][x] if p < 0 else None, [columns["node"][x]]
-            elif len(path[p]) >= LANDMARK:
-                landmark[x], path[x] = columns["node"][p], [columns["node"][x]]
+                landmark[x], path[x] = columns["real"][x] if p < 0 else None, own
+            elif own and len(path[p]) >= LANDMARK:
+                landmark[x], path[x] = columns["node"][p] if columns["step"][p] else columns["real"][p], own
             else:
-                landmark[x], path[x] = landmark[p], [*path[p], columns["node"][x]]
+                landmark[x], path[x] = landmark[p], [*path[p], *own]
     columns |= {"before": before, "below0": below0, "below1": below1, "path_from": landmark, "path": path}
     names = [x.split()[0] for x in _ORDERED.split(", ")]
     return pa.table({c: pa.array(columns[c], _arrow(c)) for c in names})
 
 
-_ORDERED = "origin string, node string, parent string, root string, depth long, missing boolean, top string, w0 long, w1 long, tag long, hung long, before long, below0 long, below1 long, path_from string, path array<string>"
+_ORDERED = "origin string, node string, parent string, root string, depth long, missing boolean, top string, w0 long, w1 long, tag long, real string, step long, hung long, before long, below0 long, below1 long, path_from string, path array<string>"
 
 
 def ordered_hierarchy(nodes: DataFrame, keep) -> DataFrame:
@@ -203,7 +235,7 @@ def ordered_hierarchy(nodes: DataFrame, keep) -> DataFrame:
     descendants (so with w0 = 1 the descendants of a node are those of its root with before in (before, before + below0]).
     path and path_from: the ids from below the ancestor path_from to the node; a node's full path is that of path_from and its path
     (a path written out for every node would be quadratic in the depth). Nodes without a root have null instead of these."""
-    local = local_components(nodes, keep)
+    local = local_components(nodes, keep, spread=True)
     links = linked_tops(local, keep)
     state = resolved(links, keep)
     rows = _rooted(local, state)
@@ -213,14 +245,16 @@ def ordered_hierarchy(nodes: DataFrame, keep) -> DataFrame:
     hung = kids.select(
         "origin", F.col("top").alias("node"), F.col("ext").alias("parent"), "bucket", "ord", F.col("s0").alias("w0"), F.col("s1").alias("w1"), F.lit(0).cast("long").alias("tag"), F.col("in_top").alias("top"),
         F.lit(None).cast("string").alias("root"), F.lit(None).cast("long").alias("depth"), F.lit(False).alias("missing"), F.lit(1).cast("long").alias("hung"),
+        F.lit(None).cast("string").alias("real"), F.lit(1).cast("long").alias("step"),
     )
     inner = rows.where("root is not null").drop("up", "ext").withColumn("hung", F.lit(0).cast("long"))
     walked = keep(inner.unionByName(hung).groupBy("bucket").applyInArrow(_order, _ORDERED), "walked")
     starts = walked.where("hung = 1").select("origin", F.col("node").alias("top"), F.col("top").alias("next"), "before")
     base = _path_sums(starts, keep)
     numbered = walked.where("hung = 0").join(base, ["origin", "top"], "left").withColumn("before", F.col("before") + F.coalesce("base", F.lit(0))).drop("base", "hung", "top")
-    rest = rows.where("root is null").select("origin", "node", "parent", "root", "depth", "missing", "w0", "w1", "tag")
-    return numbered.unionByName(rest, allowMissingColumns=True)
+    rest = rows.where("root is null").select("origin", "node", "parent", "root", "depth", "missing", "w0", "w1", "tag", "real", "step")
+    whole = numbered.unionByName(rest, allowMissingColumns=True)
+    return whole.where("step = 1").withColumn("parent", F.col("real")).drop("real", "step")
 
 
 def _tree_sums(good: DataFrame, local: DataFrame, keep) -> DataFrame:

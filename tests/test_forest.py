@@ -63,15 +63,18 @@ def shapes(seed):
         rows.append(("a", f"n{i}", p, str(i % 17), r.randrange(50), 1, 0, 0))
     for i in range(500):  # a chain
         rows.append(("b", f"c{i:03}", f"c{i - 1:03}" if i else None, str(i // 9), i, 1, 0, 0))
+    rows += [("s", f"k{i:02}", "hub" if i % 3 else f"k{i - 1:02}", str(i % 5), r.randrange(9), 1, 0, 0) for i in range(1, 60)] + [("s", "hub", None, "0", 1, 1, 0, 0), ("s", "k00", "gone", "0", 1, 1, 0, 0)]  # a star with twigs
+    rows += [("s", f"g{i}", "gone", "g", i, 1, 0, 0) for i in range(12)] + [("s", f"l{i}", "loop", "l", i, 1, 0, 0) for i in range(12)] + [("s", "loop", "l5", "l", 0, 1, 0, 0)]  # a crowd without its parent, and one on a cycle
     for i in range(30):  # a ring with a tail
         rows.append(("b", f"r{i}", f"r{(i + 1) % 20}" if i < 20 else f"r{i - 1}", str(i), i, 1, 0, 0))
     rows += [("b", "self", "self", "s", 1, 1, 0, 0), ("b", None, "c001", "s", 1, 1, 0, 0), ("b", "c003", "c002", "3", 3, 1, 0, 0), ("b", "", None, None, None, 1, 0, 0), ("a", "c001", "c000", "0", 1, 1, 0, 0)]
     return rows
 
 
-@pytest.mark.parametrize("bucket_rows", [7, 20_000])
-def test_against_brute_force(spark, monkeypatch, bucket_rows):
+@pytest.mark.parametrize("bucket_rows, most_children", [(7, 3), (20_000, 5_000)])
+def test_against_brute_force(spark, monkeypatch, bucket_rows, most_children):
     monkeypatch.setattr(forest, "BUCKET_ROWS", bucket_rows)
+    monkeypatch.setattr(forest, "CHILDREN", most_children)
     rows = shapes(1)
     parents, found, walk = brute(rows)
     df = spark.createDataFrame(rows, SCHEMA)
