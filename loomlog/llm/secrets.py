@@ -44,7 +44,8 @@ _KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _KEY_BODY = re.compile(r"(?:\s|\\r|\\n|[\"'+,\\>|#*/]|[\w-]+: [^\n\\]*(?:\n|\\n))*[A-Za-z0-9+/]{24,}")
 
 _SENSITIVE = r"(?:(?:api|secret|encryption|private|access|signing|master|shared|account)[ _-]?key|secret|token|passw(?:or)?d|passphrase|(?<![a-z])pass|(?<=smtp)pass|pwd|(?<![a-z])pw|(?<=admin)pw|credentials?|_auth)"
-_NAME = re.compile(rf"(?<![A-Za-z0-9])[A-Za-z0-9_.-]{{0,64}}?{_SENSITIVE}(?![A-Za-z0-9_-])", re.I)
+_NAME = re.compile(rf"[A-Za-z0-9_.-]*?{_SENSITIVE}(?![A-Za-z0-9_-])", re.I)
+_NAME_END = re.compile(rf"{_SENSITIVE}(?![A-Za-z0-9_-])", re.I)  # what stands before it in the name needs no search
 _BETWEEN = re.compile(
     r"""\\?["'`]?\]?\s*(?:
         :\s*(?:&\s*)?(?:'static\s+)?(?:str|String|string|text|any|Secret\w*)\s*(?:\|\s*\w+\s*)?=(?![=>])\s*
@@ -54,15 +55,18 @@ _BETWEEN = re.compile(
     )""",
     re.X | re.I,
 )
-_FALLBACK = re.compile(r"(?:(?:os\.environ\.get|(?:os\.)?getenv|env|ENV\.fetch)\([^,()\n]*,|[\w.]{1,200}(?:\([^()\n]{0,200}\)|\[[^\[\]\n]{0,200}\])?[ \t]*(?:\?\?|\|\||\bor\b|\?:))[ \t]*(?=[\"'`])")
+_FALLBACK = re.compile(r"(?:(?:os\.environ\.get|(?:os\.)?getenv|env|ENV\.fetch)\([^,()\n]*,|[\w.]+(?:\([^()\n]*\)|\[[^\[\]\n]*\])?[ \t]*(?:\?\?|\|\||\bor\b|\?:))[ \t]*(?=[\"'`])")
 _WRAP = re.compile(r"(?:(?:String::from|str|Secret(?:Str)?|SecretString::from|new\s+\w+|bytes|quote|trim|\w+)?\(\s*)?(?:[fFbBrRuU]{1,2}(?=[\"']))?")
 _QUOTED = re.compile(r"""\\?(?P<q>["'`])(?P<v>(?:(?!(?P=q))[^\n\\]|\\(?!["'`]).)*)""")
 _MORE = re.compile(r"""[ \t]*[+\\.]?[ \t]*\r?\n[ \t]*\+?[ \t]*[fbru]{0,2}(?P<q>["'])(?P<v>(?:(?!(?P=q))[^\n\\])*)(?P=q)""")
-_UNQUOTED = re.compile(r"[^\s\"'`,;<>(){}\[\]|&\\]{1,4097}")
+_UNQUOTED = re.compile(r"[^\s\"'`,;<>(){}\[\]|&\\]++")
 _FOLDED = re.compile(r":\s*[>|][+-]?[0-9]?[ \t]*\r?\n([ \t]+)(?P<v>[^\s]+)[ \t]*(?=\r?\n|\Z)")
 _NEXT_LINE = re.compile(r"\\?[\"'`]?\]?\s*[:=]\s*\(?\s*\\?\r?\n[ \t]*(?=\\?[\"'`])")
 
-_ADDRESS = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{0,30}://(?P<u>[^/\s:@'\"<>]{0,200}):(?P<v>[^\s@'\"<>]{1,1000}?)@(?=[A-Za-z0-9\[])")
+_ADDRESS = re.compile(r"(?<=[A-Za-z0-9+.-])://[^/\s:@'\"<>]*+:")
+_SCHEME = frozenset("0123456789+.-")
+_ADDRESS_RUN = re.compile(r"[^\s@'\"<>]++")
+_HOST = re.compile(r"@(?=[A-Za-z0-9\[])")
 _BASIC = re.compile(r"\bbasic\s+(?P<v>[A-Za-z0-9+/_-]{8,}={0,2})", re.I)
 _BEARER = re.compile(r"\b(?:bearer|token)\s+(?P<v>[A-Za-z0-9._~+/-]{16,}={0,2})", re.I)
 _LOGIN = re.compile(r"""["']?\bauths?["']?\s*[:=]\s*["'](?P<v>[A-Za-z0-9+/]{8,}={0,2})["']""")
@@ -70,14 +74,17 @@ _PLACES = [
     re.compile(r"\bidentified\s+(?:with\s+\S+\s+)?by\s+(?:password\s+)?(?P<q>['\"])(?P<v>[^'\"\n]+)(?P=q)", re.I),
     re.compile(r"https?://hooks\.[^\s/\"']+/(?P<v>(?:services|workflows|triggers)/[A-Za-z0-9]{6,}/[A-Za-z0-9/_-]{16,})"),
     re.compile(r"\blogin\s+\S+\s+password\s+(?P<v>[^\s'\"]+)", re.I),
-    re.compile(r"\b(?:docker|podman|helm|oc|az|npm)\b[^\n]{0,300}?\blogin\b[^\n]{0,300}?\s(?:-p|--password)[ =]\s*(?P<q>[\"']?)(?P<v>[^\s\"']+)(?P=q)"),
-    re.compile(r"\b(?:mysql\w{0,20}|mariadb\w{0,20}|sshpass|mongo\w{0,20})\b[^\n]{0,500}?\s-p\s*(?P<q>[\"']?)(?P<v>[^\s\"']+)(?P=q)"),
-    re.compile(r"\b(?:curl|wget|http)\b[^\n]{0,500}?\s(?:-u|--user)[ =]\s*(?P<q>[\"']?)[^\s:\"']+:(?P<v>[^\s\"']+)(?P=q)"),
     re.compile(r"\bauth\s*=\s*\(\s*([\"'])[^\"']*\1\s*,\s*(?P<q>[\"'])(?P<v>[^\"'\n]+)(?P=q)"),
     re.compile(r"\b[Uu]se\s+(?P<q>[`'\"]?)(?P<v>[^\s`'\"]+)(?P=q)\s+(?:as|for)\s+(?:the|my|our|your|a)\s[^\n.]{0,60}?" + _SENSITIVE, re.I),
     re.compile(r"\b(?:with|as)\s+\S+\s+and\s+(?P<q>[`'\"]?)(?P<v>[^\s`'\"]+)(?P=q)\s+as\s+(?:the|its|my)\s+[^\n.]{0,30}?" + _SENSITIVE, re.I),
     re.compile(r"\b(?:contraseña|clave|passwort|kennwort|mot de passe)\b[^\n.:]{0,30}?(?:\bes\b|\bist\b|\best\b|\blautet\b|:)\s+(?P<q>[`'\"]?)(?P<v>[^\s`'\"]+)(?P=q)", re.I),
 ]
+#: Command words, what must follow them, and the option with the credential: each searched for behind the one before, at any distance.
+_COMMANDS = [
+    (re.compile(r"\b(?:docker|podman|helm|oc|az|npm)\b"), re.compile(r"\blogin\b"), re.compile(r"\s(?:-p|--password)[ =]\s*(?P<q>[\"']?)(?P<v>[^\s\"']+)(?P=q)")),
+    (re.compile(r"\b(?:mysql\w*|mariadb\w*|sshpass|mongo\w*)\b"), None, re.compile(r"\s-p\s*(?P<q>[\"']?)(?P<v>[^\s\"']+)(?P=q)")),
+    (re.compile(r"\b(?:curl|wget|http)\b"), None, re.compile(r"\s(?:-u|--user)[ =]\s*(?P<q>[\"']?)[^\s:\"']+:(?P<v>[^\s\"']+)(?P=q)")),
+]
 _KEY_PAIR = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}[\"']?\s*[,:;]\s*[\"']?(?P<v>[A-Za-z0-9+/]{40})(?![A-Za-z0-9+/])")
 _VARIABLE = re.compile(r"""\b(?:variable|param(?:eter)?|input)\s+["'](?P<name>[^"'\n]+)["']\s*\{[^}]{0,400}?\bdefault\s*=\s*["'](?P<v>[^"'\n]+)["']""")
 _ENV_ENTRY = re.compile(r"""\bname:\s*["']?(?P<name>[\w.-]+)["']?[ \t]*\r?\n[ \t]*value:[ \t]*(?P<q>["']?)(?P<v>[^\s"']+)(?P=q)[ \t]*(?=\r?\n|\Z)""")
@@ -85,17 +92,22 @@ _ENV_ENTRY = re.compile(r"""\bname:\s*["']?(?P<name>[\w.-]+)["']?[ \t]*\r?\n[ \t
 #: What stands for a credential without being one: fixed values.
 _PLACEHOLDER = re.compile(
     r"""(?:x{3,}|\*{3,}|\.{3,}|•{3,}|-{3,}|_{3,}|0{6,}|1234(?:5(?:6(?:7(?:89?)?)?)?)?0?|null|none|nil|true|false|undefined|todo|tbd|n/?a|unset|empty|dummy|example|sample|test|secret|password|passwd|changeme|change[_-]?(?:me|it|this)|
-    redacted|removed|hidden|masked|replace[_-]?(?:me|this|with.*)|insert[_-].*|your[_-].*|my[_-](?:secret|token|password|api|key).*|(?:the|some|any)[_-].*|string|str|bytes|int|bool|number|boolean|text|required|optional|default|value|prompt|.*(?:example|placeholder|redacted|changeme|replace[_-]?me).*)""",
+    redacted|removed|hidden|masked|replace[_-]?(?:me|this|with.*)|insert[_-].*|your[_-].*|my[_-](?:secret|token|password|api|key).*|(?:the|some|any)[_-].*|string|str|bytes|int|bool|number|boolean|text|required|optional|default|value|prompt)""",
     re.I | re.X,
 )
+_MARKED = re.compile(r"example|placeholder|redacted|changeme|replace[_-]?me", re.I)
 _REFERENCE = re.compile(r"\$|\{\{|%\(|<[^>]*>?|[@:!&*%][A-Za-z_][A-Za-z_.]*\Z|vault[:/.]|(?:process|os|env|ENV|var|local|data|module|secrets?|config|settings|self|this|cfg|ctx|args|params|values|std|System|vault|kv|request|req|options|opts|input|props)(?:\.|::|\[|->)\w?")
+#: Longer literals are data.
+MOST = 20_000
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+_TURN = re.compile(r"[a-z](?=[A-Z])")
+_NO_WORD = re.compile(r"[^A-Za-z_.:]+")
 _UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
 
 
 def _masked(value: str) -> bool:
     bare = value.strip("<>[](){}\"'`*#-_. ")
-    return not bare or len(set(value)) <= 2 or bool(_PLACEHOLDER.fullmatch(value) or _PLACEHOLDER.fullmatch(bare))
+    return not bare or len(set(value[:64])) <= 2 and len(set(value)) <= 2 or bool(_PLACEHOLDER.fullmatch(value) or _PLACEHOLDER.fullmatch(bare) or _MARKED.search(value))
 
 
 def _decoded(value: str) -> str | None:
@@ -109,7 +121,7 @@ def _decoded(value: str) -> str | None:
 
 def plausible(value: str, quoted: bool = True) -> bool:
     """Whether a literal beside a name that asks for a credential is one."""
-    if not 6 <= len(value) <= 20_000 or _masked(value):
+    if not 6 <= len(value) <= MOST or _masked(value):
         return False
     if _REFERENCE.match(value) and not (quoted and value[0] == "$" and any(c.isdigit() for c in value)):
         return False
@@ -124,14 +136,14 @@ def plausible(value: str, quoted: bool = True) -> bool:
     inner = _decoded(value) if len(value) >= 12 and len(value) % 4 == 0 else None
     if inner and (_masked(inner) or inner[0] in "<${"):
         return False
-    digits, letters = sum(c.isdigit() for c in value), re.sub(r"[^A-Za-z]", "", value)
+    digits, letters = sum(map(str.isdigit, value)), re.sub(r"[^A-Za-z]+", "", value)
     words = re.split(r"[-_.]", value)
     if _NAME.fullmatch(value) and not digits:
         return False
     if re.fullmatch(r"[A-Za-z_][A-Za-z_.:-]*", value):  # letters only: words, or a phrase of four and more, or random letters
         if "-" in value and "_" not in value and len(words) >= 4 and value.islower():
             return True
-        turns = sum(a.islower() and b.isupper() for a, b in zip(letters, letters[1:]))
+        turns = turns_of(letters)
         return len(value) >= 12 and turns >= 3 and turns * 5 >= len(letters) or inner is not None and len(value) >= 12 and turns >= 2
     if not quoted and re.fullmatch(r"[A-Za-z_]\w*(?:(?:\.|::|->)[A-Za-z_]\w*)+", value) and (not digits or value.islower()) and not any(len(w) > 12 for w in words):
         return turns_of(letters) >= 3
@@ -141,7 +153,7 @@ def plausible(value: str, quoted: bool = True) -> bool:
 
 
 def turns_of(letters: str) -> int:
-    return sum(a.islower() and b.isupper() for a, b in zip(letters, letters[1:]))
+    return len(_TURN.findall(letters)) if letters.isascii() else sum(a.islower() and b.isupper() for a, b in zip(letters, letters[1:]))
 
 
 def _token(value: str) -> bool:
@@ -160,7 +172,29 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def _literal(text: str, at: int) -> tuple[int, int] | None:
+class _Runs:
+    """Where the run of a pattern's characters around a position ends; a run is scanned once, however many positions lie in it."""
+
+    def __init__(self, pattern: re.Pattern):
+        self.pattern, self.begin, self.end, self.words, self.found = pattern, 0, 0, 0, 0
+
+    def end_of(self, text: str, at: int, limit: int) -> int:
+        if not self.begin <= at < self.end:
+            found = self.pattern.match(text, at, limit)
+            self.begin, self.end = at, found.end() if found else at
+            self.words = self.found = self.end
+            if self.end - at > 1000:  # else it is looked at as often as there are names in it
+                rest = text[max((m.end() for m in _NO_WORD.finditer(text, at, self.end)), default=at) : self.end]
+                if turns_of(re.sub("[^A-Za-z]+", "", rest)) < 2:
+                    self.words = self.end - len(rest)
+        return self.end
+
+    def only_words(self, text: str, at: int) -> bool:
+        """Whether the rest of the run is letters without turns, which is never plausible."""
+        return at >= self.words and at < self.end and text[at] not in ".:"
+
+
+def _literal(text: str, at: int, runs: _Runs) -> tuple[int, int] | None:
     """The span of the plausible literal that begins at a position after a name and what stands between."""
     for skip in (_FALLBACK, _WRAP):
         found = skip.match(text, at)
@@ -174,15 +208,42 @@ def _literal(text: str, at: int) -> tuple[int, int] | None:
             if _KEY_BLOCK.match(value):
                 return None  # found as a key block
             return (quoted.start("v"), quoted.end("v")) if plausible(value) else None
-    bare = _UNQUOTED.match(text, at)
-    if bare and len(bare[0]) <= 4096:
-        end = bare.end()
-        value = bare[0].rstrip(".:") if text[end : end + 1] in ("", " ", "\n", "\r") else bare[0]
-        if text[end : end + 1] not in ("(", "{", "[") and plausible(value, quoted=False):
-            return bare.start(), bare.start() + len(value)
+    end = runs.end_of(text, at, len(text))
+    after = text[end : end + 1]
+    if end > at and after not in ("(", "{", "["):
+        stop = end
+        while after in ("", " ", "\n", "\r") and stop > at and text[stop - 1] in ".:":
+            stop -= 1
+        if at >= runs.found or stop - at <= MOST and not runs.only_words(text, at) and plausible(text[at:stop], quoted=False):
+            runs.found = min(runs.found, at)  # what begins in a credential belongs to it
+            return at, stop
     return None
 
 
+def _addresses(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
+    """The spans of passwords in addresses."""
+    runs, at = _Runs(_ADDRESS_RUN), begin
+    while m := _ADDRESS.search(text, at, end):
+        at, first = m.end(), m.start() - 1
+        while first > begin and text[first] in _SCHEME:
+            first -= 1
+        if text[first] in _SCHEME or not (text[first].isascii() and text[first].isalpha()):
+            continue
+        stop = runs.end_of(text, m.end(), end)
+        if stop > m.end() and _HOST.match(text, stop, end):
+            yield m.end(), stop
+            at = stop + 1
+
+
+def _options(text: str, begin: int, end: int) -> Iterator[re.Match]:
+    """The options of commands that hold a credential: the first after each command word, from the option before it on."""
+    for command, then, option in _COMMANDS:
+        at = begin
+        while (m := command.search(text, at, end)) and (m := then.search(text, m.end(), end) if then else m) and (m := option.search(text, m.end(), end)):
+            yield m
+            at = m.end()
+
+
 def _in_line(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
     for m in ISSUERS.finditer(text, begin, end):
         if _token(m[0]):
@@ -192,27 +253,28 @@ def _in_line(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
         if body:
             stop = _KEY_END.search(text, m.end())
             yield m.start(), stop.start() if stop else body.end()
-    for m in _NAME.finditer(text, begin, end):
+    runs = _Runs(_UNQUOTED)
+    for m in _NAME_END.finditer(text, begin, end):
         between = _BETWEEN.match(text, m.end(), end)
-        span = _literal(text, between.end()) if between and between.end() < end else None
+        span = _literal(text, between.end(), runs) if between and between.end() < end else None
         if not span:
             folded = _FOLDED.match(text, m.end())
             if folded and plausible(folded["v"]):
                 span = folded.span("v")
             elif following := _NEXT_LINE.match(text, m.end()):
-                span = _literal(text, following.end())
+                span = _literal(text, following.end(), runs)
         if span:
             yield span
-    for m in _ADDRESS.finditer(text, begin, end):
-        if m["v"][0] not in "<{[$%*" and not _masked(m["v"]) and len(m["v"]) >= 4:
-            yield m.span("v")
+    for a, b in _addresses(text, begin, end):
+        if b - a >= 4 and text[a] not in "<{[$%*" and not _masked(text[a:b]):
+            yield a, b
     for pattern in (_BASIC, _LOGIN):
         for m in pattern.finditer(text, begin, end):
             inner = _decoded(m["v"])
             if inner and ":" in inner and len(inner.split(":", 1)[1]) >= 4 and not _masked(inner.split(":", 1)[1]) and inner.split(":", 1)[1][0] not in "<${":
                 yield m.span("v")
-    for pattern in (_BEARER, *_PLACES):
-        for m in pattern.finditer(text, begin, end):
+    for pattern, found in [*((p, p.finditer(text, begin, end)) for p in (_BEARER, *_PLACES)), (None, _options(text, begin, end))]:
+        for m in found:
             value = m["v"].rstrip(",;:") if pattern is not _BEARER else m["v"]
             if plausible(value, quoted=False) and (pattern is not _BEARER or any(c.isdigit() for c in value) or turns_of(value) >= 3):
                 yield m.start("v"), m.start("v") + len(value)

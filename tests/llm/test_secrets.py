@@ -78,3 +78,32 @@ def test_long_texts_take_seconds(name):
     began = time.process_time()
     secrets.find(LONG[name])
     assert time.process_time() - began < 15
+
+
+FAR = "--header 'x: y' " * 400
+AT_ANY_DISTANCE = [
+    (f"docker --config /x {FAR}login {FAR}-u svc -p RNewb26m1r5K~ host.invalid", "RNewb26m1r5K~"), (f"mysql {FAR}-u svc -p'3fOqU*C0CEKN' db", "3fOqU*C0CEKN"), (f"curl {FAR}-u svc:Mitul%ke6562 https://x.invalid", "Mitul%ke6562"),
+    ("docker login -u a -p RNewb26m1r5K~ x && docker login -u b -p Zanost*ves4801 y", "Zanost*ves4801"), (f"API_KEY={HEX * 150} x", HEX * 150), (f"{'a1B' * 40}_token={HEX}", HEX), (f"{'a1B' * 40}token={HEX}", HEX),
+    (f"token = {'load' * 60}({'x' * 300}) ?? '{B32}'", B32), (f"url = mongodb://{'svc' * 80}:{HEX * 30}@host.invalid:1/db", HEX * 30), (f"{'a' * 40}+x://svc:VyG5h889FVhWp@host.invalid", "VyG5h889FVhWp"),
+]
+
+
+@pytest.mark.parametrize("text, value", AT_ANY_DISTANCE, ids=range(len(AT_ANY_DISTANCE)))
+def test_found_at_any_distance_and_length(text, value):
+    found = secrets.find(f"first line\n{text}\nlast")
+    assert value in [f"first line\n{text}\nlast"[a:b] for a, b in found]
+
+
+STILL_LONG = {
+    "options": "curl -u x mysql -p docker login -p " * 8_000, "commands without options": "curl mysql docker " * 20_000 + "-pw", "long values": "token=" + "aB3-" * 100_000, "runs": ("token:" * 3_000 + " ") * 6,
+    "calls": "token = f(" * 20_000, "users": "://a" * 50_000 + ":key", "schemes": "a+" * 100_000 + "://b:c", "passwords": "http://a:b" * 100_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(STILL_LONG))
+def test_unbounded_patterns_take_seconds(name):
+    import time
+
+    began = time.process_time()
+    secrets.find(STILL_LONG[name])
+    assert time.process_time() - began < 15
