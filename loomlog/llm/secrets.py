@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: What a line must hold, in lower case, to be searched: fixed values.
+#: What a line must hold, in lower case, to be searched: whatever a pattern matches holds one of these (tested). Fixed values.
 KEYWORDS = [
-    "key", "token", "secret", "passw", "pass", "pwd", "pw", "credential", "bearer", "basic ", "private key", "://", "akia", "asia", "ghp_", "gho_", "ghs_", "github_pat_",
-    "glpat-", "sk-", "sk_", "rk_", "xox", "aiza", "eyj", "hf_", "npm_", "pypi-", "lgr", "auth", "contrase", "mot de passe", "kennwort", "login", "log in", "-p", "mysql", "here you go", "clave", "identified",
+    "key", "token", "secret", "passw", "pass", "pwd", "pw", "credential", "bearer", "basic", "private key", "://", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_",
+    "glpat-", "sk-", "sk_", "rk-", "rk_", "xox", "aiza", "eyj", "hf_", "npm_", "pypi-", "lgr", "auth", "contrase", "mot de passe", "kennwort", "login", "log in", "-p", "mysql", "here you go", "clave", "identified", "curl", "wget", "http",
 ]
 _AUTOMATON = ahocorasick.Automaton()
 for _word in KEYWORDS:
@@ -168,6 +168,9 @@ def _token(value: str) -> bool:
 
 
 def _lower(text: str) -> str:
+    """As patterns that ignore case see it, without a change of length."""
+    if not text.isascii():
+        text = text.replace("\u0130", "i").replace("\u0131", "i").replace("\u017f", "s")
     low = text.lower()
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 

@@ -107,3 +107,34 @@ def test_unbounded_patterns_take_seconds(name):
     began = time.process_time()
     secrets.find(STILL_LONG[name])
     assert time.process_time() - began < 15
+
+
+SEARCHED = {
+    "issuers": secrets.ISSUERS, "key block": secrets._KEY_BLOCK, "name": secrets._NAME_END, "basic": secrets._BASIC, "bearer": secrets._BEARER, "login": secrets._LOGIN, "address": secrets._ADDRESS, "pair": secrets._KEY_PAIR,
+    **{f"place {i}": p for i, p in enumerate(secrets._PLACES)}, **{f"command {i}": then or command for i, (command, then, _) in enumerate(secrets._COMMANDS) if i != 1}, "option": secrets._COMMANDS[1][2],
+}
+
+
+@pytest.mark.parametrize("name", sorted(SEARCHED))
+def test_what_a_pattern_matches_hits_the_automaton(name):
+    hypothesis = pytest.importorskip("hypothesis")
+    pattern = SEARCHED[name]
+    # strings are made without the looks around and possessive marks, which don't add characters, and without letters that don't match then
+    source = pattern.pattern.replace("(?<![A-Za-z0-9])", "").replace("(?<=[A-Za-z0-9+.-])", "").replace("*+", "*").replace("++", "+")
+
+    @hypothesis.settings(max_examples=200, deadline=None, database=None, derandomize=True, suppress_health_check=list(hypothesis.HealthCheck))
+    @hypothesis.given(hypothesis.strategies.from_regex(__import__("re").compile(source, pattern.flags)))
+    def hits(text):
+        m = pattern.search(text)
+        hypothesis.assume(m)
+        assert list(secrets._AUTOMATON.iter(secrets._lower(m[0]))), m[0]
+
+    hits()
+
+
+@pytest.mark.parametrize("text, value", [
+    *((x, x) for x in ("gh" + c + "_" + "a9PqkN5GdF6dkY7Mb8QrmP6HfG7emZ8NcWx1" for c in "pousr")), ("r" + "k-" + B32, "rk-" + B32), ("curl -u svc:Mitul%ke6562 host.invalid/x", "Mitul%ke6562"),
+    ("wget --user svc:Mitul%ke6562 host.invalid/x", "Mitul%ke6562"), ("http -u svc:Mitul%ke6562 host.invalid/x", "Mitul%ke6562"), (f"Basic\t{b64('svc:Graf!2x9')}", b64("svc:Graf!2x9")), (f"\u017fecret = '{HEX}'", HEX),
+])
+def test_lines_without_other_keywords(text, value):
+    assert [text[a:b] for a, b in secrets.find(text)] == [value]
