@@ -5,14 +5,16 @@ atoms is joined to the end of the piece that begins there and to the start of th
 again and again, and all starts that the first one reaches are marked in parallel.
 
 A piece ends at the farthest boundary within the limit, at an end of line or sentence where one lies in its second half, else at
-white space. Only where there is none, an atom is cut between words, or between characters where one word is too long. The next
-piece starts at the last boundary that gives at least the overlap. Null and empty texts have no pieces; texts within the limit are
-one piece. Pieces cover the text without gaps, and each ends beyond the one before.
+white space. Only where there is none, or none that leaves room for the overlap, an atom is cut between words, or between
+characters where one word is too long; texts without room are walked piece by piece, with real counts. The next piece starts at the last boundary that gives
+at least the overlap, which only characters of many tokens can prevent, where the limit is a few tokens. Null and empty texts have no
+pieces; texts within the limit are one piece. Pieces cover the text without gaps, and each ends beyond the one before.
 """
 
 from __future__ import annotations
 
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ from loomlog.llm import tokenizers
 #: So many chunks of texts, at least, are cut together.
 TOGETHER = 40_000
 _SENTENCE_ENDS = tuple(".!?…。！？")
-_LINE, _SPACE, _INSIDE = 2, 1, 0
+_LINE, _SPACE, _INSIDE, _WITHIN = 2, 1, 0, -1
 
 
 def _finer(tokenizer, chunk: str, most: int) -> tuple[list[int], list[int], bool]:
@@ -47,6 +49,113 @@ def _finer(tokenizer, chunk: str, most: int) -> tuple[list[int], list[int], bool
     return *fine, True
 
 
+class _Walk:
+    """The pieces of one text, one after another, where whole chunks don't do: they are too long, or leave no room for the overlap.
+
+    Boundaries are those of chunks, of words, and of tokens inside words that fall on characters. Tokens between boundaries of words
+    add up; from or to a place inside a word they are counted, where the tokenizer's don't. Only what has more tokens than `least` is
+    parted: smaller chunks and words always leave room for the overlap and for going on."""
+
+    def __init__(self, tokenizer, text: str, chunks: list[str], counts: list[int], most: int, overlap: int):
+        self.tokenizer, self.text, self.most, self.overlap = tokenizer, text, most, overlap
+        self.at, self.before, kinds, self.whole = [0], [0], [_LINE], [True]
+        self.counted: dict[tuple[int, int], int] = {}
+        self.farthest: dict[int, int] = {}
+        least = (most - overlap) // 4
+        for i, (chunk, count) in enumerate(zip(chunks, counts)):
+            parts = tokenizer.parts(chunk, least) if count > least else [(len(chunk), count, count or 1)]
+            for length, tokens, ends in parts:
+                self.at.append(self.at[-1] + length)
+                self.before.append(self.before[-1] + tokens)
+                self.whole.append(bool(ends) or tokenizer.additive and not text[self.at[-1] - 1].isspace())
+                kinds.append(_INSIDE if ends else _WITHIN)
+            self.whole[-1] = True
+            kinds[-1] = _LINE if i + 1 == len(chunks) or "\n" in chunks[i + 1] or chunk.endswith(_SENTENCE_ENDS) else _SPACE
+            if count > most:
+                self._too_long(kinds, len(kinds) - len(parts), parts)
+        self.last = len(kinds) - 1
+        here = np.arange(len(kinds))
+        #: For each kind, the last boundary of at least this kind up to each boundary.
+        self.up_to = {kind: np.maximum.accumulate(np.where(np.array(kinds) >= kind, here, -1)).tolist() for kind in (_LINE, _SPACE, _INSIDE, _WITHIN)}
+
+    def _too_long(self, kinds: list[int], first: int, parts: list[tuple[int, int, int]]) -> None:
+        """Boundaries inside words beyond the limit are as good as those between words."""
+        begin = 0
+        for k, (_, _, ends) in enumerate(parts):
+            if ends:
+                if ends > self.most:
+                    kinds[first + begin : first + k] = [_INSIDE] * (k - begin)
+                begin = k + 1
+
+    def tokens(self, a: int, b: int) -> int:
+        if self.whole[a] and self.whole[b]:
+            return self.before[b] - self.before[a]
+        if (a, b) not in self.counted:
+            self.counted[a, b] = self.tokenizer.count_once(self.text[self.at[a] : self.at[b]])
+        return self.counted[a, b]
+
+    def far(self, a: int) -> int:
+        """The farthest boundary within the limit."""
+        if a in self.farthest:
+            return self.farthest[a]
+        b = min(max(bisect_right(self.before, self.before[a] + self.most) - 1, a + 1), self.last)
+        while b > a + 1 and self.tokens(a, b) > self.most:
+            b -= 1
+        while b < self.last and self.tokens(a, b + 1) <= self.most:
+            b += 1
+        self.farthest[a] = b
+        return b
+
+    def end(self, a: int, beyond: int) -> int:
+        """The end of the piece that begins at a boundary, where the one before ends at another."""
+        far = self.far(a)
+        if far == self.last:
+            return far
+        line = self.up_to[_LINE][far]
+        found = [line] if line > a and self.tokens(a, line) >= self.most / 2 else []
+        for b in (*found, self.up_to[_SPACE][far], self.up_to[_INSIDE][far]):
+            if b > max(a + 1, beyond) and self.tokens(a + 1, b) >= self.overlap:  # else the next one begins where this does
+                return b
+        return far
+
+    def start(self, a: int, end: int) -> int:
+        """The start of the piece after the one between two boundaries."""
+        if not self.overlap:
+            return end
+        b = min(max(bisect_right(self.before, self.before[end] - self.overlap) - 1, a + 1), end)
+        while b > a + 1 and self.tokens(b, end) < self.overlap:
+            b -= 1
+        while b + 1 < end and self.tokens(b + 1, end) >= self.overlap:
+            b += 1
+        possible = []
+        for kind in (_SPACE, _INSIDE, _WITHIN):
+            c = self.up_to[kind][b]
+            while c > a and self.tokens(c, end) < self.overlap:
+                c = self.up_to[kind][c - 1]
+            if kind == _INSIDE and self.tokens(c, end) > 2 * self.overlap:
+                continue  # a long word
+            if c > a and (far := self.far(c)) > end and self.tokens(c, far) <= self.most:
+                if far == self.last or self.up_to[_SPACE][far] > end:
+                    return c
+                possible.append(c)
+        if possible:
+            return possible[0]
+        while b < end and self.tokens(b, end + 1) > self.most:  # single characters of many tokens: as much as there is room for
+            b += 1
+        return b
+
+    def pieces(self) -> list[tuple[int, int, int]]:
+        out, a, b = [], 0, self.end(0, 0)
+        while True:
+            out.append((self.at[a], self.at[b], self.tokens(a, b)))
+            if b == self.last:
+                return out
+            a = self.start(a, b)
+            b = self.end(a, b)
+            self.counted.clear()
+            self.farthest.clear()
+
+
 class Lexicon(dict):
     """Chunks by number, with the length, the kind of its ends and the tokens of each, for all tokenizers at once."""
 
@@ -123,14 +232,8 @@ def _kinds(ends: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return kinds
 
 
-def pieces(tokenizer, text: str, most: int, overlap: int) -> list[tuple[int, int, int]]:
-    """(start, end, tokens) of each piece of one text, in characters."""
-    chunks = tokenizers.CHUNK.findall(text)
-    if not chunks:
-        return []
-    counts = tokenizer.chunk_counts(chunks)
-    if sum(counts) <= most:
-        return [(0, len(text), sum(counts))]
+def _rough(tokenizer, text: str, chunks: list[str], counts: list[int], most: int, overlap: int) -> list[tuple[int, int, int]]:
+    """The same where chunks are too long."""
     lengths: list[int] = []
     tokens: list[int] = []
     kinds: list[int] = []
@@ -154,6 +257,25 @@ def pieces(tokenizer, text: str, most: int, overlap: int) -> list[tuple[int, int
     return list(zip(a, b, n))
 
 
+def pieces(tokenizer, text: str, most: int, overlap: int) -> list[tuple[int, int, int]]:
+    """(start, end, tokens) of each piece of one text, in characters."""
+    chunks = tokenizers.CHUNK.findall(text)
+    if not chunks:
+        return []
+    counts = tokenizer.chunk_counts(chunks)
+    if sum(counts) <= most:
+        return [(0, len(text), sum(counts))]
+    if max(counts) > most:
+        return _rough(tokenizer, text, chunks, counts, most, overlap)
+    kinds = [_LINE if not i or "\n" in chunk or chunks[i - 1].endswith(_SENTENCE_ENDS) else _SPACE for i, chunk in enumerate(chunks)]
+    at = np.concatenate(([0], np.cumsum(list(map(len, chunks)))))
+    before = np.concatenate(([0], np.cumsum(counts)))
+    first, last = cuts(before, np.array([*kinds, _LINE]), np.array([0]), most, overlap)
+    if np.any(before[last[:-1]] - before[first[1:]] < overlap):
+        return _Walk(tokenizer, text, chunks, counts, most, overlap).pieces()
+    return list(zip(at[first].tolist(), at[last].tolist(), (before[last] - before[first]).tolist()))
+
+
 class Group:
     """Texts that are cut together: (key, text) of each, and the numbers of their chunks one after another."""
 
@@ -170,9 +292,15 @@ class Group:
         self.waiting += len(numbers)
 
 
+def _one(lexicon: Lexicon, which: int, group: Group, k: int, most: int, overlap: int, out: tuple[list, ...]) -> None:
+    found = pieces(lexicon.tokenizers[which], group.texts[k], most, overlap)
+    for column, values in zip(out, ([group.keys[k]] * len(found), range(1, len(found) + 1), *zip(*found))):
+        column.extend(values)
+
+
 def pieces_of_many(lexicon: Lexicon, which: int, group: Group, most: int, overlap: int) -> tuple[list, list, list, list, list]:
-    """(key, piece_no, start, end, tokens) of the texts' pieces as lists: texts within the limit at once, those with too long chunks one
-    by one, all others together."""
+    """(key, piece_no, start, end, tokens) of the texts' pieces as lists: texts within the limit at once, those whose whole chunks
+    are too long or leave no room for the overlap one by one, all others together."""
     all_numbers, sizes = np.concatenate(group.numbers), np.array([len(x) for x in group.numbers])
     begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     counts = np.array(lexicon.counts[which])[all_numbers]
@@ -180,9 +308,7 @@ def pieces_of_many(lexicon: Lexicon, which: int, group: Group, most: int, overla
     whole = np.nonzero(totals <= most)[0].tolist()
     out = ([group.keys[k] for k in whole], [1] * len(whole), [0] * len(whole), [len(group.texts[k]) for k in whole], totals[whole].tolist() if whole else [])
     for k in np.nonzero((totals > most) & (longest > most))[0].tolist():
-        found = pieces(lexicon.tokenizers[which], group.texts[k], most, overlap)
-        for column, values in zip(out, ([group.keys[k]] * len(found), range(1, len(found) + 1), *zip(*found))):
-            column.extend(values)
+        _one(lexicon, which, group, k, most, overlap, out)
     together = (totals > most) & (longest <= most)
     if together.any():
         chosen = np.nonzero(together)[0]
@@ -195,9 +321,13 @@ def pieces_of_many(lexicon: Lexicon, which: int, group: Group, most: int, overla
         owner = np.searchsorted(first, starts, "right") - 1
         base = at[first][owner]
         keys = np.array(group.keys)[chosen]
+        short = np.append((owner[1:] == owner[:-1]) & (before[ends[:-1]] - before[starts[1:]] < overlap), False)
+        alone = np.isin(owner, owner[short])
+        for k in chosen[np.unique(owner[short])].tolist():
+            _one(lexicon, which, group, k, most, overlap, out)
         rows = (keys[owner], np.arange(len(starts)) - np.searchsorted(owner, owner, "left") + 1, at[starts] - base, at[ends] - base, before[ends] - before[starts])
         for column, values in zip(out, rows):
-            column.extend(values.tolist())
+            column.extend(values[~alone].tolist())
     return out
 
 

@@ -13,8 +13,8 @@ import json
 import os
 import re
 import unicodedata
-from collections.abc import Callable
-from itertools import chain
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, chain
 
 import regex
 
@@ -123,12 +123,31 @@ class _Memory(dict):
         return value
 
 
+def _inner(word: str, sizes: Iterable[int]) -> Iterator[tuple[int, int]]:
+    """The characters and tokens up to each boundary of a word's tokens that falls on a character, counted from the one before; sizes: the
+    tokens' bytes. An apostrophe stays with what stands before it: at the start of a text it could begin another word."""
+    ends = accumulate(len(c.encode("utf-8", "replace")) for c in word) if not word.isascii() else range(1, len(word) + 1)
+    at, chars, end = 0, 0, 0
+    tokens = 0
+    ends = iter(ends)
+    for size in sizes:
+        at += size
+        tokens += 1
+        while end < at:
+            end = next(ends)
+            chars += 1
+        if end == at and word[chars : chars + 1] != "'":
+            yield chars, tokens
+            tokens = 0
+
+
 class ByteBPE:
     """Byte-level BPE from a file of ranks."""
 
     def __init__(self, path: str):
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        self.sizes = {number: len(data) for data, number in self.ranks.items()}
         any_text, ascii_text = regex.compile(_BYTE_WORDS).findall, re.compile(_BYTE_WORDS_ASCII).findall
         self.find = lambda text: ascii_text(text) if text.isascii() else any_text(text)
         self.words = _Memory(self._word)
@@ -171,6 +190,27 @@ class ByteBPE:
         lead = next((i for i, w in enumerate(words) if w.strip(STRIP)), len(words) - 1)
         return [sum(lengths[: lead + 1]), *lengths[lead + 1 :]], [sum(counts[: lead + 1]), *counts[lead + 1 :]]
 
+    #: Whether the tokens of a part of a word between boundaries of its tokens are those that stand there in the word.
+    additive = True
+
+    def parts(self, chunk: str, least: int) -> list[tuple[int, int, int]]:
+        """The parts of a chunk: (characters, tokens, tokens of the word if it ends here, else 0); words of up to `least` tokens are one."""
+        out = []
+        for word in self.find(chunk):
+            ids, at = self.words[word], 0
+            ends = len(ids) if word.strip(STRIP) else 0  # what white space is one word depends on what follows it
+            if ends and ends <= least:
+                out.append((len(word), ends, ends))
+                continue
+            for end, tokens in _inner(word, (self.sizes[i] for i in ids)):
+                out.append((end - at, tokens, ends if end == len(word) else 0))
+                at = end
+        return out
+
+    def count_once(self, text: str) -> int:
+        """As count, but long words aren't remembered."""
+        return sum(len(self.words[w] if len(w) <= 40 else self._word(w)) for w in self.find(text))
+
     def most(self, char: str) -> int:
         """No text has more tokens than the sum of this over its characters."""
         return len(char.encode("utf-8", "replace"))
@@ -191,6 +231,7 @@ class WordBPE:
             model = json.load(file)["model"]
         self.vocab = model["vocab"]
         self.suffix = model["end_of_word_suffix"]
+        self.sizes = {number: len(token) for token, number in self.vocab.items()}
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.visible = _visible_bytes()
         any_text, ascii_text = regex.compile(_WORD_WORDS).findall, re.compile(_WORD_WORDS_ASCII).findall
@@ -229,6 +270,47 @@ class WordBPE:
         lengths[0] += len(chunk) - sum(lengths)  # only the white space before them belongs to no word
         return lengths, counts
 
+    def _places(self, chunk: str) -> tuple[str, list[int] | None]:
+        """The normal form, and for each place in it the place in the chunk, or -1 where a cut would change the form; None: the same."""
+        low = chunk.lower()
+        if len(low) == len(chunk) and self.normal(chunk) == low:
+            return low, None
+        places, forms, form, begin = [0], [], "", 0
+        for i, c in enumerate(chunk):
+            alone = self.normal(c)
+            if i and not unicodedata.combining(c) and self.normal(chunk[begin:i] + c) == form + alone:
+                forms.append(form)
+                places += [-1] * (len(form) - 1) + [i]
+                begin, form = i, alone
+            else:
+                form = self.normal(chunk[begin : i + 1])
+        return "".join([*forms, form]), [*places, *[-1] * (len(form) - 1), len(chunk)]
+
+    additive = False
+
+    def parts(self, chunk: str, least: int) -> list[tuple[int, int, int]]:
+        """As for bytes, but a cut inside a word gives other tokens, as those at its end know of it."""
+        low, places = self._places(chunk)
+        out, at, begin, tokens, words = [], 0, 0, 0, self.find(low)
+        for word in words:
+            begin = low.index(word, begin)
+            ids = self.words[word]
+            sizes = [self.sizes[i] for i in ids]
+            sizes[-1] -= len(self.suffix)
+            for end, n in _inner(word, sizes) if len(ids) > least else ((len(word), len(ids)),):
+                tokens += n
+                place = places[begin + end] if places else begin + end
+                if place > at:
+                    out.append((place - at, tokens, len(ids) if end == len(word) else 0))
+                    at, tokens = place, 0
+            begin += len(word)
+        if at < len(chunk):
+            out.append((len(chunk) - at, tokens, max(tokens, 1)))
+        return out
+
+    def count_once(self, text: str) -> int:
+        return sum(len(self.words[w] if len(w) <= 40 else self._word(w)) for w in self.find(self.normal(text)))
+
     def most(self, char: str) -> int:
         return max(len(self.normal(char).encode("utf-8", "replace")), len(char.encode("utf-8", "replace")))
 

@@ -93,6 +93,25 @@ def test_natural_places_and_overlap():
     assert greedy == [(a, b) for a, b, _ in found]
 
 
+CJK = "入力更査会記録約行列。出新分要保話検存差"
+BREAKLESS = [
+    " ".join("".join(random.choice("abcdef0123456789/-_") for _ in range(random.randrange(60, 200))) for _ in range(40)), "".join(random.choice(CJK) for _ in range(4000)), "x" * 20_000, "internationalization" * 300,
+    "".join(random.choice("abcdefghij") for _ in range(9000)), "=" * 9000 + "'s", "!?'ll" * 900, "e\u0301a\u0308" * 2000, "İ" * 900, "สวัสดีชาวโลก" * 300, "한글" * 900, "\u1112\u1161\u11ab" * 500, "a" + "\u0301" * 900, "\U0001f600" * 900, ('{"a":[1,2,{"b":"c"}]},' * 9 + " ") * 30,
+]
+
+
+@pytest.mark.parametrize("limit", LIMITS, ids=lambda x: x[0])
+def test_overlap_of_all_texts(texts, limit):
+    _, name, most, overlap = limit
+    t = tokenizers.load(name)
+    for text in [x for x in texts[:300] + ODD[-14:] + LONG_TEXTS + BREAKLESS if x and max(t.chunk_counts(tokenizers.CHUNK.findall(x))) <= most]:
+        found = splitting.pieces(t, text, most, overlap)
+        assert found[0][0] == 0 and found[-1][1] == len(text)
+        for before, (a, b, n) in zip(found, found[1:]):
+            assert n == t.count(text[a:b]) <= most and before[0] < a <= before[1] < b
+            assert most < 32 or t.count(text[a : before[1]]) >= overlap, (text[:40], before, a, b)  # a few characters may have 8 tokens
+
+
 def test_split_documents(spark):
     rows = [(1, None), (2, ""), (3, "short"), (4, "many words " * 400), (5, "Q9" * 3000)]
     got = splitting.split(spark.createDataFrame(rows, "doc_id long, text string"), LIMITS).collect()
