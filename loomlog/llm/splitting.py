@@ -5,8 +5,8 @@ atoms is joined to the end of the piece that begins there and to the start of th
 again and again, and all starts that the first one reaches are marked in parallel.
 
 A piece ends at the farthest boundary within the limit, at an end of line or sentence where one lies in its second half, else at
-white space. Only where there is none, or none that leaves room for the overlap, an atom is cut between words, or between
-characters where one word is too long; texts without room are walked piece by piece, with real counts. The next piece starts at the last boundary that gives
+white space. Only where there is none, or none that leaves room for the overlap, an atom is cut between words, or inside a word at a
+boundary of its tokens; such texts are walked piece by piece, with real counts. The next piece starts at the last boundary that gives
 at least the overlap, which only characters of many tokens can prevent, where the limit is a few tokens. Null and empty texts have no
 pieces; texts within the limit are one piece. Pieces cover the text without gaps, and each ends beyond the one before.
 """
@@ -29,26 +29,6 @@ _SENTENCE_ENDS = tuple(".!?…。！？")
 _LINE, _SPACE, _INSIDE, _WITHIN = 2, 1, 0, -1
 
 
-def _finer(tokenizer, chunk: str, most: int) -> tuple[list[int], list[int], bool]:
-    """The lengths and tokens of a chunk's words, where it has too many tokens, and of the characters of too long words; the last says
-    whether there are such: characters count as much as they can at most."""
-    lengths, counts = tokenizer.spans(chunk) or ([len(chunk)], [most + 1])
-    if max(counts) <= most:
-        return lengths, counts, False
-    fine: tuple[list[int], list[int]] = ([], [])
-    at = 0
-    for length, n in zip(lengths, counts):
-        if n <= most:
-            fine[0].append(length)
-            fine[1].append(n)
-        else:
-            word = chunk[at : at + length]
-            fine[0].extend([1] * length)
-            fine[1].extend([1] * length if word.isascii() else map(tokenizer.most, word))
-        at += length
-    return *fine, True
-
-
 class _Walk:
     """The pieces of one text, one after another, where whole chunks don't do: they are too long, or leave no room for the overlap.
 
@@ -232,31 +212,6 @@ def _kinds(ends: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return kinds
 
 
-def _rough(tokenizer, text: str, chunks: list[str], counts: list[int], most: int, overlap: int) -> list[tuple[int, int, int]]:
-    """The same where chunks are too long."""
-    lengths: list[int] = []
-    tokens: list[int] = []
-    kinds: list[int] = []
-    rough = False
-    for i, (chunk, n) in enumerate(zip(chunks, counts)):
-        kinds.append(_LINE if not i or "\n" in chunk or chunks[i - 1].endswith(_SENTENCE_ENDS) else _SPACE)
-        if n <= most:
-            lengths.append(len(chunk))
-            tokens.append(n)
-            continue
-        more, their, bounds = _finer(tokenizer, chunk, most)
-        lengths += more
-        tokens += their
-        kinds += [_INSIDE] * (len(more) - 1)
-        rough = rough or bounds
-    at = np.concatenate(([0], np.cumsum(lengths)))
-    before = np.concatenate(([0], np.cumsum(tokens)))
-    first, last = cuts(before, np.array([*kinds, _LINE]), np.array([0]), most, overlap)
-    a, b = at[first].tolist(), at[last].tolist()
-    n = [tokenizer.count(text[x:y]) for x, y in zip(a, b)] if rough else (before[last] - before[first]).tolist()
-    return list(zip(a, b, n))
-
-
 def pieces(tokenizer, text: str, most: int, overlap: int) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of each piece of one text, in characters."""
     chunks = tokenizers.CHUNK.findall(text)
@@ -266,7 +221,7 @@ def pieces(tokenizer, text: str, most: int, overlap: int) -> list[tuple[int, int
     if sum(counts) <= most:
         return [(0, len(text), sum(counts))]
     if max(counts) > most:
-        return _rough(tokenizer, text, chunks, counts, most, overlap)
+        return _Walk(tokenizer, text, chunks, counts, most, overlap).pieces()
     kinds = [_LINE if not i or "\n" in chunk or chunks[i - 1].endswith(_SENTENCE_ENDS) else _SPACE for i, chunk in enumerate(chunks)]
     at = np.concatenate(([0], np.cumsum(list(map(len, chunks)))))
     before = np.concatenate(([0], np.cumsum(counts)))
