@@ -1,8 +1,9 @@
 """Following session files as a stream: committed lines as they are appended, each once, rewritten files as a new generation.
 
 spark.readStream.format("session_file_lines").option("path", folder).load() gives (path, generation, byte_offset, line). The offset holds
-for each file how far it was read, its generation, and a mark of the bytes before that place, by which a rewrite is seen. Ranges of files
-are read on the executors. An unterminated last line waits until it ends.
+for each file how far it was read, its generation, and the hash of all bytes before that place, by which a rewrite is seen. Ranges of files
+are read on the executors; the hash is taken on the driver, which reads a file again unless the running stream knows its size, times and
+inode from more than two seconds after its last change. An unterminated last line waits until it ends.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import time
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +28,20 @@ class FileRange(InputPartition):
         self.path, self.generation, self.start, self.end = path, generation, start, end
 
 
+def _hashes(path: str, *ends: int) -> list[str]:
+    """The hashes of a file's bytes up to each of rising places."""
+    digest, done, out = hashlib.sha256(), 0, []
+    with open(path, "rb") as file:
+        for end in ends:
+            while done < end and (block := file.read(min(1 << 20, end - done))):
+                digest.update(block)
+                done += len(block)
+            out.append(digest.hexdigest())
+    return out
+
+
 def _mark(path: str, at: int) -> str:
+    """What older checkpoints have instead of the hash: a shorter one, of the last bytes alone."""
     with open(path, "rb") as file:
         file.seek(max(0, at - MARK_BYTES))
         return hashlib.sha256(file.read(min(at, MARK_BYTES))).hexdigest()[:16]
@@ -60,6 +75,7 @@ class LineStreamReader(DataSourceStreamReader):
     def __init__(self, root: str, suffix: str, checkpoint: str | None):
         self.root, self.suffix = root, suffix
         self.known: dict = _planned(checkpoint) if checkpoint else {}
+        self.seen: dict[str, tuple] = {}
 
     def initialOffset(self) -> dict:
         return {}
@@ -71,13 +87,23 @@ class LineStreamReader(DataSourceStreamReader):
                 if not name.endswith(self.suffix):
                     continue
                 path = os.path.join(folder, name)
-                size = os.path.getsize(path)
+                now, state = time.time_ns(), os.stat(path)
+                seen = (state.st_size, state.st_mtime_ns, state.st_ctime_ns, state.st_ino)
+                if path in found and self.seen.get(path) == seen:
+                    continue
+                size = state.st_size
                 at, generation, mark = found.get(path, (0, 0, ""))
-                if size < at or at and _mark(path, at) != mark:
-                    at, generation = 0, generation + 1
                 end = committed_end(path, size, at)
-                if end > at or path not in found or found[path][1] != generation:
-                    found[path] = [end, generation, _mark(path, end)]
+                before, after = _hashes(path, at, end) if size >= at else ("", "")
+                old = len(mark) == 16
+                if size < at or at and (_mark(path, at) if old else before) != mark:
+                    at, generation = 0, generation + 1
+                    end = committed_end(path, size, at)
+                    after = _hashes(path, end)[0]
+                if end > at or path not in found or found[path][1] != generation or old:
+                    found[path] = [end, generation, after]
+                if max(seen[1:3]) < now - 2_000_000_000:
+                    self.seen[path] = seen
         self.known = found
         return found
 
