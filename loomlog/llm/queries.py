@@ -25,6 +25,11 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return secrets.redacted(_texts(spark, d))
 
 
+def p3_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Each credential with how it was found and whether it has its issuer's checksum."""
+    return secrets.kinds(_texts(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.turns(table(spark, d, "chat_messages"), stored).select("session_id", "turn_no", "uuid")
 
@@ -61,7 +66,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(table(spark, d, "documents"), [(r["limit_name"], r["tokenizer_name"], r["max_tokens"], r["overlap_tokens"]) for r in limits])
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p5_found, p5_turns, p8_ids, p9_mix, p9_shares, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p3_kinds, p5_found, p5_turns, p8_ids, p9_mix, p9_shares, p10_pieces)}
 ORACLE_SQL: dict[str, str] = {
     "p5_found": """with recursive m as (
         select session_id as s, uuid as id, min(parent_uuid) as p, min(seq) as seq, min(case when regexp_full_match(coalesce(content, ''), '\\s*') then null

@@ -4,9 +4,11 @@ A keyword automaton finds the lines that may hold a credential; only these are s
 credential with a literal beside them, and by the places that hold one (logins in addresses, headers, command lines, netrc,
 registry logins, sentences). Structure is validated: tokens of issuers by alphabet and length, JSON Web Tokens by their decoded
 header, key blocks by their body, base64 by what it decodes to. Placeholders, masks, references, hashes, ids and public keys are
-none. Every character of a credential is replaced by one of its own class, so lengths, line ends and quoting stay.
+none. Where an issuer's checksum is public it is compared and reported with the credential; it leaves none out, as a token that was
+mistyped or cut is still to be hidden. Letters and digits of a credential are replaced by ones of their own alphabet and case, so
+lengths, line ends and quoting stay, and what was replaced is no longer found.
 
-Null and empty texts hold nothing; whole texts are searched whatever their length; repeated rows are searched one by one.
+Null and empty texts hold nothing; whole texts are searched and values of any length are found; repeated rows are searched one by one.
 """
 
 from __future__ import annotations
@@ -14,7 +16,9 @@ from __future__ import annotations
 import base64
 import binascii
 import re
-from bisect import bisect_right
+import unicodedata
+import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 #: What a line must hold, in lower case, to be searched: whatever a pattern matches holds one of these (tested). Fixed values.
 KEYWORDS = [
     "key", "token", "secret", "passw", "pass", "pwd", "pw", "credential", "bearer", "basic", "private key", "://", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_",
-    "glpat-", "sk-", "sk_", "rk-", "rk_", "xox", "aiza", "eyj", "hf_", "npm_", "pypi-", "lgr", "auth", "contrase", "mot de passe", "kennwort", "login", "log in", "-p", "mysql", "here you go", "clave", "identified", "curl", "wget", "http",
+    "glpat-", "glptt-", "gldt-", "glrt-", "shpat_", "shpca_", "shppa_", "shpss_", "dop_v1_", "doo_v1_", "dor_v1_", "ya29.", "gocspx-", "hvs.", "dapi", "dckr_", "rubygems_", "pmak-", "nrak-", "lin_api_", "whsec_", "xapp-", "sg.", "sk-", "sk_", "rk-", "rk_", "xox", "aiza", "eyj", "hf_", "npm_", "pypi-", "lgr", "auth", "contrase", "mot de passe", "kennwort", "login", "log in", "-p", "mysql", "here you go", "clave", "identified", "curl", "wget", "http",
 ]
 _AUTOMATON = ahocorasick.Automaton()
 for _word in KEYWORDS:
@@ -33,15 +37,37 @@ for _word in KEYWORDS:
 _AUTOMATON.make_automaton()
 
 #: Tokens whose form names their issuer: fixed values.
-ISSUERS = re.compile(
-    r"""(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{30,255}|github_pat_\w{40,255}|glpat-[\w-]{20,64}|(?:sk|rk)-(?:[a-z]{2,8}-)?[A-Za-z0-9]{32,200}|(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{20,200}
-    |xox[abeoprs]-[A-Za-z0-9-]{20,255}|hf_[A-Za-z0-9]{30,64}|npm_[A-Za-z0-9]{36}|pypi-[\w-]{50,255}|AIza[\w-]{35}|(?:AKIA|ASIA)[A-Z0-9]{16}|lgr[._-][A-Za-z0-9]{28,64}
-    |eyJ[\w-]{10,4000}\.[\w-]{4,4000}\.[\w-]{10,1000})""",
-    re.X,
-)
+ISSUER_FORMS = {
+    "github": r"gh[pousr]_[A-Za-z0-9]{30,}+|github_pat_\w{40,}+",
+    "gitlab": r"gl(?:pat|ptt|dt|rt)-[\w-]{20,}+",
+    "secret_key": r"(?:sk|rk)-(?:[a-z]{2,8}-)?[A-Za-z0-9]{32,}+|(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{20,}+|whsec_[A-Za-z0-9+/]{32,}+",
+    "slack": r"xox[abeoprs]-[A-Za-z0-9-]{20,}+|xapp-[0-9]-[A-Za-z0-9-]{20,}+",
+    "hugging_face": r"hf_[A-Za-z0-9]{30,}+",
+    "npm": r"npm_[A-Za-z0-9]{36,}+",
+    "pypi": r"pypi-[\w-]{50,}+",
+    "google": r"AIza[\w-]{35,}+|ya29\.[\w-]{20,}+|GOCSPX-[\w-]{28,}+",
+    "aws": r"(?:AKIA|ASIA)[A-Z0-9]{16,}+",
+    "ledger": r"lgr[._-][A-Za-z0-9]{28,}+",
+    "sendgrid": r"SG\.[\w-]{20,}+\.[\w-]{40,}+",
+    "shopify": r"shp(?:at|ca|pa|ss)_[A-Fa-f0-9]{32,}+",
+    "digitalocean": r"do[opr]_v1_[a-f0-9]{64,}+",
+    "age": r"AGE-SECRET-KEY-1[0-9A-Z]{58,}+",
+    "vault": r"hvs\.[\w-]{24,}+",
+    "databricks": r"dapi[a-f0-9]{32,}+",
+    "docker": r"dckr_(?:pat|oat)_[\w-]{27,}+",
+    "rubygems": r"rubygems_[a-f0-9]{48,}+",
+    "postman": r"PMAK-[a-f0-9]{24}-[a-f0-9]{34,}+",
+    "new_relic": r"NRAK-[A-Z0-9]{27,}+",
+    "linear": r"lin_api_[A-Za-z0-9]{40,}+",
+}
+ISSUERS = re.compile("(?<![A-Za-z0-9])(?:" + "|".join(f"(?P<{kind}>{form})" for kind, form in ISSUER_FORMS.items()) + ")")
+_JWT = re.compile(r"eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]{10,}+(?:\.[A-Za-z0-9_-]{10,}+){0,2}")
+_JWT_PART = re.compile(r"[A-Za-z0-9_-]*+")
 _KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_KEY_BODY = re.compile(r"(?:\s|\\r|\\n|[\"'+,\\>|#*/]|[\w-]+: [^\n\\]*(?:\n|\\n))*[A-Za-z0-9+/]{24,}")
+_KEY_GAP = re.compile(r"(?:\s|\\[nrt]|[\"'`,;>|#*()+/\\]|-(?!-))*+")
+_KEY_HEAD = re.compile(r"[A-Z][\w-]*: [^\n\\\"']*")
+_KEY_PART = re.compile(r"[A-Za-z0-9+/]++={0,2}|=[A-Za-z0-9+/]{4}")
 
 _SENSITIVE = r"(?:(?:api|secret|encryption|private|access|signing|master|shared|account)[ _-]?key|secret|token|passw(?:or)?d|passphrase|(?<![a-z])pass|(?<=smtp)pass|pwd|(?<![a-z])pw|(?<=admin)pw|credentials?|_auth)"
 _NAME = re.compile(rf"[A-Za-z0-9_.-]*?{_SENSITIVE}(?![A-Za-z0-9_-])", re.I)
@@ -58,7 +84,8 @@ _BETWEEN = re.compile(
 _FALLBACK = re.compile(r"(?:(?:os\.environ\.get|(?:os\.)?getenv|env|ENV\.fetch)\([^,()\n]*,|[\w.]+(?:\([^()\n]*\)|\[[^\[\]\n]*\])?[ \t]*(?:\?\?|\|\||\bor\b|\?:))[ \t]*(?=[\"'`])")
 _WRAP = re.compile(r"(?:(?:String::from|str|Secret(?:Str)?|SecretString::from|new\s+\w+|bytes|quote|trim|\w+)?\(\s*)?(?:[fFbBrRuU]{1,2}(?=[\"']))?")
 _QUOTED = re.compile(r"""\\?(?P<q>["'`])(?P<v>(?:(?!(?P=q))[^\n\\]|\\(?!["'`]).)*)""")
-_MORE = re.compile(r"""[ \t]*[+\\.]?[ \t]*\r?\n[ \t]*\+?[ \t]*[fbru]{0,2}(?P<q>["'])(?P<v>(?:(?!(?P=q))[^\n\\])*)(?P=q)""")
+_MORE = re.compile(r"""[ \t]*(?:[+\\.]?[ \t]*\r?\n[ \t]*\+?|[+.])[ \t]*[fbru]{0,2}(?P<q>["'])(?P<v>(?:(?!(?P=q))[^\n\\])*)(?P=q)""")
+_BESIDE = re.compile(r"""[ \t]++[fbru]{0,2}(?P<q>["'])(?P<v>(?:(?!(?P=q))[^\n\\])*)(?P=q)""")
 _UNQUOTED = re.compile(r"[^\s\"'`,;<>(){}\[\]|&\\]++")
 _FOLDED = re.compile(r":\s*[>|][+-]?[0-9]?[ \t]*\r?\n([ \t]+)(?P<v>[^\s]+)[ \t]*(?=\r?\n|\Z)")
 _NEXT_LINE = re.compile(r"\\?[\"'`]?\]?\s*[:=]\s*\(?\s*\\?\r?\n[ \t]*(?=\\?[\"'`])")
@@ -66,6 +93,7 @@ _NEXT_LINE = re.compile(r"\\?[\"'`]?\]?\s*[:=]\s*\(?\s*\\?\r?\n[ \t]*(?=\\?[\"'`
 _ADDRESS = re.compile(r"(?<=[A-Za-z0-9+.-])://[^/\s:@'\"<>]*+:")
 _SCHEME = frozenset("0123456789+.-")
 _ADDRESS_RUN = re.compile(r"[^\s@'\"<>]++")
+_ADDRESS_MORE = re.compile(r"(?:@[^\s@'\"<>/?#]++)+(?=@[A-Za-z0-9\[])")
 _HOST = re.compile(r"@(?=[A-Za-z0-9\[])")
 _BASIC = re.compile(r"\bbasic\s+(?P<v>[A-Za-z0-9+/_-]{8,}={0,2})", re.I)
 _BEARER = re.compile(r"\b(?:bearer|token)\s+(?P<v>[A-Za-z0-9._~+/-]{16,}={0,2})", re.I)
@@ -86,7 +114,12 @@ _COMMANDS = [
     (re.compile(r"\b(?:curl|wget|http)\b"), None, re.compile(r"\s(?:-u|--user)[ =]\s*(?P<q>[\"']?)[^\s:\"']+:(?P<v>[^\s\"']+)(?P=q)")),
 ]
 _KEY_PAIR = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}[\"']?\s*[,:;]\s*[\"']?(?P<v>[A-Za-z0-9+/]{40})(?![A-Za-z0-9+/])")
-_VARIABLE = re.compile(r"""\b(?:variable|param(?:eter)?|input)\s+["'](?P<name>[^"'\n]+)["']\s*\{[^}]{0,400}?\bdefault\s*=\s*["'](?P<v>[^"'\n]+)["']""")
+_VARIABLE = re.compile(r"""\b(?:variable|param(?:eter)?|input)\s+["'](?P<name>[^"'\n]+)["']\s*\{""")
+_DEFAULT = re.compile(r"""\bdefault\s*=\s*["'](?P<v>[^"'\n]+)["']""")
+#: What stands before a value on a line of an environment file, such a value with the marks that end others, and what shows a list instead.
+_ENV_NAME = re.compile(r"[ \t]*(?:(?:export|set|ENV)[ \t]+|-[ \t]+)?[A-Za-z_][\w.-]*=")
+_ENV_REST = re.compile(r"[^\s\"'`$(){}\[\]]++(?=[ \t]*(?:\r?\n|\Z))")
+_NEXT_NAME = re.compile(r"[,;&|][\w.%-]+=")
 _ENV_ENTRY = re.compile(r"""\bname:\s*["']?(?P<name>[\w.-]+)["']?[ \t]*\r?\n[ \t]*value:[ \t]*(?P<q>["']?)(?P<v>[^\s"']+)(?P=q)[ \t]*(?=\r?\n|\Z)""")
 
 #: What stands for a credential without being one: fixed values.
@@ -97,17 +130,39 @@ _PLACEHOLDER = re.compile(
 )
 _MARKED = re.compile(r"example|placeholder|redacted|changeme|replace[_-]?me", re.I)
 _REFERENCE = re.compile(r"\$|\{\{|%\(|<[^>]*>?|[@:!&*%][A-Za-z_][A-Za-z_.]*\Z|vault[:/.]|(?:process|os|env|ENV|var|local|data|module|secrets?|config|settings|self|this|cfg|ctx|args|params|values|std|System|vault|kv|request|req|options|opts|input|props)(?:\.|::|\[|->)\w?")
-#: Longer literals are data.
-MOST = 20_000
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _TURN = re.compile(r"[a-z](?=[A-Z])")
+_LETTER = re.compile("[A-Za-z]")
 _NO_WORD = re.compile(r"[^A-Za-z_.:]+")
 _UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
 
 
+def _stand_in(c: str) -> str:
+    """The letter or digit that stands for one of its alphabet and case; other characters stand for themselves. Lengths in bytes stay, too."""
+    if c.isascii():
+        return "x" if c.islower() else "X" if c.isupper() else "0" if c.isdigit() else c
+    kind = unicodedata.category(c)
+    if kind == "Nd":
+        return chr(ord(c) - unicodedata.decimal(c))
+    if kind[0] not in "LMN":
+        return c
+    return next(x for x in map(chr, range(ord(c) & ~0x7F, ord(c) + 1)) if unicodedata.category(x) == kind)
+
+
+class _StandIns(dict):
+    def __missing__(self, code: int) -> str:
+        self[code] = found = _stand_in(chr(code))
+        return found
+
+
+_SAME_CLASS = _StandIns()
+
+
 def _masked(value: str) -> bool:
     bare = value.strip("<>[](){}\"'`*#-_. ")
-    return not bare or len(set(value[:64])) <= 2 and len(set(value)) <= 2 or bool(_PLACEHOLDER.fullmatch(value) or _PLACEHOLDER.fullmatch(bare) or _MARKED.search(value))
+    if not bare or len(set(value[:64])) <= 2 and len(set(value)) <= 2 or _PLACEHOLDER.fullmatch(value) or _PLACEHOLDER.fullmatch(bare) or _MARKED.search(value):
+        return True
+    return value.translate(_SAME_CLASS) == value
 
 
 def _decoded(value: str) -> str | None:
@@ -120,14 +175,14 @@ def _decoded(value: str) -> str | None:
 
 
 def plausible(value: str, quoted: bool = True) -> bool:
-    """Whether a literal beside a name that asks for a credential is one."""
-    if not 6 <= len(value) <= MOST or _masked(value):
+    """Whether a literal beside a name that asks for a credential is one. What its begin tells comes first."""
+    if len(value) < 6 or value[0] in "<{[":
         return False
     if _REFERENCE.match(value) and not (quoted and value[0] == "$" and any(c.isdigit() for c in value)):
         return False
-    if value[0] in "<{[" or " " in value or "\t" in value or "(" in value and value.endswith(")"):
+    if value.startswith(("sha256:", "sha256-", "sha512-", "sha384-", "sha1:", "md5:", "ssh-", "http://", "https://", "./", "../", "~/")):
         return False
-    if "${" in value or "{{" in value or value.startswith(("sha256:", "sha256-", "sha512-", "sha384-", "sha1:", "md5:", "ssh-", "http://", "https://", "./", "../", "~/")) or _UUID.fullmatch(value):
+    if " " in value or "\t" in value or "(" in value and value.endswith(")") or "${" in value or "{{" in value or _UUID.fullmatch(value) or _masked(value):
         return False
     if re.fullmatch(r"[+-]?[0-9][0-9_.,]*[A-Za-z%]{0,2}", value):  # a number, perhaps with its unit
         return len(value) >= 12 and value.isdigit()
@@ -157,16 +212,52 @@ def turns_of(letters: str) -> int:
 
 
 def _token(value: str) -> bool:
-    if value.startswith("eyJ"):
-        try:
-            head = value.split(".")[0]
-            return base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)).strip().startswith(b"{")
-        except (binascii.Error, ValueError):
-            return False
     body = value[4:]
     return len(set(body)) > 8 and not re.search(r"EXAMPLE|[xX]{4}|your|_here", value)
 
 
+def _web_token(value: str) -> bool:
+    try:
+        head = value.split(".", 1)[0]
+        return base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)).strip().startswith(b"{")
+    except (binascii.Error, ValueError):
+        return False
+
+
+_BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_BECH32 = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
+
+
+def _base62(number: int, width: int) -> str:
+    digits = ""
+    while number:
+        number, k = divmod(number, 62)
+        digits = _BASE62[k] + digits
+    return digits.rjust(width, "0")
+
+
+def _bech32(text: str) -> bool:
+    """Whether a text of a name, a 1 and a body has the checksum of BIP 173."""
+    name, _, body = text.lower().rpartition("1")
+    if not name or any(c not in _BECH32 for c in body):
+        return False
+    check = 1
+    for value in [*(ord(c) >> 5 for c in name), 0, *(ord(c) & 31 for c in name), *map(_BECH32.index, body)]:
+        top, check = check >> 25, (check & 0x1FFFFFF) << 5 ^ value
+        for i, g in enumerate((0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)):
+            check ^= g if top >> i & 1 else 0
+    return check == 1
+
+
+def checksum(kind: str, value: str) -> bool | None:
+    """Whether a token has its issuer's public checksum; None where the form has none that is public."""
+    if kind in ("github", "npm") and len(value) == 40 and not value.startswith("github_pat_"):
+        return _base62(zlib.crc32(value[4:34].encode()), 6) == value[34:]
+    if kind == "age":
+        return _bech32(value)
+    return None
+
+
 def _lower(text: str) -> str:
     """As patterns that ignore case see it, without a change of length."""
     if not text.isascii():
@@ -179,51 +270,102 @@ class _Runs:
     """Where the run of a pattern's characters around a position ends; a run is scanned once, however many positions lie in it."""
 
     def __init__(self, pattern: re.Pattern):
-        self.pattern, self.begin, self.end, self.words, self.found = pattern, 0, 0, 0, 0
+        self.pattern, self.begin, self.end, self.found = pattern, 0, 0, 0
 
     def end_of(self, text: str, at: int, limit: int) -> int:
         if not self.begin <= at < self.end:
             found = self.pattern.match(text, at, limit)
             self.begin, self.end = at, found.end() if found else at
             self.words = self.found = self.end
+            self.marked = -1
             if self.end - at > 1000:  # else it is looked at as often as there are names in it
-                rest = text[max((m.end() for m in _NO_WORD.finditer(text, at, self.end)), default=at) : self.end]
-                if turns_of(re.sub("[^A-Za-z]+", "", rest)) < 2:
-                    self.words = self.end - len(rest)
+                self.marked = max((m.start() for m in _MARKED.finditer(text, at, self.end)), default=-1)
+                self.words = max((m.end() for m in _NO_WORD.finditer(text, at, self.end)), default=at)
+                self.letters = [m.start() for m in _LETTER.finditer(text, self.words, self.end)]
+                self.turns = [m.start() for m in _TURN.finditer("".join(text[k] for k in self.letters))]
+                self.parted = max(text.rfind(c, self.words, self.end) for c in "_.:")
         return self.end
 
-    def only_words(self, text: str, at: int) -> bool:
-        """Whether the rest of the run is letters without turns, which is never plausible."""
-        return at >= self.words and at < self.end and text[at] not in ".:"
+    def hopeless(self, text: str, at: int) -> bool:
+        """Whether the rest of the run is known not to be plausible, without another look at all of it: marked, or letters without turns."""
+        if at <= self.marked:
+            return True
+        if at < self.words or at >= self.end or text[at] in ".:":
+            return False
+        first = bisect_left(self.letters, at)
+        turns, letters = len(self.turns) - bisect_left(self.turns, first), len(self.letters) - first
+        return turns < 2 or self.parted >= at and (turns < 3 or turns * 5 < letters)
+
+
+Span = tuple[int, int]
 
 
-def _literal(text: str, at: int, runs: _Runs) -> tuple[int, int] | None:
-    """The span of the plausible literal that begins at a position after a name and what stands between."""
+def _literal(text: str, at: int, runs: _Runs) -> list[Span]:
+    """The spans of the plausible literal that begins at a position after a name and what stands between: several for adjacent ones."""
     for skip in (_FALLBACK, _WRAP):
         found = skip.match(text, at)
         begin = found.end() if found else at
         quoted = _QUOTED.match(text, begin)
         if quoted:
-            value = quoted["v"]
+            value, spans = quoted["v"], [quoted.span("v")]
             more = quoted.end() + 1
-            while following := _MORE.match(text, more):  # adjacent literals are one
+            in_code = text[begin - 1 : begin] in (" ", "(") and "=" in text[max(0, begin - 4) : begin]
+            while following := _MORE.match(text, more) or in_code and _BESIDE.match(text, more):  # adjacent literals are one
                 value, more = value + following["v"], following.end()
+                spans.append(following.span("v"))
             if _KEY_BLOCK.match(value):
-                return None  # found as a key block
-            return (quoted.start("v"), quoted.end("v")) if plausible(value) else None
+                return []  # found as a key block
+            return spans if plausible(value) else []
     end = runs.end_of(text, at, len(text))
     after = text[end : end + 1]
     if end > at and after not in ("(", "{", "["):
+        if after and after in ",;&<>|\\" and _ENV_NAME.fullmatch(text, text.rfind("\n", 0, at) + 1, at) and (rest := _ENV_REST.match(text, at)):
+            value = rest[0].rstrip(",;")
+            if len(value) > end - at and not _NEXT_NAME.search(value) and plausible(value, quoted=False):
+                return [(at, at + len(value))]
         stop = end
         while after in ("", " ", "\n", "\r") and stop > at and text[stop - 1] in ".:":
             stop -= 1
-        if at >= runs.found or stop - at <= MOST and not runs.only_words(text, at) and plausible(text[at:stop], quoted=False):
+        if at >= runs.found or not runs.hopeless(text, at) and plausible(text[at:stop], quoted=False):
             runs.found = min(runs.found, at)  # what begins in a credential belongs to it
-            return at, stop
-    return None
-
-
-def _addresses(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
+            return [(at, stop)]
+    return []
+
+
+def _key_end(text: str, at: int) -> int | None:
+    """Where the body of a key block ends that begins at a position: before the END line where nothing but a body stands between, else after
+    the lines of the first one's length and one shorter. None where there is no body, or one that has been replaced."""
+    parts: list[Span] = []
+    while True:
+        here = _KEY_GAP.match(text, at).end()
+        if not parts and (head := _KEY_HEAD.match(text, here)):
+            at = head.end()
+            continue
+        part = _KEY_PART.match(text, here)
+        if not part:
+            break
+        if not parts and len(part[0]) < 24:
+            return None
+        parts.append(part.span())
+        at = part.end()
+    if not parts or (first := text[slice(*parts[0])]).translate(_SAME_CLASS) == first:
+        return None
+    if _KEY_END.match(text, here):
+        return here
+    width, last = parts[0][1] - parts[0][0], parts[0][1]
+    for a, b in parts[1:]:
+        if b - a < width:
+            body = text[a:b]
+            mixed = any(c.isdigit() or c in "+/=" for c in body) or turns_of(re.sub("[^A-Za-z]+", "", body)) >= 2
+            alone = text[b : b + 1] in ("", "\n", "\r", "\\", '"', "'", "`")
+            return b if mixed and alone else last
+        if b - a > width:
+            return last
+        last = b
+    return last
+
+
+def _addresses(text: str, begin: int, end: int) -> Iterator[Span]:
     """The spans of passwords in addresses."""
     runs, at = _Runs(_ADDRESS_RUN), begin
     while m := _ADDRESS.search(text, at, end):
@@ -234,10 +376,25 @@ def _addresses(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
             continue
         stop = runs.end_of(text, m.end(), end)
         if stop > m.end() and _HOST.match(text, stop, end):
+            more = _ADDRESS_MORE.match(text, stop, end)  # the last @ is the one before the host
+            stop = more.end() if more else stop
             yield m.end(), stop
             at = stop + 1
 
 
+def _web_tokens(text: str, begin: int, end: int) -> Iterator[Span]:
+    """The spans of JSON Web Tokens. What follows a run of their characters is the same for all places in it, so a run is tried once."""
+    at = begin
+    while (at := text.find("eyJ", at, end)) >= 0:
+        if at and text[at - 1].isalnum():
+            at += 3
+            continue
+        found = _JWT.match(text, at, end)
+        if found and _web_token(found[0]):
+            yield found.span()
+        at = found.end() if found else _JWT_PART.match(text, at, end).end()
+
+
 def _options(text: str, begin: int, end: int) -> Iterator[re.Match]:
     """The options of commands that hold a credential: the first after each command word, from the option before it on."""
     for command, then, option in _COMMANDS:
@@ -247,79 +404,98 @@ def _options(text: str, begin: int, end: int) -> Iterator[re.Match]:
             at = m.end()
 
 
-def _in_line(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
+def _in_line(text: str, begin: int, end: int) -> Iterator[tuple[str, list[Span]]]:
+    """(kind, spans) of what begins in a line."""
     for m in ISSUERS.finditer(text, begin, end):
         if _token(m[0]):
-            yield m.span()
+            yield m.lastgroup, [m.span()]
+    for span in _web_tokens(text, begin, end):
+        yield "web_token", [span]
     for m in _KEY_BLOCK.finditer(text, begin, end):
-        body = _KEY_BODY.match(text, m.end())
-        if body:
-            stop = _KEY_END.search(text, m.end())
-            yield m.start(), stop.start() if stop else body.end()
+        stop = _key_end(text, m.end())
+        if stop:
+            yield "private_key", [(m.start(), stop)]
     runs = _Runs(_UNQUOTED)
     for m in _NAME_END.finditer(text, begin, end):
         between = _BETWEEN.match(text, m.end(), end)
-        span = _literal(text, between.end(), runs) if between and between.end() < end else None
-        if not span:
+        spans = _literal(text, between.end(), runs) if between and between.end() < end else []
+        if not spans:
             folded = _FOLDED.match(text, m.end())
             if folded and plausible(folded["v"]):
-                span = folded.span("v")
+                spans = [folded.span("v")]
             elif following := _NEXT_LINE.match(text, m.end()):
-                span = _literal(text, following.end(), runs)
-        if span:
-            yield span
+                spans = _literal(text, following.end(), runs)
+        if spans:
+            yield "named", spans
     for a, b in _addresses(text, begin, end):
         if b - a >= 4 and text[a] not in "<{[$%*" and not _masked(text[a:b]):
-            yield a, b
+            yield "address", [(a, b)]
     for pattern in (_BASIC, _LOGIN):
         for m in pattern.finditer(text, begin, end):
             inner = _decoded(m["v"])
             if inner and ":" in inner and len(inner.split(":", 1)[1]) >= 4 and not _masked(inner.split(":", 1)[1]) and inner.split(":", 1)[1][0] not in "<${":
-                yield m.span("v")
-    for pattern, found in [*((p, p.finditer(text, begin, end)) for p in (_BEARER, *_PLACES)), (None, _options(text, begin, end))]:
+                yield "login", [m.span("v")]
+    for kind, pattern, found in [*(("place", p, p.finditer(text, begin, end)) for p in (_BEARER, *_PLACES)), ("command", None, _options(text, begin, end))]:
         for m in found:
             value = m["v"].rstrip(",;:") if pattern is not _BEARER else m["v"]
             if plausible(value, quoted=False) and (pattern is not _BEARER or any(c.isdigit() for c in value) or turns_of(value) >= 3):
-                yield m.start("v"), m.start("v") + len(value)
+                yield kind, [(m.start("v"), m.start("v") + len(value))]
     for m in _KEY_PAIR.finditer(text, begin, end):
-        yield m.span("v")
+        yield "key_pair", [m.span("v")]
 
 
-def find(text: str | None) -> list[tuple[int, int]]:
-    """The spans of all credentials of a text, in order and without overlaps."""
+def _variables(text: str) -> Iterator[Span]:
+    """The literal defaults of variables that ask for a credential, up to the block's end or the next variable."""
+    heads = list(_VARIABLE.finditer(text)) if "default" in text else []
+    for k, m in enumerate(heads):
+        if _NAME.fullmatch(m["name"]):
+            stop = heads[k + 1].start() if k + 1 < len(heads) else len(text)
+            close = text.find("}", m.end(), stop)
+            found = _DEFAULT.search(text, m.end(), stop if close < 0 else close)
+            if found and plausible(found["v"]):
+                yield found.span("v")
+
+
+def credentials(text: str | None) -> list[tuple[str, list[Span]]]:
+    """(kind, spans) of all credentials of a text, in order and without overlaps; the first span is where a credential begins. One that begins
+    inside another belongs to that."""
     if not text:
         return []
-    hits = [at for at, _ in _AUTOMATON.iter(_lower(text))]
-    if not hits:
-        return []
-    spans: list[tuple[int, int]] = []
+    found: list[tuple[str, list[Span]]] = []
     end = -1
-    for at in hits:
-        if at <= end:
+    for at, word in _AUTOMATON.iter(_lower(text)):
+        if at <= end or word == "sg." and text[at - 2 : at + 1] != "SG.":
             continue
         begin, end = text.rfind("\n", 0, at) + 1, text.find("\n", at)
         end = len(text) if end < 0 else end
-        spans.extend(_in_line(text, begin, end))
-    for pattern in (_VARIABLE, _ENV_ENTRY):
-        for m in pattern.finditer(text) if pattern is _ENV_ENTRY or "default" in text else ():
-            if _NAME.fullmatch(m["name"]) and plausible(m["v"]):
-                spans.append(m.span("v"))
-    spans.sort()
-    kept: list[tuple[int, int]] = []
-    for a, b in spans:
+        found.extend(_in_line(text, begin, end))
+    if end < 0:
+        return []
+    found.extend(("named", [span]) for span in _variables(text))
+    found.extend(("named", [m.span("v")]) for m in _ENV_ENTRY.finditer(text) if _NAME.fullmatch(m["name"]) and plausible(m["v"]))
+    pieces = sorted((a, b, i > 0, k) for k, (_, spans) in enumerate(found) for i, (a, b) in enumerate(spans))
+    kept: list[list[int]] = []
+    for a, b, _, k in pieces:
         if kept and a < kept[-1][1]:
-            kept[-1] = (kept[-1][0], max(b, kept[-1][1]))
+            kept[-1][1] = max(b, kept[-1][1])
         else:
-            kept.append((a, b))
-    return kept
+            kept.append([a, b, k])
+    spans_of: dict[int, list[Span]] = {}
+    for a, b, k in kept:
+        spans_of.setdefault(k, []).append((a, b))
+    return [(found[k][0], spans) for k, spans in spans_of.items()]
+
+
+def find(text: str | None) -> list[Span]:
+    """The spans of all credentials of a text, in order and without overlaps."""
+    return sorted(span for _, spans in credentials(text) for span in spans)
 
 
-_CLASSES = {**{c: "x" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "X" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "0" for c in "0123456789"}}
-_SAME_CLASS = str.maketrans(_CLASSES)
 _HEX_CLASS = str.maketrans({c: "0" for c in "0123456789abcdefABCDEF"})
+_ESCAPE = re.compile(r"(\\[nrt])")
 
 
-def redact(text: str, spans: list[tuple[int, int]]) -> str:
+def redact(text: str, spans: list[Span]) -> str:
     """The text with each credential replaced in its own length and alphabet; hexadecimal ones by zeros, so that they stay such.
     Marks, white space and the header of a key block stay."""
     parts, at = [], 0
@@ -328,12 +504,18 @@ def redact(text: str, spans: list[tuple[int, int]]) -> str:
         start = header.end() if header else a
         value = text[start:b]
         if header:
-            value = re.sub(r"(\\[nrt])|[A-Za-z0-9]", lambda m: m[1] or _CLASSES[m[0]], value)
-        parts += [text[at:start], value.translate(_HEX_CLASS if _HEX.fullmatch(value) else _SAME_CLASS)]
+            value = "".join(x if i % 2 else x.translate(_SAME_CLASS) for i, x in enumerate(_ESCAPE.split(value)))
+        parts += [text[at:start], value.translate(_HEX_CLASS) if _HEX.fullmatch(value) else value if header else value.translate(_SAME_CLASS)]
         at = b
     return "".join([*parts, text[at:]])
 
 
+def lines_of(text: str, begins: list[int]) -> list[int]:
+    """The line of each place, counted from 1."""
+    ends = [m.start() for m in re.finditer("\n", text)]
+    return [bisect_left(ends, a) + 1 for a in begins]
+
+
 def places(rows: DataFrame) -> DataFrame:
     """(origin, row_id, line_no) of rows (origin, row_id, text): the lines in which a credential begins, counted from 1."""
 
@@ -341,10 +523,9 @@ def places(rows: DataFrame) -> DataFrame:
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
             for origin, row_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                spans = find(text)
-                if spans:
-                    ends = [m.start() for m in re.finditer("\n", text)]
-                    for line in sorted({bisect_right(ends, a - 1) + 1 if a else 1 for a, _ in spans}):
+                found = credentials(text)
+                if found:
+                    for line in sorted(set(lines_of(text, [spans[0][0] for _, spans in found]))):
                         for column, x in zip(out, (origin, row_id, line)):
                             column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["origin", "row_id", "line_no"])
@@ -352,6 +533,25 @@ def places(rows: DataFrame) -> DataFrame:
     return rows.select("origin", "row_id", "text").mapInArrow(run, "origin string, row_id long, line_no long")
 
 
+def kinds(rows: DataFrame) -> DataFrame:
+    """(origin, row_id, line_no, kind, n_chars, checksum) of each credential: how it was found, and whether it has its issuer's public
+    checksum, null where there is none that is public."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            for origin, row_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                found = credentials(text)
+                for line, (kind, spans) in zip(lines_of(text, [spans[0][0] for _, spans in found]) if found else (), found):
+                    a, b = spans[0]
+                    for column, x in zip(out, (origin, row_id, line, kind, sum(b - a for a, b in spans), checksum(kind, text[a:b]))):
+                        column.append(x)
+            types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["origin", "row_id", "line_no", "kind", "n_chars", "checksum"])
+
+    return rows.select("origin", "row_id", "text").mapInArrow(run, "origin string, row_id long, line_no long, kind string, n_chars long, checksum boolean")
+
+
 def redacted(rows: DataFrame) -> DataFrame:
     """(origin, row_id, credentials, text) of the rows that hold credentials, with these replaced."""
 
@@ -359,9 +559,10 @@ def redacted(rows: DataFrame) -> DataFrame:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
             for origin, row_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                spans = find(text)
-                if spans:
-                    for column, x in zip(out, (origin, row_id, len(spans), redact(text, spans))):
+                found = credentials(text)
+                if found:
+                    spans = sorted(span for _, spans in found for span in spans)
+                    for column, x in zip(out, (origin, row_id, len(found), redact(text, spans))):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.int32(), pa.string()))], names=["origin", "row_id", "credentials", "text"])
 
