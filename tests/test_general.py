@@ -146,21 +146,79 @@ def test_drift_against_brute_force(spark, d):
     assert len(rows) == len(set(rows)) and set(rows) == brute_drift(spark, d)
 
 
-def test_flooding_keeps_listed_paths_and_finds_new_names(spark):
+def with_parents(kinds):
+    return kinds | {".".join(p.split(".")[:i]): {"object"} for p in kinds for i in range(1, p.count(".") + 1)}
+
+
+def test_flooding_keeps_listed_paths(spark):
     aliases = schema_drift.alias_list(table(spark, D, "field_aliases"))
-    every = {p: {"string"} for _, p in aliases} | {"message.role": {"string"}, "payload.cliVersionText": {"string"}}
-    for p in list(every):
-        for i in range(1, p.count(".") + 1):
-            every[".".join(p.split(".")[:i])] = {"object"}
-    got = {p: (f, exact) for p, f, _, exact in schema_drift.flood(every, aliases)}
-    assert {p: got[p] for _, p in aliases} == {p: (f, True) for f, p in aliases}
-    assert got["payload.cliVersionText"] == ("payload.cli_version", False)
-    for field, path in aliases:  # whatever else there is
-        alone = {path: {"number"}} | {".".join(path.split(".")[:i]): {"object"} for i in range(1, path.count(".") + 1)}
-        assert (path, field, True) in {(p, f, e) for p, f, _, e in schema_drift.flood(alone, aliases)}
+    r = random.Random(7)
+    words = ["version", "cliVersion", "type", "kind", "payload", "body", "entry", "client", "data", "clientVersion", "semver", "event", "build", "app"]
+    kinds = ["string", "number", "object", "array", "boolean"]
+    for _ in range(300):  # whatever else there is, a listed path is selected as itself
+        some = {".".join(r.choice(words) for _ in range(r.randrange(1, 4))) for _ in range(r.randrange(30))} | {p for _, p in aliases if r.random() < 0.3}
+        schema = with_parents({p: set(r.sample(kinds, r.randrange(1, 3))) for p in some})
+        got = schema_drift.flood(schema, aliases)
+        assert {(p, f) for p, f, q, _ in got if p == q} == {(p, f) for f, p in aliases if p in schema}
+        assert len({p for p, *_ in got}) == len({q for _, _, q, _ in got}) == len(got)
     assert schema_drift.flood({}, aliases) == [] and schema_drift.flood({"x": {"string"}}, []) == []
 
 
+def test_flooding_finds_the_field_of_names_that_are_not_listed(spark):
+    aliases = schema_drift.alias_list(table(spark, D, "field_aliases"))
+    lines = [r.raw_line for r in table(spark, D, "session_lines").collect()]
+    schema: dict = {}
+    for value in filter(None, map(load_object, lines)):
+        for path, kind in schema_drift._paths(value, schema_drift.depth_of(aliases)):
+            schema.setdefault(path, set()).add(kind)
+    found = 0
+    for field, hidden in aliases:  # each path in turn as one that isn't listed, alone of its field
+        alone = {p: k for p, k in schema.items() if p == hidden or p not in {q for f, q in aliases if f == field}}
+        got = {p: f for p, f, _, _ in schema_drift.flood(alone, [x for x in aliases if x[1] != hidden])}
+        assert got.get(hidden, field) == field
+        found += hidden in got
+    assert found >= 4
+    new = with_parents({"payload.clientVersion": {"string"}, "payload.id": {"string"}, "eventType": {"string"}, "message.version": {"number"}, "type.name": {"string"}, "attachment.type": {"string"}})
+    assert {(p, f) for p, f, _, _ in schema_drift.flood(new, aliases)} == {("payload.clientVersion", "payload.cli_version"), ("eventType", "type"), ("type", "type")}
+
+
+def test_names_that_are_data_and_depth():
+    aliases = [("a", "a.b.c.d"), ("v", "version")]
+    assert schema_drift.depth_of(aliases) == 4 and schema_drift.depth_of([]) == 1
+    kinds = {f"k{i}": {"string"} for i in range(schema_drift.MAP_NAMES + 1)} | {"version": {"string"}}
+    assert schema_drift._no_data(kinds, aliases) == {"version": {"string"}}
+    assert ("a.b.c.d", "number") in set(schema_drift._paths({"a": {"b": {"c": {"d": 1}}}}, 4)) and (schema_drift.LEFT_OUT, "") in set(schema_drift._paths({"x/y": 1}, 1))
+
+
+def test_inferred_renames(spark):
+    """Without the flooding, a lookup of listed paths would see neither the new name nor the rename."""
+    line = lambda name, v: json.dumps({"type": "a", "payload": {name: v, "id": "x"}})
+    lines = [(1, 1, line("cli_version", "1")), (2, 2, line("clientVersion", "2")), (3, 3, line("clientVersion", 3)), (4, 4, json.dumps({"type": "a", "payload": {"id": "x"}})), (5, 4, json.dumps({"x/y": 1, "": 2, "k": 3}))]
+    df = spark.createDataFrame([(i, f, "s", i, 0, x, "") for i, f, x in lines], LINES)
+    files = spark.createDataFrame([(k, "r", dt.datetime(2026, 1, k)) for k in (1, 2, 3, 4)], "file_id long, source_root string, opened_at timestamp_ntz")
+    aliases = [("payload.cli_version", "payload.cli_version"), ("payload.cli_version", "payload.cliVersion"), ("type", "type")]
+    got = {(r.file_id, r.field_name, r.change, r.listed) for r in schema_drift.drift(df, files, aliases, stored).collect()}
+    v = "payload.cli_version"
+    assert got == {(2, v, "removed", True), (2, v, "renamed", False), (3, v, "retyped", False), (4, v, "removed", False)}
+    seen = stored(schema_drift.observed(df, schema_drift.depth_of(aliases)), "schemas")
+    matched = schema_drift.correspondences(seen, aliases)
+    report = {r.path: r for r in schema_drift.report(seen, matched).collect()}
+    assert report[None].n == 2 and report["payload.clientVersion"].field_name == v and not report["payload.clientVersion"].listed and report["payload.clientVersion"].types == ["number", "string"]
+    rows = schema_drift.united(df, [("s", r.path, r.field_name, "double" if r.field_name == v else "string") for r in matched.collect()]).orderBy("line_id").collect()
+    assert [r.payload_cli_version for r in rows] == [1.0, 2.0, 3.0, None, None] and rows[1].payload_cli_version_path == "payload.clientVersion" and rows[2].payload_cli_version_type == "number"
+    assert schema_drift.common_type({"number"}) == "double" and schema_drift.common_type({"number", "string"}) == "string"
+
+
+def test_a_root_of_one_day(spark, monkeypatch):
+    """All files of a root opened at one time, or at none, are put in order in parts."""
+    monkeypatch.setattr("loomlog.operators.ordered.CHUNK", 7)
+    n = 100
+    df = spark.createDataFrame([(i, i, "s", 1, 0, json.dumps({"version": "1"} if i % 3 else {"version": 1}), "") for i in range(n)], LINES)
+    files = spark.createDataFrame([(i, "r", None if i < 50 else dt.datetime(2026, 1, 1)) for i in range(n)], "file_id long, source_root string, opened_at timestamp_ntz")
+    got = {(r.file_id, r.change) for r in schema_drift.drift(df, files, [("version", "version")], stored).collect()}
+    assert got == {(i, "retyped") for i in range(1, n) if (i % 3 == 0) != ((i - 1) % 3 == 0)}
+
+
 def test_drift_edge_cases(spark):
     lines = [(1, 1, '{"version": "1"}'), (2, 2, "broken"), (3, 3, '{"cliVersion": 2, "version": null}'), (4, 4, "{}"), (5, None, '{"version": 1}'), (6, 5, '{"version": {"a": [1]}, "client.version": 3}'), (7, 9, '{"version": 1}')]
     df = spark.createDataFrame([(i, f, None, i, 0, x, "") for i, f, x in lines], LINES)
@@ -174,7 +232,7 @@ def test_drift_edge_cases(spark):
 def test_united_table(spark):
     row = general.p1_table(spark, D)
     assert row.count() == sum(load_object(r.raw_line) is not None for r in table(spark, D, "session_lines").collect())
-    assert {"version", "version_type", "payload_cli_version"} <= set(row.columns)
+    assert {"version", "version_type", "version_path", "payload_cli_version"} <= set(row.columns)
 
 
 def test_children(spark):
