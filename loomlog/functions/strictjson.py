@@ -15,15 +15,30 @@ class RawNumber(str):
     """A number kept as its text."""
 
 
+class Repeated(dict):
+    """An object with repeated names: the last value of each, as elsewhere, and all of them in `pairs`."""
+
+    pairs: list
+
+
+def _all_names(pairs: list) -> dict:
+    value = dict(pairs)
+    if len(value) < len(pairs):
+        value = Repeated(value)
+        value.pairs = pairs
+    return value
+
+
 def _refuse(word: str):
     raise ValueError(f"{word} is no JSON")
 
 
 _FAST = json.JSONDecoder(parse_constant=_refuse)
 _RAW_NUMBERS = json.JSONDecoder(parse_constant=_refuse, parse_float=RawNumber, parse_int=RawNumber)
+_EXACT = json.JSONDecoder(parse_constant=_refuse, parse_float=RawNumber, parse_int=RawNumber, object_pairs_hook=_all_names)
 
 
-def _slow(text: str):
+def _slow(text: str, all_names: bool = False):
     """Iterative parser for the rare texts that the recursive one gives up on (depth); numbers stay RawNumber."""
     position, length = _SPACE.match(text).end(), len(text)
     root: list = []
@@ -35,6 +50,8 @@ def _slow(text: str):
             stack[-1].append(value)
         else:
             stack[-1][keys[-1]] = value
+            if all_names:
+                stack[-1].pairs.append((keys[-1], value))
 
     def read_key(at: int) -> int:
         found = _STRING.match(text, at)
@@ -50,7 +67,9 @@ def _slow(text: str):
         char = text[position : position + 1]
         opened = False
         if char in ("{", "["):
-            value: object = {} if char == "{" else []
+            value: object = Repeated() if char == "{" and all_names else {} if char == "{" else []
+            if isinstance(value, Repeated):
+                value.pairs = []
             put(value)
             position = _SPACE.match(text, position + 1).end()
             if text[position : position + 1] == ("}" if char == "{" else "]"):
@@ -97,12 +116,13 @@ def _slow(text: str):
             position += 1
 
 
-def loads(text: str, raw_numbers: bool = False):
-    """The value of exactly one JSON text (JSON white space around it is fine); ValueError otherwise."""
+def loads(text: str, raw_numbers: bool = False, all_names: bool = False):
+    """The value of exactly one JSON text (JSON white space around it is fine); ValueError otherwise. all_names: numbers stay raw, and objects
+    with repeated names are Repeated."""
     try:
-        return (_RAW_NUMBERS if raw_numbers else _FAST).decode(text)
+        return (_EXACT if all_names else _RAW_NUMBERS if raw_numbers else _FAST).decode(text)
     except RecursionError:
-        return _slow(text)
+        return _slow(text, all_names)
     except json.JSONDecodeError:
         raise
     except ValueError as error:
@@ -111,12 +131,12 @@ def loads(text: str, raw_numbers: bool = False):
         raise
 
 
-def load_object(text: str | None, raw_numbers: bool = False) -> dict | None:
+def load_object(text: str | None, raw_numbers: bool = False, all_names: bool = False) -> dict | None:
     """The object of a line, or None where the line is no single JSON object."""
     if text is None:
         return None
     try:
-        value = loads(text, raw_numbers)
+        value = loads(text, raw_numbers, all_names)
     except ValueError:
         return None
     return value if isinstance(value, dict) else None

@@ -242,7 +242,7 @@ def test_children(spark):
         "messages": [{"toolCalls": [{"name": "x"}, None]}, 7, {"toolCalls": [{"id": 1}]}],
         "todos": {"todos": [None, {"content": "do"}]},
     }
-    rows = [r[:4] for r in nested.children(line) if r[0]]
+    rows = [tuple(r[:4]) for r in nested.nodes(line) if r[0] in nested.CHILD_TABLES]
     assert sorted(rows) == sorted([
         ("result_block", 1, 0, "text"), ("result_block", 1, 2, "text"), ("content_block", 0, 1, "tool_result"), ("content_block", 0, 2, ""), ("content_block", 0, 3, "text"), ("content_block", 0, 4, "tool_result"),
         ("tracked_file", 0, 0, "B"), ("tracked_file", 0, 2, "b"), ("tracked_file", 0, 3, "Ä"), ("tool_call", 0, 0, "x"), ("tool_call", 2, 0, ""), ("todo", 0, 1, "do"),
@@ -251,20 +251,46 @@ def test_children(spark):
     df = spark.createDataFrame(line_rows(texts), LINES)
     got = [tuple(r) for r in nested.occurrences(df).collect()]
     assert len(got) == 2 * 12 + 3 and (1, "content_block", 0, 0, "text") in got and (3, "content_block", 0, 0, "t") in got
-    bridge = {(r.line_id, r.child_table, r.parent_pos, r.pos): r for r in nested.bridge(df).collect()}
-    assert bridge[0, "result_block", 1, 0].parent == bridge[0, "content_block", 0, 1].node and bridge[0, "content_block", 0, 1].parent == bridge[0, "", 0, 0].node
+    rows = nested.bridge(df).collect()
+    assert len({(r.line_id, r.at) for r in rows}) == len(rows)
+    by_at = {(r.line_id, r.at): r for r in rows}
+    assert all(by_at[r.line_id, r.parent_at].node == r.parent for r in rows if r.parent_at is not None)
+    bridge = {(r.line_id, r.child_table, r.parent_pos, r.pos): r for r in rows if r.child_table != "object"}
+    assert bridge[0, "result_block", 1, 0].parent == bridge[0, "content_block", 0, 1].node and by_at[0, bridge[0, "content_block", 0, 1].parent_at].label == "/message"
     assert bridge[0, "", 0, 0].node == bridge[8, "", 0, 0].node and bridge[0, "tracked_file", 0, 2].node == bridge[0, "tracked_file", 0, 3].node
     stored_once = {r.node: r for r in nested.objects(df).collect()}
+    assert stored_once[bridge[0, "", 0, 0].node].occurrences == 2 and sum(r.occurrences for r in stored_once.values()) == len(rows)
+    assert nested.whole(bridge[0, "", 0, 0].node, lambda n: stored_once[n].body)["todos"] == line["todos"]
 
-    def whole(node):
-        def put(x):
-            if isinstance(x, dict):
-                return whole(x["$node"]) if set(x) == {"$node"} else {k: put(v) for k, v in x.items()}
-            return [put(v) for v in x] if isinstance(x, list) else x
 
-        return put(json.loads(stored_once[node].body))
+EXACT = [
+    '{"a":1.10,"b":12345678901234567890.123,"c":1e400,"d":-0,"e":1E+2}', '{"x":[{"y":{"z":1}},{"y":{"z":1}}],"w":{"y":{"z":1}}}', '{"$node":"abc","a":{"$node":"abc"},"b":[{"$node":{"$node":1}}]}', '{"a":1,"a":{"b":2},"a":{"b":2}}',
+    '{"message":{"content":"x","content":"y"}}', '{"message":{"content":[{"type":"tool_result","content":"r","content":[null,{"a":1}]},"s",1.50,[{"k":{}}],null]}}', '{"snapshot":{"trackedFileBackups":{"a/b":{},"~":1,"a/b":[]}}}', '{"a":"\\ud800 \\u0000 é"}', "{}", '{"":{"":{}}}',
+]
+
+
+def plain(x):
+    if isinstance(x, dict):
+        return ("object", sorted(((k, plain(v)) for k, v in nested._slots(x)), key=lambda p: p[0]))
+    return ("array", [plain(v) for v in x]) if isinstance(x, list) else (type(x).__name__, x)
+
 
-    assert whole(bridge[0, "", 0, 0].node) == line and stored_once[bridge[0, "", 0, 0].node].occurrences == 2
+def test_lines_come_back_exactly(spark):
+    lines = table(spark, D, "session_lines").select("line_id", "raw_line")
+    texts = {r.line_id: r.raw_line for r in lines.collect()} | {-i - 1: x for i, x in enumerate(EXACT)}
+    df = spark.createDataFrame(list(texts.items()), "line_id long, raw_line string")
+    bodies = {r.node: r.body for r in nested.objects(df).collect()}
+    tops = {r.line_id: r.node for r in nested.bridge(df).where("child_table = ''").collect()}
+    values = {i: v for i, x in texts.items() if (v := load_object(x, all_names=True)) is not None}
+    assert set(tops) == set(values)
+    for i, v in values.items():
+        assert plain(nested.whole(tops[i], bodies.get)) == plain(v)
+    same = [r for r in nested.nodes(load_object(EXACT[1], all_names=True)) if r[8] == '{"z":1}']
+    assert len(same) == 3 and len({r[4] for r in same}) == 1 and {r[3] for r in same} == {"/y"}
+    assert [r[3] for r in nested.nodes(load_object('{"message":{"content":"x","content":"x"}}', all_names=True)) if r[0] == "content_block"] == ["text"]
+    deep = '{"a":' * 2500 + "1.0" + "}" * 2500
+    rows = nested.nodes(load_object(deep, all_names=True))
+    assert len(rows) == 2500 and rows[-1][8] == '{"a":1.0}'
 
 
 @pytest.mark.parametrize("raw, zone, want", [
@@ -304,6 +330,6 @@ def test_all_instants(spark):
 
 
 def test_extra_and_clashing_columns(spark):
-    lines = table(spark, D, "session_lines").withColumns({"path": F.lit(1), "type": F.lit(2), "reason": F.lit("x"), "body": F.lit("b"), "node": F.lit("n")})
+    lines = table(spark, D, "session_lines").withColumns({"path": F.lit(1), "type": F.lit(2), "reason": F.lit("x"), "body": F.lit("b"), "node": F.lit("n"), "at": F.lit(0)})
     assert nested.occurrences(lines).count() == general.p4_found(spark, D).count()
     assert parse_failures.rejected_lines(lines).count() == general.p2_found(spark, D).where("origin = 'session_lines'").count()
