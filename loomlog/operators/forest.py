@@ -5,7 +5,9 @@ place with more rows is split by hash. In each bucket an iterative walk with nod
 its top. What links tops across buckets is followed by pointer doubling on the contracted graph, whose tables are written to
 the shared folder each round: the number of rounds is the logarithm of the depth in tops. No tree needs to fit into one task.
 
-A node whose parent is null or doesn't exist is a root. Nodes on a cycle or below one have no root. Of repeated nodes the least
+A node whose parent is null or doesn't exist is a root. Nodes on a cycle or below one have no root; cycles() gives each cycle with its
+back edge. A full path is given in segments; path_of() and descendants_of() write paths and descendants out for chosen nodes (for all of
+them both grow with the square of the depth). Of repeated nodes the least
 parent counts; rows without a node id are ignored; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -286,3 +288,52 @@ def _path_sums(starts: DataFrame, keep) -> DataFrame:
         )
         if not state.where("anc is not null").count():
             return state.select("origin", "top", "base")
+
+
+def cycles(rows: DataFrame, keep) -> DataFrame:
+    """(origin, cycle, node, parent, back_edge, length) of the nodes on cycles; a cycle is named by its least node, and its back edge is the one
+    that leads to that node. rows: those of hierarchy().
+
+    All nodes that have no root jump 2^k parents up at once, until one more doubling doesn't lessen the nodes that are landed on: on these
+    the jump is a permutation, so they are the cycles. The least node of each is found by doubling along the cycles alone."""
+    state = keep(rows.where("root is null").select("origin", "node", "parent", F.col("parent").alias("anc")), "unrooted")
+    landed = state.select("origin", F.col("anc").alias("node")).distinct()
+    before, now = None, landed.count()
+    while now != before:
+        jump = state.select("origin", F.col("node").alias("anc"), F.col("anc").alias("anc2"))
+        state = keep(state.join(jump, ["origin", "anc"]).select("origin", "node", "parent", F.col("anc2").alias("anc")), "jumped")
+        landed = state.select("origin", F.col("anc").alias("node")).distinct()
+        before, now = now, landed.count()
+    ring = keep(state.join(landed, ["origin", "node"], "left_semi").select("origin", "node", "parent", F.col("parent").alias("anc"), F.col("node").alias("least")), "rings")
+    while now:
+        ahead = ring.select("origin", F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("least").alias("least2"))
+        moved = ring.join(ahead, ["origin", "anc"]).select("origin", "node", "parent", F.col("anc2").alias("anc"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("changed"))
+        moved = keep(moved, "rings")
+        ring = moved.drop("changed")
+        if not moved.where("changed").limit(1).count():
+            break
+    lengths = ring.groupBy("origin", "least").agg(F.count(F.lit(1)).alias("length"))
+    return ring.join(lengths, ["origin", "least"]).select("origin", F.col("least").alias("cycle"), "node", "parent", (F.col("parent") == F.col("least")).alias("back_edge"), "length")
+
+
+def _of_root(tree: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All rooted nodes, and the wanted ones (origin, node) among them."""
+    inner = tree.where("root is not null").select("origin", "root", "node", "depth", "before", "below0")
+    chosen = inner.join(wanted.select("origin", "node").distinct(), ["origin", "node"], "left_semi")
+    return inner, chosen.select("origin", "root", F.col("node").alias("of"), F.col("before").alias("of_before"), F.col("below0").alias("of_below"))
+
+
+def path_of(tree: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(origin, node, ancestor, depth): the full path of each wanted node (origin, node), one row for each node on it, itself included.
+
+    tree: ordered_hierarchy() with w0 = 1. An ancestor is a node of the same root in whose interval the node lies."""
+    inner, chosen = _of_root(tree, wanted)
+    around = (F.col("of_before") >= F.col("before")) & (F.col("of_before") <= F.col("before") + F.col("below0"))
+    return inner.join(chosen, ["origin", "root"]).where(around).select("origin", F.col("of").alias("node"), F.col("node").alias("ancestor"), "depth")
+
+
+def descendants_of(tree: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(origin, node, descendant, depth): all nodes below each wanted node (origin, node). tree: ordered_hierarchy() with w0 = 1."""
+    inner, chosen = _of_root(tree, wanted)
+    inside = (F.col("before") > F.col("of_before")) & (F.col("before") <= F.col("of_before") + F.col("of_below"))
+    return inner.join(chosen, ["origin", "root"]).where(inside).select("origin", F.col("of").alias("node"), F.col("node").alias("descendant"), "depth")

@@ -108,15 +108,39 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_tree(spark: SparkSession, d: str) -> DataFrame:
-    """Each node's root, depth, path and descendants: those of its root with walk_no in (walk_no, walk_no + descendants]."""
+    """Each node's root, depth and descendants: those of its root with walk_no in (walk_no, walk_no + descendants]."""
     rows = forest.ordered_hierarchy(_links(spark, d), stored)
     return rows.select(
-        "origin", F.col("node").alias("node_id"), F.col("parent").alias("parent_id"), F.coalesce("root", F.lit("")).alias("root_id"), "depth",
-        F.col("before").alias("walk_no"), F.col("below0").alias("descendants"), "path_from", "path",
-    )
+        "origin", F.col("node").alias("node_id"), F.col("parent").alias("parent_id"), F.coalesce("root", F.lit("")).alias("root_id"), "depth", F.col("before").alias("walk_no"), F.col("below0").alias("descendants")
+    )
+
+
+def p7_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Each node's path from below the ancestor path_from, whose own path goes before it."""
+    return forest.ordered_hierarchy(_links(spark, d), stored).select("origin", F.col("node").alias("node_id"), "path_from", "path")
+
+
+def p7_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes on cycles, each cycle with its back edge."""
+    rows = forest.cycles(forest.hierarchy(_links(spark, d), stored), stored)
+    return rows.select("origin", F.col("cycle").alias("cycle_id"), F.col("node").alias("node_id"), F.col("parent").alias("parent_id"), "back_edge", "length")
+
+
+def p7_deepest_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The full path of the deepest node of each table (a report of one node each; of several the least id), one row a node on it."""
+    tree = stored(forest.ordered_hierarchy(_links(spark, d), stored), "tree")
+    deepest = tree.where("root is not null").groupBy("origin").agg(F.min_by("node", F.struct(-F.col("depth"), "node")).alias("node"))
+    return forest.path_of(tree, deepest).select("origin", F.col("node").alias("node_id"), F.col("ancestor").alias("ancestor_id"), "depth")
+
+
+def p7_largest_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """All descendants of the root with most of them in each table (a report of one root each; of several the least id)."""
+    tree = stored(forest.ordered_hierarchy(_links(spark, d), stored), "tree")
+    largest = tree.where("depth = 0").groupBy("origin").agg(F.min_by("node", F.struct(-F.col("below0"), "node")).alias("node"))
+    return forest.descendants_of(tree, largest).select("origin", F.col("node").alias("node_id"), F.col("descendant").alias("descendant_id"), "depth")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p1_matches, p1_table, p2_found, p2_rejected, p2_records, p4_found, p4_bridge, p4_objects, p6_found, p7_found, p7_tree)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p1_matches, p1_table, p2_found, p2_rejected, p2_records, p4_found, p4_bridge, p4_objects, p6_found, p7_found, p7_tree, p7_segments, p7_cycles, p7_deepest_paths, p7_largest_descendants)}
 
 #: The lines that are no case of p2, as v with their value j. DuckDB also takes trailing commas and the names of numbers that are none: outside of texts
 #: they are looked for by themselves.
@@ -161,12 +185,37 @@ ORACLE_SQL = {
         union all select line_id, 'tool_call', nth, pos, {_NAMED.format('name')}, e from (select line_id, nth, unnest(range(json_array_length(x)::bigint)) as pos, x -> pos as e from c where json_type(x) = 'ARRAY')
         union all select line_id, 'todo', 0, pos, {_NAMED.format('content')}, e from (select line_id, unnest(range(json_array_length(x)::bigint)) as pos, x -> pos as e from d where json_type(x) = 'ARRAY'))
       select line_id, child_table, cast(parent_pos as bigint) as parent_pos, cast(pos as bigint) as pos, label from w where json_type(e) <> 'NULL'""",
-    "p7_found": """with recursive n as (
-        select 'chat_messages' as origin, uuid as id, min(parent_uuid) as p from chat_messages where uuid is not null group by uuid
-        union all select 'sessions', cast(session_id as varchar), min(cast(parent_session_id as varchar)) from sessions group by session_id
-        union all select 'store_sessions', store_session_id, min(parent_session_id) from store_sessions where store_session_id is not null group by store_session_id),
+    "p7_found": """with recursive {nodes},
       r as (
         select n.origin, n.id, n.id as root, 0 as depth from n left join n as u on u.origin = n.origin and u.id = n.p where u.id is null
         union all select n.origin, n.id, r.root, r.depth + 1 from n join r on n.origin = r.origin and n.p = r.id)
       select n.origin, n.id as node_id, coalesce(r.root, '') as root_id, cast(coalesce(r.depth, -1) as bigint) as depth from n left join r on r.origin = n.origin and r.id = n.id""",
+    "p7_tree": """with recursive {nodes}, {walked}
+      select n.origin, n.id as node_id, n.p as parent_id, coalesce(t.root, '') as root_id, cast(coalesce(t.depth, -1) as bigint) as depth, t.walk_no, t.descendants
+      from n left join t on t.origin = n.origin and t.id = n.id""",
+    "p7_cycles": """with recursive {nodes},
+      up as (select origin, id, p as now, 1 as steps from n where p is not null union all select up.origin, up.id, n.p, steps + 1 from up join n on n.origin = up.origin and n.id = up.now
+        where up.now <> up.id and n.p is not null and steps <= (select count(*) from n)),
+      c as (select distinct origin, id from up where now = id),
+      w as (select c.origin, c.id, c.id as start, 0 as steps from c union all select w.origin, n.p, w.start, steps + 1 from w join n on n.origin = w.origin and n.id = w.id where n.p <> w.start),
+      m as (select origin, start as id, min(id) as cycle_id, count(*) as length from w group by origin, start)
+      select m.origin, m.cycle_id, m.id as node_id, n.p as parent_id, n.p = m.cycle_id as back_edge, m.length from m join n on n.origin = m.origin and n.id = m.id""",
+    "p7_deepest_paths": """with recursive {nodes}, {walked},
+      d as (select origin, arg_min(id, {{'d': -depth, 'i': id}}) as node_id from t group by origin)
+      select d.origin, d.node_id, s.i as ancestor_id, cast(s.k - 1 as bigint) as depth from d join t on t.origin = d.origin and t.id = d.node_id, unnest(list_transform(t.path, lambda x, k: {{'i': x.i, 'k': k}})) as u(s)""",
+    "p7_largest_descendants": """with recursive {nodes}, {walked},
+      d as (select origin, arg_min(id, {{'d': -descendants, 'i': id}}) as node_id from t where depth = 0 group by origin)
+      select d.origin, d.node_id, t.id as descendant_id, cast(t.depth as bigint) as depth from d join t on t.origin = d.origin and t.root = d.node_id and t.id <> d.node_id""",
 }
+_NODES = """n as (
+        select 'chat_messages' as origin, uuid as id, min(parent_uuid) as p, min(seq) as o from chat_messages where uuid is not null group by uuid
+        union all select 'sessions', cast(session_id as varchar), min(cast(parent_session_id as varchar)), session_id from sessions group by session_id
+        union all select 'store_sessions', store_session_id, min(parent_session_id), 0 from store_sessions where store_session_id is not null group by store_session_id)"""
+_WALKED = """r as (
+        select n.origin, n.id, n.id as root, 0 as depth, [{'o': n.o is null, 'k': coalesce(n.o, 0), 'i': n.id}] as path from n left join n as u on u.origin = n.origin and u.id = n.p where u.id is null
+        union all select n.origin, n.id, r.root, r.depth + 1, list_append(r.path, {'o': n.o is null, 'k': coalesce(n.o, 0), 'i': n.id}) from n join r on n.origin = r.origin and n.p = r.id),
+      k as (select *, row_number() over (partition by origin, root order by path) - 1 as walk_no from r),
+      e as (select a.origin, a.id, min(b.walk_no) as stop from k a left join k b on b.origin = a.origin and b.root = a.root and b.walk_no > a.walk_no and b.depth <= a.depth group by a.origin, a.id),
+      z as (select origin, root, count(*) as size from k group by origin, root),
+      t as (select k.*, coalesce(e.stop, z.size) - k.walk_no - 1 as descendants from k join e using (origin, id) join z using (origin, root))"""
+ORACLE_SQL |= {name: sql.format(nodes=_NODES, walked=_WALKED) for name, sql in ORACLE_SQL.items() if name.startswith("p7_")}

@@ -103,3 +103,41 @@ def test_empty(spark):
 def test_missing_parent_is_reported(spark):
     df = spark.createDataFrame([("a", "x", "gone", "p", 1, 1, 0, 0), ("a", "y", "x", "q", 1, 1, 0, 0)], SCHEMA)
     assert {(r.node, r.missing) for r in forest.hierarchy(df, stored).collect()} == {("x", True), ("y", False)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cycles_paths_and_descendants(spark, monkeypatch, seed):
+    monkeypatch.setattr(forest, "BUCKET_ROWS", 50)
+    rows = shapes(seed)
+    parents, found, _ = brute(rows)
+    df = spark.createDataFrame(rows, SCHEMA)
+    rings = {}
+    for key, (root, _) in found.items():
+        if root is None:
+            seen, at = [], key
+            while at not in seen:
+                seen.append(at)
+                at = (key[0], parents[at])
+            ring = seen[seen.index(at) :]
+            if key in ring:
+                rings[key] = (min(x[1] for x in ring), parents[key] == min(x[1] for x in ring), len(ring))
+    tree = stored(forest.ordered_hierarchy(df, stored), "tree")
+    got = forest.cycles(tree, stored).collect()
+    assert {(r.origin, r.node): (r.cycle, r.back_edge, r.length) for r in got} == rings and len(got) == len(rings)
+    assert sum(r.back_edge for r in got) == len({(r.origin, r.cycle) for r in got})
+    assert forest.cycles(tree.where("root is not null"), stored).count() == 0
+    paths = {}
+    for key, (root, depth) in found.items():
+        if root is not None:
+            steps = [key]
+            while steps[-1][1] != root:
+                steps.append((key[0], parents[steps[-1]]))
+            paths[key] = [x[1] for x in reversed(steps)]
+    wanted = [("b", "c499"), ("s", "hub"), ("a", "n0"), ("a", "n5"), ("b", "r1"), ("b", "none"), ("b", "c100"), ("b", "c499")]
+    asked = spark.createDataFrame(wanted, "origin string, node string")
+    up = {}
+    for r in forest.path_of(tree, asked).collect():
+        up.setdefault((r.origin, r.node), []).append((r.depth, r.ancestor))
+    assert {k: [x for _, x in sorted(v)] for k, v in up.items()} == {k: paths[k] for k in set(wanted) if k in paths}
+    down = sorted((r.origin, r.node, r.descendant) for r in forest.descendants_of(tree, asked).collect())
+    assert down == sorted((o, n, x[1]) for o, n in set(wanted) if (o, n) in paths for x, p in paths.items() if x[0] == o and n in p[:-1])
