@@ -7,7 +7,8 @@ again and again, and all starts that the first one reaches are marked in paralle
 A piece ends at the farthest boundary within the limit, at an end of line or sentence where one lies in its second half, else at
 white space. Only where there is none, or none that leaves room for the overlap, an atom is cut between words, or inside a word at a
 boundary of its tokens; such texts are walked piece by piece, with real counts. The next piece starts at the last boundary that gives
-at least the overlap, which only characters of many tokens can prevent, where the limit is a few tokens. Null and empty texts have no
+at least the overlap, which only characters of many tokens can prevent, where the limit is a few tokens, or a few more than the
+overlap. An overlap that isn't smaller than the limit is refused. Null and empty texts have no
 pieces; texts within the limit are one piece. Pieces cover the text without gaps, and each ends beyond the one before.
 """
 
@@ -287,7 +288,12 @@ def pieces_of_many(lexicon: Lexicon, which: int, group: Group, most: int, overla
 
 
 def split(documents: DataFrame, limits: list[tuple[str, str, int, int]], folder: str = tokenizers.FOLDER) -> DataFrame:
-    """(doc_id, limit_name, piece_no, start_char, end_char, n_tokens, text); limits: (limit_name, tokenizer_name, max_tokens, overlap_tokens)."""
+    """(doc_id, limit_name, piece_no, start_char, end_char, n_tokens, text); limits: (limit_name, tokenizer_name, max_tokens, overlap_tokens).
+
+    ValueError for an overlap that leaves no room for going on: it must be smaller than the limit."""
+    for name, _, most, overlap in limits:
+        if not 0 <= overlap < most:
+            raise ValueError(f"{name}: an overlap of {overlap} tokens can't be had in pieces of {most}")
     used = sorted({t for _, t, _, _ in limits})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +306,7 @@ def split(documents: DataFrame, limits: list[tuple[str, str, int, int]], folder:
                     group.add(k, text, lexicon.numbers(tokenizers.CHUNK.findall(text)))
                 if group.keys and (group.waiting >= TOGETHER or k + 1 == len(texts)):
                     for name, tokenizer, most, overlap in limits:
-                        at, number, start, end, tokens = pieces_of_many(lexicon, used.index(tokenizer), group, most, min(overlap, most // 2))
+                        at, number, start, end, tokens = pieces_of_many(lexicon, used.index(tokenizer), group, most, overlap)
                         columns = ([ids[x] for x in at], [name] * len(at), number, start, end, tokens, [texts[x][a:b] for x, a, b in zip(at, start, end)])
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
                     group = Group()

@@ -58,7 +58,7 @@ def test_ids_of_documents(spark):
     assert encoding.ids(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-LIMITS = [("s", "byte_bpe_50k", 128, 16), ("m", "byte_bpe_50k", 512, 64), ("l", "byte_bpe_50k", 2048, 0), ("w", "word_bpe_49k", 256, 32), ("tiny", "byte_bpe_50k", 8, 3)]
+LIMITS = [("s", "byte_bpe_50k", 128, 16), ("m", "byte_bpe_50k", 512, 64), ("l", "byte_bpe_50k", 2048, 0), ("w", "word_bpe_49k", 256, 32), ("tiny", "byte_bpe_50k", 8, 3), ("most", "byte_bpe_50k", 40, 30), ("more", "word_bpe_49k", 64, 48)]
 LONG_TEXTS = ["".join(random.choice(ALPHABET[:20]) for _ in range(random.randrange(1, 3000))) for _ in range(40)] + ["".join(chr(0x4E00 + i % 2000) for i in range(3000)), "Q9" * 3000, "x" * 10 + " " * 5000 + "y", "word " * 3000, "A. " * 900]
 
 
@@ -135,6 +135,12 @@ def test_split_documents(spark):
         assert all(r.text == texts[doc][r.start_char : r.end_char] for r in pieces)
 
 
+@pytest.mark.parametrize("most, overlap", [(40, 40), (40, 41), (40, -1), (0, 0)])
+def test_an_overlap_that_cannot_be_met_is_refused(spark, most, overlap):
+    with pytest.raises(ValueError):
+        splitting.split(spark.createDataFrame([(1, "x")], "doc_id long, text string"), [("l", "byte_bpe_50k", most, overlap)])
+
+
 def sizes(spark, n, sources="abc"):
     r = random.Random(7)
     rows = [(i, random.Random(i).choice(sources), r.randrange(1, 400)) for i in range(n)] + [(n, None, 50), (n + 1, "a", 0), (n + 2, "unnamed", 500)]
