@@ -152,13 +152,16 @@ TARGETS = "mix_name string, source string, target_share double, max_repeat long,
 
 def test_mix_meets_its_goals(spark, monkeypatch):
     monkeypatch.setattr(mixing, "FAN_IN", 2)
+    monkeypatch.setattr(mixing, "TASK_ROWS", 400)
+    monkeypatch.setattr(mixing, "RESERVE", 20)
     df = stored(sizes(spark, 3000).repartition(7), "sizes")
     targets = spark.createDataFrame([("m", "a", 0.5, 2, 0.5), ("m", "b", 0.3, 3, 0.5), ("m", "gone", 0.2, 1, 0.5), ("n", "a", 0.9, 1, 2.0), ("n", "c", 0.1, 9, 2.0)], TARGETS)
     mixed, cells = mixing.mix(df, targets, stored)
     mixed = stored(mixed, "mixed")
     by = {(r.mix_name, r.source): r for r in mixing.shares(mixed, cells).collect()}
     for key in (("m", "a"), ("m", "b"), ("n", "c")):
-        assert abs(by[key].used_tokens - by[key].goal_tokens) < 400, key
+        assert abs(by[key].used_tokens - by[key].goal_tokens) <= 3 and abs(by[key].goal_share - by[key].target_share) < 1e-4 and by[key].bound is None, key
+    assert by["n", "a"].bound == "max_repeat" and by["m", "gone"].bound == "documents"
     assert by["n", "a"].used_tokens == by["n", "a"].available_tokens < by["n", "a"].goal_tokens and by["m", "gone"].used_tokens == 0 == by["m", "gone"].actual_share
     assert abs(sum(by[k].actual_share for k in by if k[0] == "m") - 1) < 1e-9
     caps = {(t.mix_name, t.source): t.max_repeat for t in targets.collect()}
@@ -168,6 +171,8 @@ def test_mix_meets_its_goals(spark, monkeypatch):
     assert all(int(whole["c"]) <= r.uses <= int(whole["c"]) + 1 for r in rows if (r.mix_name, r.source) == ("n", "c"))
     again = mixing.mix(df, targets, stored)[0]
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows))
+    moved = mixing.mix(stored(df.repartition(3, "n_tokens"), "moved"), targets, stored)[0]  # however the rows are stored
+    assert sorted(map(tuple, moved.collect())) == sorted(map(tuple, rows))
     other = mixing.mix(df, targets, stored, seed=1)[0]
     assert sorted(map(tuple, other.collect())) != sorted(map(tuple, rows))
 
@@ -185,6 +190,21 @@ def test_rounding_is_fair():
     assert all(0.24 < n / 1500 < 0.36 for n in used)
 
 
+def test_what_is_settled_comes_near():
+    r = random.Random(3)
+    for seed in range(200):
+        rows = [(i, r.randrange(1, 20_000), 0, r.choice([0.01, 0.3, 0.97])) for i in range(r.randrange(1, 70))]
+        got = mixing.settled((seed, "m", "s"), rows)
+        assert sorted(x[0] for x in got) == list(range(len(rows))) and {x[3] for x in got} <= {0.0, 1.0}
+        miss = abs(sum(w * p for _, w, _, p in rows) - sum(w * p for _, w, _, p in got))
+        assert miss <= max(w for _, w, _, _ in rows) / 2 + 1 and (len(rows) < 20 or miss <= 1)
+    for _ in range(300):
+        changes, goal = [r.randrange(-30, 31) for _ in range(r.randrange(9))], r.randrange(-60, 61)
+        sums = {sum(x for i, x in enumerate(changes) if k >> i & 1) for k in range(1 << len(changes))}
+        assert abs(sum(changes[i] for i in mixing.nearest(changes, goal)) - goal) == min(abs(x - goal) for x in sums)
+    assert mixing.settled((1, "m", "s"), []) == []
+
+
 def test_mix_of_nothing(spark):
     none = stored(sizes(spark, 0).where("false"), "none")
     targets = spark.createDataFrame([("m", "a", 1.0, 2, 0.5)], TARGETS)
