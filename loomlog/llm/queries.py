@@ -35,11 +35,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_turns(spark: SparkSession, d: str) -> DataFrame:
-    """The turns with written and corrected instants."""
+    """The turns with written and corrected instants, and their place in the merge by time."""
     messages = table(spark, d, "chat_messages")
     raw = messages.where("uuid is not null").select("session_id", "uuid", F.col("event_ts").alias("raw"), F.coalesce("tz_name", F.lit("UTC")).alias("zone"))
-    stamps = raw.join(instants.dictionary(raw, stored), ["raw", "zone"]).where("instant_us is not null").select("session_id", "uuid", "instant_us")
-    return conversations.corrected(stored(conversations.turns(messages, stored), "turns"), stamps)
+    stamps = raw.join(instants.dictionary(raw, stored), ["raw", "zone"]).where("instant_us is not null").select("session_id", "uuid", "instant_us", conversations.precision_us(F.col("raw")).alias("width_us"))
+    rows = conversations.trees(messages, stored)
+    return conversations.merged(stored(conversations.turns_of(rows), "turns"), conversations.answered(rows, stored), stamps, stored)
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
