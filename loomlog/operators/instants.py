@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 from collections.abc import Iterable, Iterator
-from decimal import Decimal, InvalidOperation
+from decimal import Decimal, localcontext
 from functools import lru_cache
 from zoneinfo import ZoneInfo
 
@@ -52,13 +52,11 @@ def _zone(name: str) -> ZoneInfo | None:
 
 
 def _bare_number(text: str) -> int | None:
-    try:
+    with localcontext(prec=len(text) + 30):
         value = Decimal(text)
-    except InvalidOperation:
-        return None
-    for unit in (1, 10**3, 10**6, 10**9):
-        if _LOW * unit <= value < _HIGH * unit:
-            return int(value * 1_000_000 / unit) if unit < 10**9 else int(value // 1000)
+        for unit in (1, 10**3, 10**6, 10**9):
+            if _LOW * unit <= value < _HIGH * unit:
+                return int(value * 1_000_000 / unit)
     return None
 
 
@@ -68,8 +66,8 @@ def parse(text: str | None, zone: str | None = None) -> int | None:
         return None
     text = text.strip()
     if _BARE.fullmatch(text):
-        return _bare_number(text) if len(text) < 64 else None
-    found = next((m for s in _SHAPES if (m := s.fullmatch(text))), None) if len(text) < 256 else None
+        return _bare_number(text)
+    found = next((m for s in _SHAPES if (m := s.fullmatch(text))), None)
     if not found:
         return None
     g = found.groupdict()
@@ -109,10 +107,9 @@ def parse(text: str | None, zone: str | None = None) -> int | None:
     return micros - minutes * 60_000_000
 
 
-def dictionary(values: DataFrame, keep, known: DataFrame | None = None) -> DataFrame:
-    """(raw, zone, instant_us) of all distinct (raw, zone) of values, each parsed once; null where there is no instant.
-
-    known is the dictionary of earlier runs: what it holds isn't parsed again. keep(df, name) persists the new part."""
+def parsed(values: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(raw, zone, instant_us) of the distinct (raw, zone) of values that known doesn't hold, each parsed once; null where there is no
+    instant."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,8 +120,14 @@ def dictionary(values: DataFrame, keep, known: DataFrame | None = None) -> DataF
     new = values.where("raw is not null").select("raw", F.coalesce("zone", F.lit("UTC")).alias("zone")).distinct()
     if known is not None:
         new = new.join(known, ["raw", "zone"], "left_anti")
-    parsed = keep(new.mapInArrow(run, "raw string, zone string, instant_us long"), "instants")
-    return parsed if known is None else known.unionByName(parsed)
+    return new.mapInArrow(run, "raw string, zone string, instant_us long")
+
+
+def dictionary(values: DataFrame, keep, known: DataFrame | None = None) -> DataFrame:
+    """(raw, zone, instant_us) of all distinct (raw, zone) of values and of known, the dictionary of earlier runs. keep(df, name) persists the
+    new part."""
+    new = keep(parsed(values, known), "instants")
+    return new if known is None else known.unionByName(new)
 
 
 def line_values(lines: DataFrame, files: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.operators import forest, instants, nested, parse_failures, schema_drift
+from loomlog.plans.store import Store
 from loomlog.tables import stored, table
 
 
@@ -66,6 +67,18 @@ def p4_objects(spark: SparkSession, d: str) -> DataFrame:
     return nested.objects(table(spark, d, "session_lines"))
 
 
+#: The setting that names a journal whose dictionary of instants is read and added to; without it each query parses all texts.
+DICTIONARY = "spark.loomlog.dictionary"
+
+
+def remembered(store: Store, values: DataFrame) -> DataFrame:
+    """(raw, zone, instant_us) of the journal's dictionary, to which the texts of values (raw, zone) that it lacks are parsed and added."""
+    with store.writing():
+        known = store.table("instants")
+        store.commit(instants=instants.parsed(values, known))
+    return store.table("instants")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     def of(name: str, key: str, column: str) -> DataFrame:
         return table(spark, d, name).select(F.lit(name).alias("origin"), F.col(key).alias("row_id"), F.col(column).alias("raw"), F.col("tz_name").alias("zone"))
@@ -78,7 +91,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
         .unionByName(of_lines),
         "timestamps",
     )
-    return instants.normalised(rows, instants.dictionary(rows, stored))
+    at = spark.conf.get(DICTIONARY, None)
+    return instants.normalised(rows, remembered(Store(spark, at), rows) if at else instants.dictionary(rows, stored))
 
 
 #: So many messages that follow one another by seq are taken to lie close together in their tree.

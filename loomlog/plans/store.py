@@ -24,8 +24,9 @@ SCHEMAS = {
     "preference_examples": "source string, source_session_id string, generation long, proposal_event_seq long, tool_use_id string, file_path string, tool_name string, proposal_content string, context string, outcome string,"
     " confidence double, evidence_kind string, extractor_version string",
     "taste_extractions": "source string, source_session_id string, extractor_version string, event_count long, extracted_at string",
+    "instants": "raw string, zone string, instant_us long",
 }
-APPENDED = {"events"}
+APPENDED = {"events", "instants"}
 #: Tables that are replaced by session: in so many parts by the hash of the session, of which a run writes those it touches.
 BY_SESSION = {"file_timelines", "preference_examples", "taste_extractions"}
 PARTS = 256
@@ -113,7 +114,10 @@ class Store:
             shaped = df.select(*[F.col(c.strip().split()[0]).cast(c.strip().split()[1]) for c in SCHEMAS[name].split(",")])
             shaped.write.option("compression", "zstd").parquet(f"{self.root}/data/{folder}")
             rows[name] = self.spark.read.parquet(f"{self.root}/data/{folder}").count()
-            state["tables"][name] = [*state["tables"].get(name, []), folder] if name in APPENDED else [folder]
+            if name not in APPENDED:
+                state["tables"][name] = [folder]
+            elif rows[name]:
+                state["tables"][name] = [*state["tables"].get(name, []), folder]
         self._show(state, run)
         return rows
 
@@ -155,7 +159,7 @@ class Store:
 
     def check(self) -> list[str]:
         """What a restored journal lacks: columns, or unique keys."""
-        keys = {"sessions": ["source", "source_session_id"], "events": ["session_id", "generation", "seq"], "preference_examples": ["source", "source_session_id", "generation"]}
+        keys = {"sessions": ["source", "source_session_id"], "events": ["session_id", "generation", "seq"], "preference_examples": ["source", "source_session_id", "generation"], "instants": ["raw", "zone"]}
         wrong = []
         for name, folders in self.state()["tables"].items():
             if name not in SCHEMAS:

@@ -37,9 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests on one machine), a temporary folder set for the session."""
+    """The folder of spark.checkpoint.dir; where that is unset on one machine (tests), a temporary folder set for the session. On a cluster it
+    must be set: executors don't share a folder of the driver's machine."""
     context = spark.sparkContext
     at = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not context.master.partition("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="loomlog-")
         _LOCAL_SHARED.append(at[len("file://") :])
@@ -47,15 +50,23 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-#: The tables written by stored() in this application.
-_STORED: list[str] = []
+#: The tables written by stored() in this application, with their file systems.
+_STORED: list[tuple] = []
 
 
-def forget(spark: SparkSession) -> None:
-    """Deletes all tables that stored() has written: for the end of an application, when no DataFrame built on them is read any more."""
+def forget() -> None:
+    """Deletes all tables that stored() has written, when no DataFrame built on them is read any more; done at the end of an application, too."""
     while _STORED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        system, path = _STORED.pop()
+        system.delete(path, True)
+
+
+@atexit.register
+def _forget_at_exit() -> None:
+    try:
+        forget()
+    except Exception:  # the JVM is gone
+        _STORED.clear()
 
 
 @atexit.register
@@ -68,5 +79,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once as a Parquet table in the shared folder and read back: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/loomlog/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _STORED.append(path)
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    _STORED.append((at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()), at))
     return df.sparkSession.read.schema(df.schema).parquet(path)

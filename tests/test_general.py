@@ -316,6 +316,29 @@ def test_dictionary_grows(spark):
     assert grown.count() == 3 and grown.where("instant_us is null").count() == 1
 
 
+@pytest.mark.parametrize("raw, want", [("1765666914." + "9" * 60, 1765666914_999999), ("1765666914" + "9" * 9 + "." + "9" * 500, 1765666914_999999), (" " * 300 + "2025-12-13T23:51:53." + "9" * 400 + "Z", 1765669913_999999), ("1" * 100_000, None), ("x" * 100_000, None)])
+def test_instants_of_long_texts(raw, want):
+    assert instants.parse(raw) == want
+
+
+def test_the_dictionary_is_kept(spark, tmp_path, monkeypatch):
+    """A second run over the same texts parses nothing, another run only what is new."""
+    from loomlog.plans.store import Store
+
+    spark.conf.set(general.DICTIONARY, str(tmp_path / "journal"))
+    try:
+        first = {tuple(r) for r in general.p6_found(spark, D).collect()}
+        held = Store(spark, str(tmp_path / "journal")).table("instants").count()
+        assert {tuple(r) for r in general.p6_found(spark, D).collect()} == first
+        store = Store(spark, str(tmp_path / "journal"))
+        assert store.table("instants").count() == held and len(store.state()["tables"]["instants"]) == 1
+        assert general.remembered(store, spark.createDataFrame([("2020-01-01 00:00", None)], "raw string, zone string")).count() == held + 1
+        assert store.check() == []
+    finally:
+        spark.conf.unset(general.DICTIONARY)
+    assert {tuple(r) for r in general.p6_found(spark, D).collect()} == first
+
+
 def test_all_instants(spark):
     zones = {r.file_id: r.tz_name for r in table(spark, D, "source_files").collect()}
     want = set()
