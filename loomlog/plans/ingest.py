@@ -19,6 +19,8 @@ from loomlog.tables import ship, stored
 INGESTED = "source file ingested successfully"
 EMPTY = "empty session file skipped"
 KEY = ["source", "source_session_id"]
+#: A task reads about so many bytes of files.
+TASK_BYTES = 64 << 20
 
 
 def _now(clock: str | None):
@@ -41,14 +43,26 @@ def changed_files(listed: DataFrame, sessions: DataFrame, errors: DataFrame) ->
     return rows.where(F.col("retry") | ~F.coalesce(same, F.lit(False)))
 
 
+def _spread(rows: DataFrame, size: str) -> DataFrame:
+    """The stored rows over as many tasks as their bytes ask for, and there are cores for."""
+    n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(1, min(n, max(cores, -(-total // TASK_BYTES)))))
+
+
 def decided(changed: DataFrame, sessions: DataFrame) -> DataFrame:
-    """The changed files with their ids, their facts, and the mode of their import."""
-    asked = changed.select("source", "id_kind", "source_session_id", "metadata_path", "format", "path", "size", F.col("known.next_read_offset").alias("next_read_offset"), F.col("known.prefix_fingerprint").alias("prefix_fingerprint"))
-    facts = stored(contents.facts(asked), "facts")
-    rows = changed.join(facts, "path").withColumn("empty", (F.col("source") == "codex_cli") & (F.col("size") == 0))
+    """The changed files with their ids, their facts, and the mode of their import. Of files that claim one session the first by path is
+    imported; the others wait for the next pass, when it is known."""
+    changed = stored(changed, "changed")
+    found = stored(contents.headers(_spread(changed.select("source", "id_kind", "source_session_id", "format", "path", "size"), "size")), "headers")
+    rows = changed.join(found, "path").withColumn("empty", (F.col("source") == "codex_cli") & (F.col("size") == 0))
     rows = rows.withColumn("source_session_id", F.coalesce("header_id", F.when(F.col("empty"), F.col("known.source_session_id")), "source_session_id"))
-    state = sessions.select(*KEY, F.struct("session_id", "current_generation", "file_size", "content_fingerprint", "next_read_offset").alias("was"))
-    rows = rows.join(state, KEY, "left")
+    first = rows.where("error_kind is null").groupBy(*KEY).agg(F.min("path").alias("path"))
+    state = sessions.select(*KEY, F.struct("session_id", "current_generation", "file_size", "content_fingerprint", "next_read_offset", "prefix_fingerprint").alias("was"))
+    rows = stored(rows.join(first, [*KEY, "path"], "left_semi").unionByName(rows.where("error_kind is not null")).join(state, KEY, "left"), "claimed")
+    asked = rows.where("error_kind is null").select("source", "metadata_path", "format", "path", "size", F.col("was.next_read_offset").alias("next_read_offset"), F.col("was.prefix_fingerprint").alias("prefix_fingerprint"))
+    facts = stored(contents.facts(_spread(asked, "size")).withColumnsRenamed({"error_kind": "later_error", "message": "later_message"}), "facts")
+    rows = rows.join(facts, "path", "left").withColumns({"error_kind": F.coalesce("error_kind", "later_error"), "message": F.coalesce("message", "later_message")}).drop("later_error", "later_message")
     mode = journal.import_mode(
         F.col("size"), F.col("was.file_size"), F.col("was.content_fingerprint") == F.col("fingerprint"), F.col("format") == "jsonl", F.col("prefix_intact"), F.col("retry"), F.coalesce("was.next_read_offset", F.lit(0))
     )
@@ -58,25 +72,33 @@ def decided(changed: DataFrame, sessions: DataFrame) -> DataFrame:
     return rows.select("*", mode.alias("mode"), generation.alias("generation"), F.when(F.col("format") == "json", 0).otherwise(start).cast("long").alias("start"))
 
 
-def store_events(spark: SparkSession, home: str, keep) -> DataFrame:
-    """(source, source_session_id, parent_source_session_id, path, seq, ts, payload, cwd, ended_at) of the SQLite stores."""
-    parts = []
-    for (source, path, table, parent), read in zip(_stores(spark, home), (sqlite.opencode_events, sqlite.hermes_events)):
-        if files.exists(spark, path):
-            events = ordered.numbered(read(spark, path), ["source_session_id"], [F.col("sort_time"), F.col("rank"), F.col("id")], "seq", keep)
-            sessions = sqlite.discover(spark, path, source, table, parent).select("source_session_id", "parent_source_session_id")
-            parts.append(events.join(sessions, "source_session_id").select(F.lit(source).alias("source"), "source_session_id", "parent_source_session_id", F.lit(path).alias("path"), "seq", "ts", "payload"))
-    if not parts:
-        return spark.createDataFrame([], "source string, source_session_id string, parent_source_session_id string, path string, seq long, ts string, payload binary")
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole
+_STORE_EVENTS = "source string, source_session_id string, parent_source_session_id string, path string, seq long, ts string, payload binary"
+
+
+def store_events(spark: SparkSession, home: str, keep) -> tuple[DataFrame, list[tuple[str, str, str | None]]]:
+    """(source, source_session_id, parent_source_session_id, path, seq, ts, payload) of the SQLite stores that can be read, and (source, path,
+    what is wrong or None) of all that exist. A broken store keeps no other one from being read."""
+    whole, seen = spark.createDataFrame([], _STORE_EVENTS), []
+    for (source, path, table, parent), read, tables in zip(_stores(spark, home), (sqlite.opencode_events, sqlite.hermes_events), (sqlite.OPENCODE, sqlite.HERMES)):
+        if not files.exists(spark, path):
+            continue
+        wrong = sqlite.problem(path, source, tables, table)
+        if wrong is None:
+            try:
+                events = ordered.numbered(keep(read(spark, path), "store"), ["source_session_id"], [F.col("sort_time"), F.col("rank"), F.col("id")], "seq", keep)
+                sessions = keep(sqlite.discover(spark, path, source, table, parent).select("source_session_id", "parent_source_session_id"), "store_sessions")
+                whole = whole.unionByName(events.join(sessions, "source_session_id").select(F.lit(source).alias("source"), "source_session_id", "parent_source_session_id", F.lit(path).alias("path"), "seq", "ts", "payload"))
+            except Exception as error:  # a store that breaks in the middle
+                wrong = f"{sqlite.STORE_NAMES[source]}: {str(error).strip().splitlines()[0] if str(error).strip() else type(error).__name__}"
+        seen.append((source, path, wrong))
+    return whole, seen
 
 
 def _store_sessions(events: DataFrame, sessions: DataFrame) -> DataFrame:
-    """The stores' sessions whose events aren't those stored, as imports with their generation."""
-    mark = F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat(F.lpad(F.col("seq").cast("string"), 12, "0"), F.sha2("payload", 256))))), 256)
+    """The stores' sessions whose events aren't those stored, as imports with their generation. What tells them apart is made of sums over the
+    hashes of single events, so that a session of any size needs no list."""
+    one, other = F.xxhash64("seq", "payload"), F.xxhash64(F.lit("other"), "payload", "seq")
+    mark = F.concat_ws("-", F.count(F.lit(1)), F.bit_xor(one), F.sum(one.cast("decimal(38,0)")), F.bit_xor(other), F.sum(other.cast("decimal(38,0)")))
     seen = events.groupBy(*KEY).agg(
         F.first("parent_source_session_id").alias("parent_source_session_id"), F.first("path").alias("path"), F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), F.count(F.lit(1)).alias("event_count"), mark.alias("fingerprint")
     )
@@ -98,9 +120,12 @@ def _pass(spark: SparkSession, home: str, store: Store, now) -> dict[str, int]:
     listed = stored(files.discover(spark, home), "listed")
     plan = stored(decided(changed_files(listed, sessions, errors), sessions), "plan")
     read = plan.where("mode in ('append', 'rewrite')")
-    lines = stored(contents.events(read), "lines")
+    parts = stored(contents.ranges(read), "ranges")
+    lines = stored(contents.events(_spread(parts.withColumn("bytes", F.col("high") - F.col("base")), "bytes")), "lines")
+    if lines.where("error_kind is not null").limit(1).count():
+        lines = stored(contents.up_to_the_first_bad(lines), "lines")
     good = lines.where("error_kind is null").join(read.select("path", *KEY, "generation"), "path")
-    from_stores = store_events(spark, home, stored)
+    from_stores, stores = store_events(spark, home, stored)
     store_seen = stored(_store_sessions(from_stores, sessions), "stores")
     store_new = from_stores.join(store_seen.select(*KEY, "generation"), KEY)
 
@@ -117,15 +142,19 @@ def _pass(spark: SparkSession, home: str, store: Store, now) -> dict[str, int]:
         .select(
             *KEY, "parent_source_session_id", F.col("path").alias("file_path"), F.coalesce("first_cwd", "meta_cwd").alias("cwd"), F.coalesce("first_ts", "meta_started").alias("started_at"), F.coalesce("last_ts", "meta_ended").alias("ended_at"),
             "generation", F.col("mtime").alias("file_mtime"), F.col("size").alias("file_size"), F.col("fingerprint").alias("content_fingerprint"), "next_read_offset", F.col("metadata").alias("source_metadata"),
+            F.when(F.col("next_read_offset") == F.col("committed"), F.col("committed_fingerprint")).alias("known_prefix"),
         )
     )
-    marks = contents.prefixes(of_files.select("file_path", "file_size", "next_read_offset"))
-    of_files = of_files.join(marks, "file_path", "left")
+    of_files = stored(of_files, "of_files")
+    marks = contents.prefixes(of_files.where("known_prefix is null").select("file_path", "file_size", "next_read_offset"))  # files that a bad line has stopped
+    of_files = of_files.join(marks, "file_path", "left").withColumn("prefix_fingerprint", F.coalesce("known_prefix", "prefix_fingerprint")).drop("known_prefix")
     of_stores = store_seen.select(
         *KEY, "parent_source_session_id", F.col("path").alias("file_path"), F.lit(None).cast("string").alias("cwd"), "started_at", "ended_at", "generation", F.lit(None).cast("long").alias("file_mtime"),
         F.lit(None).cast("long").alias("file_size"), F.col("fingerprint").alias("content_fingerprint"), F.col("event_count").alias("next_read_offset"), F.lit(None).cast("string").alias("source_metadata"), F.lit(None).cast("string").alias("prefix_fingerprint"),
     )
-    imported = stored(of_files.unionByName(of_stores).dropDuplicates(KEY), "imported")
+    broken = spark.createDataFrame([(s, sqlite.placeholder(p), p) for s, p, wrong in stores if wrong], "source string, source_session_id string, file_path string").join(sessions, KEY, "left_anti")
+    of_broken = broken.withColumns({"generation": F.lit(0).cast("long"), "next_read_offset": F.lit(0).cast("long")})
+    imported = stored(of_files.unionByName(of_stores).unionByName(of_broken, allowMissingColumns=True), "imported")
     skipped = plan.where("mode = 'skip'").select(*KEY, F.col("size").alias("skip_size"), F.col("mtime").alias("skip_mtime"), F.col("path").alias("skip_path"), F.col("metadata").alias("skip_metadata")).dropDuplicates(KEY)
 
     known = sessions.select(*KEY, "session_id")
@@ -141,13 +170,13 @@ def _pass(spark: SparkSession, home: str, store: Store, now) -> dict[str, int]:
 
     counts = had.unionByName(new.select("session_id", "generation", "seq")).groupBy("session_id", "generation").agg(F.count(F.lit(1)).alias("n"))
     merged = _merge(sessions, imported, skipped, ids, counts, now)
-    failed = _errors(plan, lines, read, now)
-    fixed = _fixed(plan, lines)
+    failed = _errors(plan, lines, read, stores, now)
+    fixed = _fixed(plan, lines, stores)
     after = journal.resolve_errors(_upserted(errors, failed), fixed, now, INGESTED)
     rows = store.commit(sessions=merged, events=new, ingest_errors=after)
-    seen_files, bad = listed.count(), plan.where("error_kind is not null").count()
+    seen_files, bad = listed.count(), plan.where("error_kind is not null").count() + sum(wrong is not None for _, _, wrong in stores)
     added = good.join(new.join(ids, "session_id").select(*KEY).distinct(), KEY, "left_semi").select("path").distinct().count()
-    return {"files": seen_files, "inserted_events": rows["events"], "skipped_files": seen_files - added - bad, "error_files": bad}
+    return {"files": seen_files, "inserted_events": rows["events"], "skipped_files": max(0, seen_files - added - bad), "error_files": bad}
 
 
 def _merge(sessions: DataFrame, imported: DataFrame, skipped: DataFrame, ids: DataFrame, counts: DataFrame, now) -> DataFrame:
@@ -168,12 +197,14 @@ def _merge(sessions: DataFrame, imported: DataFrame, skipped: DataFrame, ids: Da
     )
 
 
-def _errors(plan: DataFrame, lines: DataFrame, read: DataFrame, now) -> DataFrame:
-    """The errors of this pass: files that can't be read, and the line at which a file stops."""
+def _errors(plan: DataFrame, lines: DataFrame, read: DataFrame, stores: list, now) -> DataFrame:
+    """The errors of this pass: files and stores that can't be read, and the line at which a file stops."""
     none = F.lit(None).cast("long")
     whole = plan.where("error_kind is not null").select("source", F.lit(None).cast("string").alias("source_session_id"), F.col("path").alias("file_path"), none.alias("generation"), none.alias("byte_offset"), none.alias("line_number"), "error_kind", "message")
     bad = lines.where("error_kind is not null").join(read.select("path", *KEY, "generation"), "path")
     stops = bad.select(*KEY, F.col("path").alias("file_path"), "generation", "byte_offset", (F.col("seq") + 1).alias("line_number"), "error_kind", "message")
+    broken = [(source, sqlite.placeholder(path), path, None, None, None, "invalid_session_meta", wrong) for source, path, wrong in stores if wrong]
+    whole = whole.unionByName(whole.sparkSession.createDataFrame(broken, whole.schema))
     return whole.unionByName(stops).select("*", now.alias("first_seen_at"), now.alias("last_seen_at"), F.lit(1).cast("long").alias("occurrence_count"))
 
 
@@ -184,12 +215,13 @@ def _upserted(errors: DataFrame, failed: DataFrame) -> DataFrame:
     return folded.withColumns({"resolved_at": F.lit(None).cast("string"), "resolution_note": F.lit(None).cast("string")}).unionByName(errors.where("resolved_at is not null"))
 
 
-def _fixed(plan: DataFrame, lines: DataFrame) -> DataFrame:
+def _fixed(plan: DataFrame, lines: DataFrame, stores: list) -> DataFrame:
     """(source, file_path, error_kind) that this pass has shown to be well."""
     well = plan.where("error_kind is null").select("source", F.col("path").alias("file_path"), F.explode(F.array(*[F.lit(k) for k in ("invalid_session_meta", "read_error", "not_file")])).alias("error_kind"))
     broken = lines.where("error_kind = 'invalid_json'").select("path")
     read = plan.where("error_kind is null and mode in ('append', 'rewrite')").join(broken, "path", "left_anti")
-    return well.unionByName(read.select("source", F.col("path").alias("file_path"), F.lit("invalid_json").alias("error_kind")))
+    mended = well.sparkSession.createDataFrame([(source, path, "invalid_session_meta") for source, path, wrong in stores if not wrong], "source string, file_path string, error_kind string")
+    return well.unionByName(mended).unionByName(read.select("source", F.col("path").alias("file_path"), F.lit("invalid_json").alias("error_kind")))
 
 
 def extract(spark: SparkSession, store: Store, history_root: str, force: bool = False, clock: str | None = None) -> dict[str, int]:

@@ -1,6 +1,7 @@
 """What stands in session files, byte by byte: headers, committed lines with their offsets, chat messages, side files.
 
-Contents are read on the executors, at most as many bytes as the listing saw. A line is committed once its \\n is written; the rest waits.
+Contents are read on the executors, at most as many bytes as the listing saw: the first bytes for the header, the whole file once as a stream
+for its hashes, and of its lines only the ranges that are imported. A line is committed once its \\n is written; the rest waits.
 A blank or broken line, or one whose header fields have wrong types, stops its file: later lines wait until it is mended.
 """
 
@@ -21,23 +22,41 @@ from loomlog.operators.nested import canonical
 
 #: A header line is looked for in so many bytes: a fixed value.
 HEADER_BYTES = 64 * 1024
+#: Files are read in blocks; lines are imported in ranges of about RANGE_BYTES, one task each.
+BLOCK_BYTES = 1 << 20
+RANGE_BYTES = 32 << 20
+HEADERS = "path string, error_kind string, message string, header_id string"
 FACTS = (
-    "path string, error_kind string, message string, header_id string, fingerprint string, committed long, prefix_intact boolean, metadata string,"
+    "path string, error_kind string, message string, fingerprint string, committed long, committed_fingerprint string, prefix_intact boolean, marks string, metadata string,"
     " meta_cwd string, meta_started string, meta_ended string"
 )
 LINES = "path string, seq long, byte_offset long, end_offset long, ts string, cwd string, payload binary, error_kind string, message string"
 
 
-def read_bounded(path: str, size: int | None) -> bytes:
-    """At most `size` bytes of a file on a mounted or, given with its scheme, any other file system that Arrow knows."""
+def opened(path: str):
+    """A file to be read, on a mounted or, given with its scheme, any other file system that Arrow knows."""
     if "://" in path:
         from pyarrow import fs
 
         system, at = fs.FileSystem.from_uri(path)
-        with system.open_input_stream(at) as file:
-            return file.read() if size is None else file.read(size)
-    with open(path, "rb") as file:
-        return file.read() if size is None else file.read(size)
+        return system.open_input_file(at)
+    return open(path, "rb")
+
+
+def read_bounded(path: str, size: int | None, start: int = 0) -> bytes:
+    """A file's bytes from start up to size."""
+    with opened(path) as file:
+        if start:
+            file.seek(start)
+        return file.read() if size is None else file.read(max(0, size - start))
+
+
+def blocks(path: str, size: int) -> Iterator[bytes]:
+    with opened(path) as file:
+        left = size
+        while left > 0 and (block := file.read(min(BLOCK_BYTES, left))):
+            left -= len(block)
+            yield block
 
 
 def modified(path: str) -> int | None:
@@ -157,32 +176,69 @@ def side_file(source: str, path: str | None) -> tuple[str | None, str | None, st
     return None, cwd if isinstance(cwd, str) else None, _moment(began), _moment(ended)
 
 
+def headers(files: DataFrame) -> DataFrame:
+    """HEADERS of files (source, id_kind, source_session_id, format, path, size): the ids that stand in them, from their first bytes."""
+
+    def one(source, kind, own, form, path, size):
+        try:
+            data = read_bounded(path, size if form == "json" else min(size, HEADER_BYTES))
+        except IsADirectoryError:
+            return path, "not_file", "no file", None
+        except OSError as error:
+            return path, "read_error", str(error.strerror or error), None
+        if source == "codex_cli" and not data:
+            return path, None, None, None
+        try:
+            found = resolve_id(kind, data, own)
+            if source == "pi_agent" and kind == "known" and resolve_id("pi_header", data, own) != own:
+                raise BadHeader("the header's id isn't the name's")
+        except (BadHeader, UnicodeDecodeError) as error:
+            return path, "invalid_session_meta", str(error), None
+        return path, None, None, found
+
+    return files.select("source", "id_kind", "source_session_id", "format", "path", "size").mapInArrow(_rows_of(one, HEADERS, many=False), HEADERS)
+
+
+def scan(path: str, size: int, consumed: int, prefix: str | None) -> tuple:
+    """(fingerprint, committed, fingerprint of what is committed, whether the consumed bytes are the same, marks), in one pass over the file.
+
+    marks: places at line begins with the number of lines before them, the first 0, then one after each RANGE_BYTES, and where the consumed bytes end."""
+    digest, done, lines, end, at_end, intact = hashlib.sha256(), 0, 0, 0, hashlib.sha256().hexdigest(), consumed == 0
+    marks, last = [[0, 0]], b"\n"
+    for block in blocks(path, size):
+        cut = {block.rfind(b"\n") + 1, len(block)}
+        if done < consumed <= done + len(block):
+            cut.add(consumed - done)
+        at = 0
+        for stop in sorted(cut - {0}):
+            part = block[at:stop]
+            digest.update(part)
+            at, lines, last = stop, lines + part.count(b"\n"), part[-1:]
+            if last == b"\n":
+                end, at_end = done + stop, digest.hexdigest()
+            if done + stop == consumed:
+                intact = digest.hexdigest() == prefix if prefix is not None else last == b"\n"
+            if last == b"\n" and (done + stop == consumed or done + stop - marks[-1][0] >= RANGE_BYTES):
+                marks.append([done + stop, lines])
+        done += len(block)
+    return digest.hexdigest(), end, at_end, intact, marks
+
+
 def facts(files: DataFrame) -> DataFrame:
-    """FACTS of files (source, id_kind, source_session_id, metadata_path, format, path, size, next_read_offset, prefix_fingerprint)."""
+    """FACTS of files (source, metadata_path, format, path, size, next_read_offset, prefix_fingerprint)."""
 
-    def one(source, kind, own, metadata_path, form, path, size, offset, prefix):
+    def one(source, metadata_path, form, path, size, offset, prefix):
         try:
-            data = read_bounded(path, size)
+            whole, end, at_end, intact, marks = scan(path, size, offset or 0, prefix)
         except IsADirectoryError:
-            return (path, "not_file", "no file", *[None] * 8)
+            return (path, "not_file", "no file", *[None] * 9)
         except OSError as error:
-            return (path, "read_error", str(error.strerror or error), *[None] * 8)
-        error_kind = message = own_id = None
-        if not (source == "codex_cli" and not data):
-            try:
-                own_id = resolve_id(kind, data, own)
-                if source == "pi_agent" and kind == "known" and resolve_id("pi_header", data, own) != own:
-                    raise BadHeader("the header's id isn't the name's")
-            except BadHeader as error:
-                error_kind, message = "invalid_session_meta", str(error)
-            except UnicodeDecodeError as error:
-                error_kind, message = "invalid_session_meta", str(error)
-        at = offset or 0
-        intact = at == 0 or at <= len(data) and (fingerprint(data[:at]) == prefix if prefix is not None else data[at - 1 : at] == b"\n")
-        return (path, error_kind, message, own_id, fingerprint(data), committed(data) if form == "jsonl" else len(data), intact, *side_file(source, metadata_path))
-
-    columns = ["source", "id_kind", "source_session_id", "metadata_path", "format", "path", "size", "next_read_offset", "prefix_fingerprint"]
-    return files.select(*columns).mapInArrow(_rows_of(one, FACTS, many=False), FACTS)
+            return (path, "read_error", str(error.strerror or error), *[None] * 9)
+        if form == "json":
+            end, at_end, marks = size, whole, [[0, 0]]
+        return (path, None, None, whole, end, at_end, intact, json.dumps(marks), *side_file(source, metadata_path))
+
+    return files.select("source", "metadata_path", "format", "path", "size", "next_read_offset", "prefix_fingerprint").mapInArrow(_rows_of(one, FACTS, many=False), FACTS)
 
 
 def _rows_of(one, schema: str, many: bool = True):
@@ -235,18 +291,19 @@ def event_header(source: str, line: bytes) -> tuple[str | None, str | None]:
     return ts, cwd if cwd is not None else _field(payload, "cwd", str) if source == "codex_cli" else None
 
 
-def lines_of(source: str, path: str, data: bytes, start: int, end: int) -> Iterator[tuple]:
-    """The committed lines between two offsets, numbered from the file's begin; a bad one comes last, with its error."""
-    seq, at = data.count(b"\n", 0, start), start
-    while at < end:
+def lines_of(source: str, path: str, data: bytes, base: int, seq: int, start: int, end: int) -> Iterator[tuple]:
+    """The committed lines between two offsets of a file, of which data are the bytes from base on, with seq lines before it; a bad line comes
+    last, with its error."""
+    seq, at = seq + data.count(b"\n", 0, start - base), start - base
+    while at < end - base:
         stop = data.index(b"\n", at)
         line = data[at:stop]
         try:
             ts, cwd = event_header(source, line)
         except ValueError as error:
-            yield path, seq, at, stop + 1, None, None, None, "invalid_json", str(error)
+            yield path, seq, base + at, base + stop + 1, None, None, None, "invalid_json", str(error)
             return
-        yield path, seq, at, stop + 1, ts, cwd, line, None, None
+        yield path, seq, base + at, base + stop + 1, ts, cwd, line, None, None
         seq, at = seq + 1, stop + 1
 
 
@@ -283,18 +340,32 @@ def chat_of(path: str, data: bytes) -> Iterator[tuple]:
         yield path, seq, 0, len(data), ts if isinstance(ts, str) else None, project if isinstance(project, str) else None, raw.encode(), None, None
 
 
-def events(files: DataFrame) -> DataFrame:
-    """LINES of files (source, format, path, size, start, committed) to be imported."""
+def ranges(files: DataFrame) -> DataFrame:
+    """The ranges of files (source, format, path, size, start, committed, marks) that are to be imported: (.., base, seq, low, high)."""
+    places = F.from_json("marks", "array<array<bigint>>")
+    spans = F.transform(places, lambda m, i: F.struct(m[0].alias("base"), m[1].alias("seq"), F.greatest(m[0], F.col("start")).alias("low"), F.coalesce(F.get(F.get(places, i + 1), F.lit(0)), F.col("committed")).alias("high")))
+    rows = files.select("source", "format", "path", "size", F.explode(spans).alias("r")).select("source", "format", "path", "size", "r.*")
+    return rows.where("format = 'json' or low < high")
 
-    def one(source, form, path, size, start, end):
+
+def events(parts: DataFrame) -> DataFrame:
+    """LINES of ranges: of each range up to a bad line. What follows a bad line in later ranges of its file isn't left out here."""
+
+    def one(source, form, path, size, base, seq, low, high):
         try:
-            data = read_bounded(path, size)
+            data = read_bounded(path, size) if form == "json" else read_bounded(path, min(size, high), base)
         except OSError as error:
             yield path, 0, None, None, None, None, None, "read_error", str(error.strerror or error)
             return
-        yield from chat_of(path, data) if form == "json" else lines_of(source, path, data, start, min(end, len(data)))
+        yield from chat_of(path, data) if form == "json" else lines_of(source, path, data, base, seq, low, min(high, base + len(data)))
+
+    return parts.select("source", "format", "path", "size", "base", "seq", "low", "high").mapInArrow(_rows_of(one, LINES), LINES)
+
 
-    return files.select("source", "format", "path", "size", "start", "committed").mapInArrow(_rows_of(one, LINES), LINES)
+def up_to_the_first_bad(lines: DataFrame) -> DataFrame:
+    """The lines of each file up to its first bad one, that included."""
+    stops = lines.where("error_kind is not null").groupBy("path").agg(F.min("byte_offset").alias("stop"))
+    return lines.join(stops, "path", "left").where("stop is null or byte_offset is null or byte_offset <= stop").drop("stop")
 
 
 def blobs(spark, history_root: str) -> DataFrame:
@@ -309,13 +380,16 @@ def blobs(spark, history_root: str) -> DataFrame:
 
 
 def prefixes(files: DataFrame) -> DataFrame:
-    """(file_path, prefix_fingerprint): the identity of what has been consumed of each file."""
+    """(file_path, prefix_fingerprint) of files (file_path, file_size, next_read_offset): the identity of what has been consumed of each."""
 
     def one(path, size, offset):
+        digest = hashlib.sha256()
         try:
-            return path, fingerprint(read_bounded(path, min(size, max(0, offset))))
+            for block in blocks(path, min(size, max(0, offset))):
+                digest.update(block)
         except OSError:
             return path, None
+        return path, digest.hexdigest()
 
     schema = "file_path string, prefix_fingerprint string"
     return files.select("file_path", "file_size", "next_read_offset").mapInArrow(_rows_of(one, schema, many=False), schema)

@@ -34,11 +34,19 @@ class TableReader(DataSourceReader):
     def partitions(self) -> list[RowRange]:
         if not os.path.exists(self.path):
             return []
-        with connect(self.path) as c:
-            low, high = c.execute(f'select min(rowid), max(rowid) from "{self.table}"').fetchone()
-        return [] if low is None else [RowRange(a, min(a + ROWS_PER_PARTITION, high + 1)) for a in range(low, high + 1, ROWS_PER_PARTITION)]
-
-    def read(self, partition: RowRange) -> Iterator[tuple]:
+        parts, low = [], None
+        with connect(self.path) as c:  # from one rowid that exists to the next, as there may be wide gaps
+            found = c.execute(f'select min(rowid), max(rowid) from "{self.table}"').fetchone()
+            low, high = found
+            while low is not None and low <= high:
+                after = c.execute(f'select rowid from "{self.table}" where rowid >= ? order by rowid limit 1 offset ?', (low, ROWS_PER_PARTITION)).fetchone()
+                parts.append(RowRange(low, after[0] if after else high + 1))
+                low = after[0] if after else None
+        return parts
+
+    def read(self, partition: RowRange | None) -> Iterator[tuple]:
+        if partition is None:  # where there are no ranges
+            return
         with connect(self.path) as c:
             columns = ", ".join(f'"{n}"' for n in self.names)
             yield from c.execute(f'select {columns} from "{self.table}" where rowid >= ? and rowid < ?', (partition.low, partition.high))
@@ -64,19 +72,33 @@ def read_table(spark: SparkSession, path: str, table: str, columns: str) -> Data
     return spark.read.format("sqlite_table").option("path", path).option("table", table).option("columns", columns).load()
 
 
-def discover(spark: SparkSession, path: str, source: str, table: str, parent: str) -> DataFrame:
-    """The sessions of a store as source files. A missing file lists nothing; an unreadable one, or one with a blank id, gives a single
-    row that stands for the whole store."""
-    columns = "source string, source_session_id string, id_kind string, parent_source_session_id string, metadata_path string, format string, path string"
-    broken = spark.createDataFrame([(source, f"{source}-store", "store_error", None, None, "sqlite", path)], columns)
-    if not os.path.exists(path):
-        return broken.where("false")
+#: The stores and what they are called in errors: fixed values.
+STORE_NAMES = {"opencode": "OpenCode SQLite store", "hermes": "Hermes SQLite SessionDB"}
+
+
+def placeholder(path: str) -> str:
+    """The id that stands for a whole store."""
+    return os.path.basename(path)
+
+
+def problem(path: str, source: str, tables: dict[str, str], sessions: str) -> str | None:
+    """What is wrong with a store as a whole: it can't be opened, lacks a table or column, or has a session with a blank id."""
     try:
         with connect(path) as c:
-            if c.execute(f'select count(*) from "{table}" where id is null or trim(id) = \'\'').fetchone()[0]:
-                return broken
-    except sqlite3.Error:
-        return broken
+            for table, columns in tables.items():
+                names = ", ".join(f'"{x.split()[0]}"' for x in columns.split(","))
+                have = {r[1] for r in c.execute(f'pragma table_info("{table}")')}
+                if missing := [x.strip() for x in names.split(",") if x.strip().strip('"') not in have]:
+                    return f"{STORE_NAMES[source]}: {table} has no {', '.join(missing)}"
+            if c.execute(f'select count(*) from "{sessions}" where id is null or trim(id) = \'\'').fetchone()[0]:
+                return f"{STORE_NAMES[source]}: a session has no id"
+    except sqlite3.Error as error:
+        return f"{STORE_NAMES[source]}: {error}"
+    return None
+
+
+def discover(spark: SparkSession, path: str, source: str, table: str, parent: str) -> DataFrame:
+    """The sessions of a store, found to have no problem, as source files."""
     rows = read_table(spark, path, table, f"id string, {parent} string")
     none = F.lit(None).cast("string")
     return rows.select(F.lit(source).alias("source"), F.col("id").alias("source_session_id"), F.lit("known").alias("id_kind"), F.col(parent).alias("parent_source_session_id"), none.alias("metadata_path"), F.lit("sqlite").alias("format"), F.lit(path).alias("path"))

@@ -247,7 +247,7 @@ def test_missing_home(spark, tmp_path):
     (b'{"cwd": "\\u0041"}\r\n', 0, [(0, 0)]),
 ])
 def test_lines(data, start, want):
-    rows = list(contents.lines_of("claude_cli", "p", data, start, contents.committed(data)))
+    rows = list(contents.lines_of("claude_cli", "p", data, 0, 0, start, contents.committed(data)))
     assert [(r[1], r[2]) for r in rows] == want
     assert all(r[7] is None for r in rows[:-1])
 
@@ -256,3 +256,160 @@ def test_ids_from_paths(spark):
     df = spark.createDataFrame([(f"/h/.claude/projects/x/{U}21/subagents/agent-1.jsonl",), (f"/h/.claude/projects/x/{U}21/other/agent-1.jsonl",), ("/h/.claude/projects/x/plain.name.jsonl",)], "path string")
     own, parent = files.claude_ids(df["path"])
     assert [tuple(r) for r in df.select(own, parent).collect()] == [(f"{U}21/subagents/agent-1", f"{U}21"), ("agent-1", None), ("plain.name", None)]
+
+
+def opencode(home):
+    with sqlite3.connect(_dir(f"{home}/.local/share/opencode/opencode.db")) as c:
+        for name, columns in contents_of("OPENCODE").items():
+            c.execute(f'create table "{name}" ({columns})')
+        for k in (1, 2):
+            c.execute("insert into session (id, project_id, slug, directory, title, version, time_created, time_updated) values (?, 'p', 's', '/oc', 't', '1', 1770000000000, 1770000001000)", (f"ses_{k}",))
+            c.execute("insert into message values (?, ?, 1770000000100, 1, '{}')", (f"m{k}", f"ses_{k}"))
+
+
+@pytest.mark.parametrize("broken, what", [("no database", "file is not a database"), ("no table", 'sessions has no "id"'), ("blank id", "no id"), ("no column", 'messages has no "session_id"')])
+def test_what_is_wrong_with_a_store(tmp_path, broken, what):
+    from loomlog.sources import sqlite as stores
+
+    bad = str(tmp_path / "state.db")
+    break_store(bad, broken)
+    assert what in stores.problem(bad, "hermes", stores.HERMES, "sessions")
+
+
+def break_store(bad, broken):
+    if broken == "no database":
+        with open(bad, "w") as f:
+            f.write("not a sqlite database")
+    else:
+        with sqlite3.connect(bad) as c:
+            if broken != "no table":
+                for name, columns in contents_of("HERMES").items():
+                    c.execute(f'create table "{name}" ({columns if broken == "blank id" or name != "messages" else "id integer"})')
+                c.execute("insert into sessions (id, source) values (?, 'cli')", (" " if broken == "blank id" else "h1",))
+            else:
+                c.execute("create table other (id text)")
+
+
+def test_a_broken_store_blocks_nothing_else(spark, tmp_path):
+    home, store = str(tmp_path / "h"), Store(spark, str(tmp_path / "j"))
+    write(f"{home}/.claude/projects/-w/{U}41.jsonl", stamp(0), stamp(1))
+    opencode(home)
+    bad = _dir(f"{home}/.hermes/state.db")
+    break_store(bad, "no database")
+    report = ingest.run(spark, home, store, "2026-06-01T00:00:00.000Z")
+    assert report["inserted_events"] == 6 and report["error_files"] == 1
+    sessions, _, errors = snapshot(store)
+    assert {k: r.event_count for k, r in sessions.items()} == {("claude_cli", f"{U}41"): 2, ("opencode", "ses_1"): 2, ("opencode", "ses_2"): 2, ("hermes", "state.db"): 0}
+    (error,) = errors
+    assert (error.source, error.source_session_id, error.file_path, error.error_kind, error.occurrence_count) == ("hermes", "state.db", bad, "invalid_session_meta", 1) and "Hermes SQLite SessionDB" in error.message
+    with open(f"{home}/.local/share/opencode/opencode.db", "w") as f:  # a store that was read before
+        f.write("not a sqlite database anymore")
+    assert ingest.run(spark, home, store, "2026-06-02T00:00:00.000Z")["inserted_events"] == 0
+    sessions, events, errors = snapshot(store)
+    assert len(sessions) == 5 and sum(map(len, events.values())) == 6
+    assert {(e.source, e.source_session_id, e.occurrence_count, e.resolved_at) for e in errors} == {("hermes", "state.db", 2, None), ("opencode", "opencode.db", 1, None)}
+    os.remove(f"{home}/.local/share/opencode/opencode.db")
+    opencode(home)
+    assert ingest.run(spark, home, store, "2026-06-03T00:00:00.000Z")["inserted_events"] == 0
+    assert {e.source: e.resolved_at for e in snapshot(store)[2]} == {"hermes": None, "opencode": "2026-06-03T00:00:00.000Z"}
+
+
+def test_a_file_in_ranges(spark, tmp_path, monkeypatch):
+    """Files longer than a range are imported by several tasks; a bad line stops them all behind it."""
+    home, store = str(tmp_path / "h"), Store(spark, str(tmp_path / "j"))
+    path = f"{home}/.claude/projects/-w/{U}51.jsonl"
+    n = 3 * contents.RANGE_BYTES // 100_000
+    lines = [{"type": "user", "timestamp": str(i), "text": "x" * 99_900} for i in range(n)]
+    write(path, *lines)
+    assert ingest.run(spark, home, store)["inserted_events"] == n
+    (session,) = store.table("sessions").collect()
+    assert (session.next_read_offset, session.prefix_fingerprint, session.content_fingerprint) == (os.path.getsize(path), contents.fingerprint(open(path, "rb").read()), session.prefix_fingerprint)
+    assert [r.seq for r in store.table("events").orderBy("seq").select("seq").collect()] == list(range(n))
+    other = f"{home}/.claude/projects/-w/{U}52.jsonl"
+    write(other, *lines[: n // 2], "broken", *lines[n // 2 :], "broken, too")
+    assert ingest.run(spark, home, store)["inserted_events"] == n // 2
+    assert [(e.line_number, e.error_kind) for e in store.table("ingest_errors").collect()] == [(n // 2 + 1, "invalid_json")]
+    row = store.table("sessions").where(f"source_session_id = '{U}52'").first()
+    assert row.event_count == n // 2 and row.prefix_fingerprint == contents.fingerprint(open(other, "rb").read()[: row.next_read_offset])
+
+
+def test_an_appended_line_needs_one_pass(tmp_path, monkeypatch):
+    """The file once for the hash of its prefix, and of its lines the new one only."""
+    path, read = str(tmp_path / "f.jsonl"), []
+    write(path, *[{"n": i, "x": "y" * 1000} for i in range(3000)])
+    old = os.path.getsize(path)
+    before = contents.scan(path, old, 0, None)
+    with open(path, "a") as f:
+        f.write('{"n": "new"}\n')
+    size = os.path.getsize(path)
+
+    class Counted:
+        def __init__(self, file):
+            self.file = file
+
+        def read(self, n=-1):
+            data = self.file.read(n)
+            read.append(len(data))
+            return data
+
+        def seek(self, at):
+            self.file.seek(at)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+    monkeypatch.setattr(contents, "opened", lambda p: Counted(open(p, "rb")))
+    whole, end, at_end, intact, marks = contents.scan(path, size, old, before[2])
+    assert intact and (end, marks) == (size, [[0, 0], [old, 3000]]) and whole == at_end and sum(read) == size
+    read.clear()
+    data = contents.read_bounded(path, end, old)
+    (line,) = contents.lines_of("claude_cli", path, data, old, 3000, old, end)
+    assert line[1:4] == (3000, old, size) and sum(read) == size - old < 100
+    assert not contents.scan(path, size, old, "another")[3] and contents.scan(path, size, old, None)[3] and not contents.scan(path, old - 5, old, before[2])[3]
+    for n in (0, 1, 999, 2**20, 2**20 + 7, old - 1):  # all sizes, with and without a line begun
+        with open(path, "rb") as f:
+            known = f.read(n)
+        got = contents.scan(path, n, 0, None)
+        assert got[:3] == (contents.fingerprint(known), contents.committed(known), contents.fingerprint(known[: contents.committed(known)]))
+
+
+def test_two_files_of_one_session(spark, tmp_path):
+    """A moved file is the same session; of two at once the first by path is imported, and the other, which isn't its continuation, rewrites it."""
+    home, store = str(tmp_path / "h"), Store(spark, str(tmp_path / "j"))
+    head = {"type": "session_meta", "payload": {"id": f"{U}61"}}
+    live, moved = f"{home}/.codex/sessions/2026/r.jsonl", f"{home}/.codex/archived_sessions/r.jsonl"
+    write(live, head, {"n": 1})
+    assert ingest.run(spark, home, store)["inserted_events"] == 2
+    os.makedirs(os.path.dirname(moved))
+    os.rename(live, moved)
+    assert ingest.run(spark, home, store)["inserted_events"] == 0
+    assert [(r.file_path, r.event_count) for r in store.table("sessions").collect()] == [(moved, 2)]
+    with open(moved, "a") as f:
+        f.write('{"n": 2}\n')
+    write(live, head, {"n": 9}, {"n": 8}, {"n": 7})
+    assert ingest.run(spark, home, store)["inserted_events"] == 1
+    (row,) = store.table("sessions").collect()
+    assert (row.file_path, row.current_generation, row.event_count) == (moved, 0, 3)
+    assert ingest.run(spark, home, store)["inserted_events"] == 4
+    (row,) = store.table("sessions").collect()
+    assert (row.file_path, row.current_generation, row.event_count) == (live, 1, 4)
+
+
+def test_sparse_rowids(spark, tmp_path, monkeypatch):
+    from loomlog.sources import sqlite
+
+    monkeypatch.setattr(sqlite, "ROWS_PER_PARTITION", 3)
+    path = str(tmp_path / "x.db")
+    with sqlite3.connect(path) as c:
+        c.execute("create table t (id integer primary key, v text)")
+        c.executemany("insert into t values (?, 'v')", [(k,) for k in (1, 2, 3, 4, 10**12, 10**15, 2**62)])
+        c.execute("create table empty (v text)")
+    from pyspark.sql.types import StructType
+
+    reader = sqlite.TableReader(StructType().add("id", "long"), {"path": path, "table": "t"})
+    assert [(p.low, p.high) for p in reader.partitions()] == [(1, 4), (4, 2**62), (2**62, 2**62 + 1)]
+    assert sorted(r.id for r in sqlite.read_table(spark, path, "t", "id long").collect()) == [1, 2, 3, 4, 10**12, 10**15, 2**62]
+    assert sqlite.read_table(spark, path, "empty", "v string").count() == 0
