@@ -114,10 +114,10 @@ def guarded(rows: DataFrame, codec: str = "codec") -> DataFrame:
 
 
 def after(rows: DataFrame, keys: list[str], cursor: tuple, size: int = BATCH) -> DataFrame:
-    """The next batch in the order of keys after a cursor."""
+    """The next batch in the order of keys after a cursor. The first key alone is compared, too, as only that reaches the scan."""
     if not 1 <= size <= MAX_BATCH:
         raise ValueError(f"a batch has 1 to {MAX_BATCH} rows")
-    return rows.where(F.struct(*keys) > F.struct(*[F.lit(x).alias(k) for k, x in zip(keys, cursor)])).orderBy(*keys).limit(size)
+    return rows.where(F.col(keys[0]) >= F.lit(cursor[0])).where(F.struct(*keys) > F.struct(*[F.lit(x).alias(k) for k, x in zip(keys, cursor)])).orderBy(*keys).limit(size)
 
 
 def nth(rows: DataFrame, order: list[str], n: int) -> DataFrame:
@@ -216,5 +216,9 @@ def new_events(seen: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
 
 
 def beyond_newest(rows: DataFrame, name: str, keep: int) -> DataFrame:
-    """What a retention of the newest names deletes."""
-    return rows.orderBy(F.desc(name)).offset(keep)
+    """What a retention of the newest names deletes: those before the least of the newest `keep`, which is read to the driver. Rows of one name
+    stay or go together; a null name goes."""
+    newest = rows.where(F.col(name).isNotNull()).select(name).orderBy(F.desc(name)).limit(keep)
+    bound = newest.agg(F.min(name), F.count(F.lit(1))).first()
+    gone = F.col(name).isNull()
+    return rows.where(gone if bound[1] < keep else gone | (F.col(name) < F.lit(bound[0]))) if keep else rows

@@ -60,6 +60,17 @@ def next_after(df: DataFrame, keys: list[str], seq: str, value: Column, name: st
     return joined.select(*[rows[c] for c in df.columns], F.coalesce("_near", "_carried").alias(name))
 
 
+def values_before(df: DataFrame, keys: list[str], seq: str, value: Column, n: int, name: str) -> DataFrame:
+    """Adds the values of up to n rows before each row of the key, in order, where seq numbers its rows from 0 without gaps. The last n
+    rows of a chunk are seen by the next one, too, so there is no join."""
+    first = F.floor(F.col(seq) / CHUNK)
+    seen_by = F.when(F.col(seq) % CHUNK >= CHUNK - n, F.array(first, first + 1)).otherwise(F.array(first))
+    rows = df.withColumn("_value", F.struct(value.alias("v"))).withColumn("_chunk", F.explode(seen_by))
+    near = Window.partitionBy(*keys, "_chunk").orderBy(seq).rowsBetween(-n, -1)
+    rows = rows.withColumn("_before", F.collect_list("_value").over(near)).where(F.col("_chunk") == first)
+    return rows.select(*df.columns, F.transform("_before", lambda x: x["v"]).alias(name))
+
+
 def count_before(df: DataFrame, keys: list[str], seq: str, flag: Column, name: str) -> DataFrame:
     """Adds how many earlier rows of the key have the flag."""
     rows = _chunked(df, seq).withColumn("_flag", F.coalesce(flag, F.lit(False)).cast("long"))

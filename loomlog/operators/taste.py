@@ -171,25 +171,28 @@ def first_by_trigger(timeline: DataFrame) -> DataFrame:
 
 
 def around(proposals: DataFrame, timeline: DataFrame) -> DataFrame:
-    """The proposals with the states of their file before and after them, as structs: found and null is not the same as not found."""
-    both = proposals.select(*KEYS, "file_path", "seq", F.lit(None).cast("struct<content:string>").alias("state")).unionByName(
-        timeline.select(*KEYS, "file_path", F.col("event_seq").alias("seq"), F.struct("content").alias("state"))
-    )
+    """The proposals with the states of their file before and after them, as structs: found and null is not the same as not found.
+
+    Only the numbers of the states go through the windows; their contents are fetched once for each."""
     group = [*KEYS, "file_path"]
-    seen = ordered.last_before(both, group, "seq", F.col("state"), "before")
-    seen = ordered.next_after(seen, group, "seq", F.col("state"), "later")
-    return proposals.join(seen.where("state is null and file_path is not null").select(*group, "seq", "before", "later"), [*group, "seq"], "left")
+    both = proposals.where("file_path is not null").select(*group, "seq", F.lit(None).cast("long").alias("state")).unionByName(timeline.select(*group, F.col("event_seq").alias("seq"), F.col("seq").alias("state")))
+    seen = ordered.last_before(both, group, "seq", F.col("state"), "before_state")
+    seen = ordered.next_after(seen, group, "seq", F.col("state"), "later_state").where("state is null").select(*group, "seq", "before_state", "later_state")
+    found = proposals.join(seen, [*group, "seq"], "left")
+    for name in ("before", "later"):
+        contents = timeline.select(*group, F.col("seq").alias(f"{name}_state"), F.struct("content").alias(name))
+        found = found.join(contents, [*group, f"{name}_state"], "left")
+    return found.drop("before_state", "later_state")
 
 
 def prior_lines(events: DataFrame, proposals: DataFrame) -> DataFrame:
     """(source, source_session_id, seq, prior): the last events before each proposal, snapshots left out."""
     spoken = events.where("kind <> 'file_snapshot'")
-    ranked = ordered.count_before(spoken, KEYS, "seq", F.lit(True), "nth")
     said = F.format_string("[seq=%d %s %s%s]", "seq", "kind", F.coalesce(F.when(F.col("kind") == "tool_proposal", F.col("tool_name")).otherwise(F.col("tool_ref")), F.lit("unknown")),
                            F.when((F.col("kind") == "tool_proposal") & F.col("raw_path").isNotNull(), F.concat(F.lit(" "), F.col("raw_path"))).otherwise(""))
-    lines = ranked.select(*KEYS, "nth", said.alias("line"))
-    wanted = ranked.join(proposals.select(*KEYS, "seq"), [*KEYS, "seq"], "left_semi").select(*KEYS, "seq", F.explode(F.sequence(F.col("nth") - PRIOR_EVENTS, F.col("nth") - 1)).alias("nth"))
-    return wanted.join(lines, [*KEYS, "nth"]).groupBy(*KEYS, "seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "line"))), lambda x: x["line"]), "\n").alias("prior"))
+    ranked = ordered.count_before(spoken.select(*KEYS, "seq", said.alias("line")), KEYS, "seq", F.lit(True), "nth")
+    lines = ordered.values_before(ranked, KEYS, "nth", F.col("line"), PRIOR_EVENTS, "lines").where(F.size("lines") > 0)
+    return lines.join(proposals.select(*KEYS, "seq"), [*KEYS, "seq"], "left_semi").select(*KEYS, "seq", F.array_join("lines", "\n").alias("prior"))
 
 
 def compile_examples(events: DataFrame, timeline: DataFrame, keep) -> DataFrame:
@@ -222,7 +225,7 @@ def compile_examples(events: DataFrame, timeline: DataFrame, keep) -> DataFrame:
 
 def extract(lines: DataFrame, sessions: DataFrame, blobs: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
     """(timelines, examples) of all sessions in one job."""
-    merged = merge_streams(parse(lines), keep).withColumn("raw_path", F.col("file_path"))
+    merged = merge_streams(keep(parse(lines), "parsed"), keep).withColumn("raw_path", F.col("file_path"))
     events = keep(with_paths(merged, sessions), "events")
     timeline = keep(timelines(events, blobs), "timelines")
     return timeline, compile_examples(events, timeline, keep)

@@ -89,7 +89,7 @@ def store_events(spark: SparkSession, home: str, keep) -> tuple[DataFrame, list[
                 sessions = keep(sqlite.discover(spark, path, source, table, parent).select("source_session_id", "parent_source_session_id"), "store_sessions")
                 whole = whole.unionByName(events.join(sessions, "source_session_id").select(F.lit(source).alias("source"), "source_session_id", "parent_source_session_id", F.lit(path).alias("path"), "seq", "ts", "payload"))
             except Exception as error:  # a store that breaks in the middle
-                wrong = f"{sqlite.STORE_NAMES[source]}: {str(error).strip().splitlines()[0] if str(error).strip() else type(error).__name__}"
+                wrong = f"{sqlite.STORE_NAMES.get(source, source)}: {str(error).strip().splitlines()[0] if str(error).strip() else type(error).__name__}"
         seen.append((source, path, wrong))
     return whole, seen
 

@@ -26,9 +26,11 @@ def query(sql: str | None = None):
     return register
 
 
-def _events(spark, d) -> DataFrame:
-    """session_lines as events: the file stands for the session; lines stored twice count once, the first by line_id."""
-    return table(spark, d, "session_lines").groupBy("file_id", "generation", (F.col("line_number") - 1).alias("seq")).agg(F.min_by(F.struct("line_id", "source", "cwd", "raw_line"), "line_id").alias("x")).select("file_id", "generation", "seq", "x.*")
+def _events(spark, d, *columns: str) -> DataFrame:
+    """session_lines as events with some of their columns: the file stands for the session; lines stored twice count once, the first by
+    line_id."""
+    first = F.min_by(F.struct("line_id", *columns), "line_id").alias("x")
+    return table(spark, d, "session_lines").groupBy("file_id", "generation", (F.col("line_number") - 1).alias("seq")).agg(first).select("file_id", "generation", "seq", "x.*")
 
 
 _EVENTS = "e as (select * from (select *, line_number - 1 as seq, row_number() over (partition by file_id, generation, line_number order by line_id) as rn from session_lines) where rn = 1)"
@@ -93,11 +95,17 @@ def trigger_left(spark, d):
 
 def _on_files(spark, d):
     """Proposals (kind p) and states (kind s) of each file, in one order: at the same event a state comes first, then by id."""
-    e = table(spark, d, "preference_examples").where("file_path is not null").select("source_session_id", "file_path", F.col("proposal_event_seq").alias("at"), F.lit("p").alias("kind"), F.col("example_id").alias("id"), F.col("tool_use_id").alias("ref"), F.lit(None).cast("string").alias("content"))
-    t = table(spark, d, "file_timelines").where("file_path is not null").select("source_session_id", "file_path", F.col("event_seq").alias("at"), F.lit("s").alias("kind"), F.col("backup_id").alias("id"), F.lit(None).cast("string").alias("ref"), "content")
+    e = table(spark, d, "preference_examples").where("file_path is not null").select("source_session_id", "file_path", F.col("proposal_event_seq").alias("at"), F.lit("p").alias("kind"), F.col("example_id").alias("id"), F.col("tool_use_id").alias("ref"))
+    t = table(spark, d, "file_timelines").where("file_path is not null").select("source_session_id", "file_path", F.col("event_seq").alias("at"), F.lit("s").alias("kind"), F.col("backup_id").alias("id"), F.lit(None).cast("string").alias("ref"))
     return ordered.numbered(e.unionByName(t), ["source_session_id", "file_path"], [F.col("at"), F.desc("kind"), F.col("id")], "n", stored)
 
 
+def _with_content(spark, d, proposals: DataFrame, name: str) -> DataFrame:
+    """The proposals (id, state) with whether there is that state, and its content."""
+    contents = table(spark, d, "file_timelines").select(F.col("backup_id").alias("state"), "content")
+    return proposals.join(contents, "state", "left").select(F.col("id").alias("example_id"), F.col("state").isNotNull().alias("found"), F.col("content").alias(name))
+
+
 _ON_FILES = """o as (select *, row_number() over (partition by source_session_id, file_path order by pos nulls first, kind desc, id) as n from (
     select source_session_id, file_path, proposal_event_seq as pos, 'p' as kind, example_id as id, tool_use_id as ref, null as content from preference_examples where file_path is not null
     union all select source_session_id, file_path, event_seq, 's', backup_id, null, content from file_timelines where file_path is not null))"""
@@ -116,8 +124,8 @@ def trigger_asof(spark, d):
 )
 def before_state_asof(spark, d):
     """Each proposal with the state before it: found and null isn't not found."""
-    rows = ordered.last_before(_on_files(spark, d), ["source_session_id", "file_path"], "n", F.when(F.col("kind") == "s", F.struct("content")), "s")
-    return rows.where("kind = 'p'").select(F.col("id").alias("example_id"), F.col("s").isNotNull().alias("found"), F.col("s.content").alias("before_content"))
+    rows = ordered.last_before(_on_files(spark, d), ["source_session_id", "file_path"], "n", F.when(F.col("kind") == "s", F.col("id")), "state")
+    return _with_content(spark, d, rows.where("kind = 'p'").select("id", "state"), "before_content")
 
 
 @query(
@@ -125,8 +133,8 @@ def before_state_asof(spark, d):
     over (partition by source_session_id, file_path order by n rows between 1 following and unbounded following) as s from o) where kind = 'p'"""
 )
 def post_apply_temporal(spark, d):
-    rows = ordered.next_after(_on_files(spark, d), ["source_session_id", "file_path"], "n", F.when(F.col("kind") == "s", F.struct("content")), "s")
-    return rows.where("kind = 'p'").select(F.col("id").alias("example_id"), F.col("s").isNotNull().alias("found"), F.col("s.content").alias("later_content"))
+    rows = ordered.next_after(_on_files(spark, d), ["source_session_id", "file_path"], "n", F.when(F.col("kind") == "s", F.col("id")), "state")
+    return _with_content(spark, d, rows.where("kind = 'p'").select("id", "state"), "later_content")
 
 
 @query("select source, source_session_id, file_path, trigger_event_ref as tool_ref, arg_min({'c': content}, seq).c as applied from file_timelines where trigger_event_ref is not null group by all")
@@ -256,13 +264,12 @@ def proposal_ordinal(spark, d):
     from m join m p on p.session_id = m.session_id and p.n between m.n - 5 and m.n - 1) group by row_id"""
 )
 def prior_five(spark, d):
-    """The last five messages before each message, by an equi-join on their numbers."""
+    """The last five messages before each message; the first of a session has none."""
     rows = table(spark, d, "chat_messages").select("row_id", "session_id", "seq", "msg_role")
-    rows = stored(ordered.numbered(rows, ["session_id"], [F.col("seq").asc_nulls_last(), F.col("row_id")], "n", stored), "messages")
+    rows = ordered.numbered(rows, ["session_id"], [F.col("seq").asc_nulls_last(), F.col("row_id")], "n", stored)
     line = F.concat(F.lit("["), F.coalesce("msg_role", F.lit("unknown")), F.lit(" "), F.col("row_id").cast("string"), F.lit("]"))
-    wanted = rows.select("row_id", "session_id", F.explode(F.sequence(F.col("n") - 5, F.col("n") - 1)).alias("n"))
-    joined = wanted.join(rows.select("session_id", "n", line.alias("line")), ["session_id", "n"])
-    return joined.groupBy("row_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("prior"))
+    found = ordered.values_before(rows.where("session_id is not null"), ["session_id"], "n", line, 5, "lines")
+    return found.where(F.size("lines") > 0).select("row_id", F.array_join("lines", "\n").alias("prior"))
 
 
 @query("select session_id, strftime(epoch_ms(case when abs(file_mtime) >= 1e10 then file_mtime else file_mtime * 1000 end), '%Y-%m-%dT%H:%M:%S.%gZ') as mtime_iso from sessions where file_mtime is not null")
@@ -295,8 +302,7 @@ def literal_search(spark, d):
 
 @query(f"with {_EVENTS} select file_id, generation, seq, source, cwd, line_id from e order by generation, seq, file_id limit 26 offset 25")
 def events_page(spark, d):
-    rows = _events(spark, d).withColumnRenamed("raw_line", "payload").drop("payload")
-    return journal.page(rows, [F.col("generation"), F.col("seq"), F.col("file_id")], journal.EVENT_PAGE, 25)
+    return journal.page(_events(spark, d, "source", "cwd"), [F.col("generation"), F.col("seq"), F.col("file_id")], journal.EVENT_PAGE, 25)
 
 
 @query(f"with {_EVENTS} select file_id, generation, seq from e order by file_id, generation, seq limit 1 offset 999")
@@ -329,11 +335,15 @@ _STATES = "s as (select backup_id, content, lag(content) over (partition by sour
 
 
 def _states(spark, d) -> DataFrame:
-    """Each state with the known one before it on its file."""
-    rows = table(spark, d, "file_timelines").where("content is not null").select("backup_id", "source_session_id", "file_path", "seq", "content")
+    """(backup_id, source_session_id, file_path, n, old_id): each known state and the known one before it on its file, without contents."""
+    rows = table(spark, d, "file_timelines").where("content is not null").select("backup_id", "source_session_id", "file_path", "seq")
     key = ["source_session_id", "file_path"]
     rows = stored(ordered.numbered(rows, key, [F.col("seq"), F.col("backup_id")], "n", stored), "states")
-    return ordered.last_before(rows, key, "n", F.col("content"), "old")
+    return ordered.last_before(rows, key, "n", F.col("backup_id"), "old_id")
+
+
+def _contents(spark, d, key: str, name: str) -> DataFrame:
+    return table(spark, d, "file_timelines").where("content is not null").select(F.col("backup_id").alias(key), F.col("content").alias(name))
 
 
 @query(f"select backup_id, len({_LINES.format('content')}) as n_lines from file_timelines where content is not null")
@@ -347,7 +357,7 @@ def split_lines(spark, d):
 )
 def line_delta(spark, d):
     """How many distinct lines each state adds to and takes from the one before it."""
-    rows = _states(spark, d).where("old is not null")
+    rows = _states(spark, d).where("old_id is not null").join(_contents(spark, d, "old_id", "old"), "old_id").join(_contents(spark, d, "backup_id", "content"), "backup_id")
     return rows.select("backup_id", F.size(text.line_delta(F.col("old"), F.col("content"))).cast("long").alias("added"), F.size(text.line_delta(F.col("content"), F.col("old"))).cast("long").alias("removed"))
 
 
@@ -360,10 +370,12 @@ def line_delta(spark, d):
 )
 def effect_present(spark, d):
     """Whether each change of a file is in its last known state, wholly or in part."""
-    rows = _states(spark, d)
+    rows = stored(_states(spark, d), "states")
     key = ["source_session_id", "file_path"]
-    last = rows.groupBy(*key).agg(F.max_by("content", "n").alias("final"))
-    both = rows.where("old is not null").join(last, (rows["source_session_id"].eqNullSafe(last["source_session_id"])) & (rows["file_path"].eqNullSafe(last["file_path"]))).select("backup_id", "old", "content", "final")
+    last = rows.groupBy(*key).agg(F.max_by("backup_id", "n").alias("final_id"))
+    both = rows.where("old_id is not null").join(last, (rows["source_session_id"].eqNullSafe(last["source_session_id"])) & (rows["file_path"].eqNullSafe(last["file_path"]))).select("backup_id", "old_id", "final_id")
+    for name, at in (("old", "old_id"), ("content", "backup_id"), ("final", "final_id")):
+        both = both.join(_contents(spark, d, at, name), at)
     parts = [F.col(c) for c in ("old", "content", "final")]
     return both.select("backup_id", text.effect_present(*parts).alias("present"), text.partial_effect(*parts).alias("partial"))
 
@@ -544,7 +556,7 @@ def taste_examples(spark, d):
     """The whole pipeline over the lines of all files in their last generation: merged streams, timelines, labels."""
     files = table(spark, d, "source_files").select("file_id", "source", "source_session_id", "cwd")
     current = table(spark, d, "session_lines").groupBy("file_id").agg(F.max("generation").alias("generation"))
-    lines = _events(spark, d).drop("source", "cwd").join(current, ["file_id", "generation"], "left_semi").join(files, "file_id")
+    lines = _events(spark, d, "raw_line").join(current, ["file_id", "generation"], "left_semi").join(files, "file_id")
     stream = F.split(F.col("source_session_id"), "/subagents/")
     lines = lines.select(
         "source", F.try_element_at(stream, F.lit(1)).alias("source_session_id"), F.when(F.size(stream) > 1, 1).otherwise(0).alias("stream_idx"), F.try_element_at(stream, F.lit(2)).alias("agent_id"),

@@ -89,16 +89,23 @@ def problem(path: str, source: str, tables: dict[str, str], sessions: str) -> st
                 names = ", ".join(f'"{x.split()[0]}"' for x in columns.split(","))
                 have = {r[1] for r in c.execute(f'pragma table_info("{table}")')}
                 if missing := [x.strip() for x in names.split(",") if x.strip().strip('"') not in have]:
-                    return f"{STORE_NAMES[source]}: {table} has no {', '.join(missing)}"
+                    return f"{STORE_NAMES.get(source, source)}: {table} has no {', '.join(missing)}"
             if c.execute(f'select count(*) from "{sessions}" where id is null or trim(id) = \'\'').fetchone()[0]:
-                return f"{STORE_NAMES[source]}: a session has no id"
+                return f"{STORE_NAMES.get(source, source)}: a session has no id"
     except sqlite3.Error as error:
-        return f"{STORE_NAMES[source]}: {error}"
+        return f"{STORE_NAMES.get(source, source)}: {error}"
     return None
 
 
 def discover(spark: SparkSession, path: str, source: str, table: str, parent: str) -> DataFrame:
-    """The sessions of a store, found to have no problem, as source files."""
+    """The sessions of a store as source files. A missing file lists nothing; an unreadable one, or one with a blank id, gives a single row that
+    stands for the whole store."""
+    columns = "source string, source_session_id string, id_kind string, parent_source_session_id string, metadata_path string, format string, path string"
+    whole = spark.createDataFrame([(source, placeholder(path), "store_error", None, None, "sqlite", path)], columns)
+    if not os.path.exists(path):
+        return whole.where("false")
+    if problem(path, source, {}, table):
+        return whole
     rows = read_table(spark, path, table, f"id string, {parent} string")
     none = F.lit(None).cast("string")
     return rows.select(F.lit(source).alias("source"), F.col("id").alias("source_session_id"), F.lit("known").alias("id_kind"), F.col(parent).alias("parent_source_session_id"), none.alias("metadata_path"), F.lit("sqlite").alias("format"), F.lit(path).alias("path"))

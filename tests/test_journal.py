@@ -151,3 +151,36 @@ def test_pruned_columns(spark):
     plan = queries.QUERIES["generation_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     schema = plan.rsplit("ReadSchema:", 1)[1].split("\n")[0]
     assert "raw_line" not in schema and "file_id" in schema
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_plans(spark):
+    """A page reads no payload, a batch's first key reaches the scan, and a retention gathers no more than it keeps."""
+    from loomlog.plans import journal as queries
+
+    d = "/root/testdata/sf0.001"
+    page = plan_of(queries.QUERIES["events_page"](spark, d))
+    assert all("raw_line" not in x.split("\n")[0] for x in page.split("ReadSchema:")[1:])
+    batch = plan_of(queries.QUERIES["keyset_batch"](spark, d))
+    assert "GreaterThanOrEqual(file_id,100)" in batch.rsplit("PushedFilters:", 1)[1].split("\n")[0]
+    assert "CollectLimit" not in plan_of(queries.QUERIES["retention"](spark, d))
+    before = plan_of(queries.QUERIES["trigger_asof"](spark, d))
+    assert "content" not in before.rsplit("ReadSchema:", 1)[1].split("\n")[0]
+
+
+def test_retention(spark):
+    df = spark.createDataFrame([("b",), ("d",), (None,), ("a",), ("c",), ("c",)], "name string")
+    names = lambda keep: sorted((r.name for r in journal.beyond_newest(df, "name", keep).collect()), key=str)
+    assert names(0) == sorted(["a", "b", "c", "c", "d", None], key=str) and names(1) == sorted(["a", "b", "c", "c", None], key=str) and names(2) == sorted(["a", "b", None], key=str) == names(3)
+    assert names(5) == [None] == names(9) and journal.beyond_newest(df.where("false"), "name", 3).count() == 0
+
+
+def test_values_before(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "CHUNK", 7)
+    df = spark.createDataFrame([(k, i, None if i % 4 == 0 else f"{k}{i}") for k in ("a", "b") for i in range(30 if k == "a" else 3)], "k string, s long, v string")
+    got = {(r.k, r.s): r.x for r in ordered.values_before(df, ["k"], "s", F.col("v"), 5, "x").collect()}
+    assert got == {(k, i): [None if j % 4 == 0 else f"{k}{j}" for j in range(max(0, i - 5), i)] for k, n in (("a", 30), ("b", 3)) for i in range(n)}
+    assert ordered.values_before(df.where("false"), ["k"], "s", F.col("v"), 5, "x").count() == 0
