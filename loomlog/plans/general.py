@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.operators import forest, instants, nested, parse_failures, schema_drift
+from loomlog.plans.sql import BARE, BEYOND, RECORDS, VALID
 from loomlog.plans.store import Store
 from loomlog.tables import stored, table
 
@@ -156,19 +157,13 @@ def p7_largest_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p1_matches, p1_table, p2_found, p2_rejected, p2_records, p4_found, p4_bridge, p4_objects, p6_found, p7_found, p7_tree, p7_segments, p7_cycles, p7_deepest_paths, p7_largest_descendants)}
 
-#: The lines that are no case of p2, as v with their value j. DuckDB also takes trailing commas and the names of numbers that are none: outside of texts
-#: they are looked for by themselves.
-_BARE = """regexp_replace({0}, '"(?:[^"\\\\]|\\\\.)*"', '""', 'g')"""
-_BEYOND = r"',\s*[}\]]|[Nn]a[Nn]|[Ii]nf'"
-_VALID = f"""v as (select *, raw_line::json as j from (select *, {_BARE.format('raw_line')} as bare from session_lines where json_valid(raw_line))
-      where not regexp_matches(bare, {_BEYOND}) and json_type(raw_line) = 'OBJECT')"""
 _BLOCKS = """select line_id, {0} as parent_pos, pos, x -> pos as e from (select *, unnest(range(json_array_length(x)::bigint)) as pos from {1} where json_type(x) = 'ARRAY')
         union all select line_id, {0}, 0, x from {1} where json_type(x) = 'OBJECT' or json_type(x) = 'VARCHAR' and (x ->> '$') <> ''"""
 _LABEL = "case json_type(e) when 'VARCHAR' then 'text' when 'OBJECT' then case when json_type(e, '$.type') = 'VARCHAR' then e ->> '$.type' else '' end else '' end"
 _NAMED = "case when json_type(e) = 'OBJECT' and json_type(e, '$.{0}') = 'VARCHAR' then e ->> '$.{0}' else '' end"
 
 ORACLE_SQL = {
-    "p1_found": f"""with {_VALID},
+    "p1_found": f"""with {VALID},
       f as (select v.file_id, a.field_name as field, a.json_path as path, json_type(v.j, '$."' || replace(a.json_path, '.', '"."') || '"') as t from v, field_aliases a),
       s as (select file_id, field, list(distinct path order by path) filter (t <> 'NULL') as paths,
         list(distinct case when t in ('VARCHAR', 'OBJECT', 'ARRAY', 'BOOLEAN') then t else 'NUMBER' end order by 1) filter (t <> 'NULL') as types from f where file_id is not null group by file_id, field),
@@ -176,18 +171,11 @@ ORACLE_SQL = {
         window w as (partition by source_root, field order by opened_at nulls first, file_id))
       select file_id, field as field_name, unnest(case when p0 is null and paths is null then [] when p0 is null then ['added'] when paths is null then ['removed']
         else list_filter([case when p0 <> paths then 'renamed' end, case when t0 <> types then 'retyped' end], lambda x: x is not null) end) as change from o where n > 1""",
-    "p2_found": f"""with {_VALID},
-      r as (select record_id, raw_record as raw, regexp_replace(raw_record, '"[^"]*"', '"', 'g') as bare, regexp_extract_all(raw_record || ',', '("(?:[^"]|"")*"|[^",]*),', 1) as parts from error_records),
-      f as (select *, list_transform(parts, lambda x: case when starts_with(x, '"') then replace(substr(x, 2, length(x) - 2), '""', '"') else x end) as c from r),
-      k as (select *, list_transform(c, lambda x: regexp_full_match(x, '[0-9]+') and try_cast(x as bigint) is not null) as whole,
-        list_transform(c, lambda x: regexp_full_match(x, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]\\.[0-9]{{3}}Z') and try_cast(substr(x, 1, 10) as date) is not null) as moment from f)
-      select 'session_lines' as origin, s.line_id as record_id, case when json_valid(s.raw_line) and not regexp_matches({_BARE.format('s.raw_line')}, {_BEYOND}) then 'not_object' else 'not_json' end as reason
+    "p2_found": f"""with {VALID}, {RECORDS}
+      select 'session_lines' as origin, s.line_id as record_id, case when json_valid(s.raw_line) and not regexp_matches({BARE.format('s.raw_line')}, {BEYOND}) then 'not_object' else 'not_json' end as reason
       from session_lines s anti join v on s.line_id = v.line_id
-      union all select * from (select 'error_records', record_id, case when raw is null then 'column_count' when (length(raw) - length(replace(raw, '"', ''))) % 2 = 1 or regexp_matches(bare, '[^,"]"|"[^,"]') then 'quoting'
-        when length(bare) - length(replace(bare, ',', '')) <> 10 then 'column_count'
-        when c[1] = '' or c[3] = '' or c[8] = '' or not (c[4] = '' or whole[4]) or not (c[5] = '' or whole[5]) or not (c[6] = '' or whole[6]) or c[7] not in ('invalid_json', 'invalid_session_meta', 'read_error', 'not_file')
-          or not moment[9] or not moment[10] or not whole[11] or regexp_full_match(c[11], '0+') then 'value' end as reason from k) where reason is not null""",
-    "p4_found": f"""with {_VALID}, m as (select line_id, j -> '$.message.content' as x from v), b as ({_BLOCKS.format('0', 'm')}),
+      union all select 'error_records', record_id, reason from records where reason is not null""",
+    "p4_found": f"""with {VALID}, m as (select line_id, j -> '$.message.content' as x from v), b as ({_BLOCKS.format('0', 'm')}),
       i as (select line_id, pos as nth, e -> '$.content' as x from b where json_type(e) = 'OBJECT' and json_type(e, '$.type') = 'VARCHAR' and (e ->> '$.type') = 'tool_result'), r as ({_BLOCKS.format('nth', 'i')}),
       t as (select line_id, j -> '$.snapshot.trackedFileBackups' as x from v),
       k as (select line_id, x, unnest(json_keys(x)) as key from t where json_type(x) = 'OBJECT'),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomlog.functions import codec, text
 from loomlog.operators import journal, ordered, taste
+from loomlog.plans.sql import RECORDS
 from loomlog.tables import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,9 +216,24 @@ def merged_event_count(spark, d):
     return journal.family_event_count(table(spark, d, "sessions"))
 
 
-@query("select count(*) filter (codec = 'raw') as raw_events, count(*) filter (codec = 'zstd') as zstd_events, 0 as unsupported_events, count(*) filter (codec = 'raw' and strlen(raw_line) < 1024) as small_events, cast(coalesce(sum(strlen(raw_line)), 0) as bigint) as stored_bytes from (select *, 'raw' as codec from session_lines)")
+def _encoded(spark, d) -> DataFrame:
+    """The lines as stored events with payload, codec and payload_size; those of rewritten files (generation 1) have a codec that isn't
+    supported."""
+    lines = table(spark, d, "session_lines").select("line_id", "file_id", "generation", F.col("raw_line").cast("binary").alias("original"))
+    rows = lines.withColumn("e", codec.encode("original")).select("*", "e.*").drop("e")
+    return rows.withColumn("codec", F.when(F.col("generation") == 1, "lz4").otherwise(F.col("codec")))
+
+
+_CODEC = "case when generation = 1 then 'lz4' when strlen(raw_line) >= 1024 then 'zstd' else 'raw' end"
+
+
+@query(
+    f"""select count(*) filter (codec = 'raw') as raw_events, count(*) filter (codec = 'zstd') as zstd_events, count(*) filter (codec = 'lz4') as unsupported_events,
+    count(*) filter (codec = 'raw' and strlen(raw_line) < 1024) as small_events from (select *, {_CODEC} as codec from session_lines)"""
+)
 def codec_stats(spark, d):
-    return journal.codec_stats(table(spark, d, "session_lines").select(F.col("raw_line").cast("binary").alias("payload"), F.lit("raw").alias("codec")))
+    """The counters over encoded payloads; the stored bytes depend on the codec and are left to tests."""
+    return journal.codec_stats(_encoded(spark, d)).drop("stored_bytes")
 
 
 @query("select source, count(*) filter (strlen(text) < 1024) as small, cast(coalesce(sum(strlen(text)), 0) as bigint) as bytes from documents group by source")
@@ -322,12 +338,12 @@ def export_triples(spark, d):
     return taste.triples(table(spark, d, "preference_examples"))
 
 
-@query("select file_path, seq, event_seq, source_kind from file_timelines where source_session_id = (select min(source_session_id) from file_timelines)")
+@query("select file_path, seq, event_seq, source_kind from file_timelines where (source_session_id, file_path) = (select min((source_session_id, file_path)) from file_timelines where source_session_id is not null and file_path is not null)")
 def show_timeline(spark, d):
-    """The timeline of one session."""
+    """The timeline of one file of one session: the least of all."""
     rows = table(spark, d, "file_timelines")
-    first = rows.agg(F.min("source_session_id").alias("source_session_id"))
-    return rows.join(first, "source_session_id").select("file_path", "seq", "event_seq", "source_kind")
+    first = rows.where("source_session_id is not null and file_path is not null").agg(F.min(F.struct("source_session_id", "file_path")).alias("first")).select("first.*")
+    return rows.join(first, ["source_session_id", "file_path"]).select("file_path", "seq", "event_seq", "source_kind")
 
 
 _LINES = "(case when {0} = '' then [] else string_split(replace(regexp_replace({0}, '\\r?\\n$', ''), chr(13) || chr(10), chr(10)), chr(10)) end)"
@@ -380,10 +396,10 @@ def effect_present(spark, d):
     return both.select("backup_id", text.effect_present(*parts).alias("present"), text.partial_effect(*parts).alias("partial"))
 
 
-@query("select distinct file_id from session_lines where contains(lower(raw_line), 'exec_command')")
+@query("select distinct file_id from session_lines where generation = 0 and contains(lower(raw_line), 'exec_command') and strlen(substr(raw_line, 1, instr(lower(raw_line), 'exec_command') - 1)) + 12 <= 4096")
 def payload_search(spark, d):
-    """Sessions whose payloads hold a text. The given lines aren't cut to a head."""
-    heads = table(spark, d, "session_lines").select(F.col("file_id").alias("session_id"), F.col("raw_line").cast("binary").alias("head"))
+    """Sessions whose payloads hold a text in their first 4096 bytes, as far as they can be decoded."""
+    heads = _encoded(spark, d).select(F.col("file_id").alias("session_id"), codec.decode_head(4096)("payload", "codec").alias("head"))
     return journal.payload_hits(heads, "Exec_Command").withColumnRenamed("session_id", "file_id")
 
 
@@ -397,10 +413,11 @@ def optional_filter(spark, d):
     return journal.optional_equal(table(spark, d, "sessions"), source="claude_cli", cwd="/work/forge/atlas-monorepo", file_path=None).select("session_id", "source_session_id")
 
 
-@query("select line_id from session_lines")
+@query(f"select line_id, {_CODEC} as codec, strlen(raw_line) as payload_size, raw_line is not null as same from session_lines where generation = 0")
 def codec_guard(spark, d):
-    lines = table(spark, d, "session_lines").withColumn("codec", F.lit("raw"))
-    return journal.guarded(lines).where("codec = 'raw'").select("line_id")
+    """The payloads that are read back, guarded: those with another codec aren't among them, and one would fail the query."""
+    rows = journal.guarded(_encoded(spark, d).where("generation = 0"))
+    return rows.select("line_id", "codec", "payload_size", F.coalesce(codec.decode("payload", "codec") == F.col("original"), F.lit(False)).alias("same"))
 
 
 @query("select session_id, coalesce(regexp_full_match(source_session_id, '[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}'), false) as is_uuid from sessions")
@@ -443,28 +460,44 @@ def event_timestamp(spark, d):
 
 
 @query(
-    f"""with f as (select source, source_session_id, file_path, arg_max({{'c': content}}, seq) as fin, true as tracked from file_timelines group by all),
+    f"""with {_ON_FILES}, p as (select id as example_id, last_value(case when kind = 's' then {{'c': content}} end ignore nulls) over (partition by source_session_id, file_path order by n rows between unbounded preceding and 1 preceding) as s, kind from o),
+    f as (select source, source_session_id, file_path, arg_max({{'c': content}}, seq) as fin, true as tracked from file_timelines group by all),
     a as (select source, source_session_id, file_path, trigger_event_ref, arg_min({{'c': content}}, seq) as applied from file_timelines where trigger_event_ref is not null group by all),
-    r as (select e.example_id, e.tool_name, e.file_path, f.tracked, f.fin.c as fin, a.applied.c as post from preference_examples e left join f using (source, source_session_id, file_path)
-      left join a on a.source = e.source and a.source_session_id = e.source_session_id and a.file_path = e.file_path and a.trigger_event_ref = e.tool_use_id),
-    l as (select *, list_distinct({_LINES.format('post')}) as added, {_LINES.format('fin')} as z from r)
-    select example_id, case when file_path is null or tracked is null or fin is null or post is null then 'rejected'
-    when len(list_filter(added, lambda x: not list_contains(z, x))) = 0 then 'accepted'
-    when len(list_filter(added, lambda x: list_contains(z, x))) > 0 then 'edited' else 'rejected' end as outcome from l"""
+    r as (select e.example_id, e.tool_name as tool, e.file_path, f.tracked, f.fin.c as fin, a.applied.c as post, coalesce(p.s.c, '') as old,
+        coalesce(e.tool_use_id in (select tool_use_id from preference_examples where evidence_kind = 'permission_denial' and tool_use_id is not null), false) as denied,
+        coalesce(e.tool_use_id in (select trigger_event_ref from file_timelines where trigger_event_ref is not null), false) as executed,
+        case when e.tool_name in ('Edit', 'Write', 'NotebookEdit') then 1.0 when e.tool_name = 'Bash' or starts_with(e.tool_name, 'mcp_') then 0.6 else 0.3 end as base,
+        case when e.tool_name in ('Edit', 'NotebookEdit') then 'direct_edit' when e.tool_name = 'Write' then 'direct_write' when e.tool_name = 'Bash' then 'bash_correlation'
+          when starts_with(e.tool_name, 'mcp_') then 'mcp_correlation' else 'missing_final_state' end as kind
+      from preference_examples e left join f using (source, source_session_id, file_path)
+      left join a on a.source = e.source and a.source_session_id = e.source_session_id and a.file_path = e.file_path and a.trigger_event_ref = e.tool_use_id
+      left join p on p.example_id = e.example_id and p.kind = 'p'),
+    l as (select *, list_distinct(list_filter({_LINES.format('post')}, lambda x: not list_contains({_LINES.format('old')}, x))) as added,
+        list_distinct(list_filter({_LINES.format('old')}, lambda x: not list_contains({_LINES.format('post')}, x))) as removed, {_LINES.format('fin')} as z from r),
+    k as (select *, len(list_filter(added, lambda x: list_contains(z, x))) as there, len(list_filter(removed, lambda x: list_contains(z, x))) as left_over from l),
+    b as (select *, case when denied then 'denied' when file_path is null then 'no path' when tracked is null and tool = 'Write' and executed then 'written' when tracked is null then 'untracked' when fin is null then 'no final'
+        when post is null then 'no post' when there = len(added) and left_over = 0 then 'all' when there > 0 and there < len(added) then 'part' else 'none' end as what from k)
+    select example_id, case what when 'written' then 'accepted' when 'all' then 'accepted' when 'part' then 'edited' else 'rejected' end as outcome,
+      cast(case what when 'denied' then 1.0 when 'no path' then 0.2 when 'written' then 0.4 when 'untracked' then 0.3 when 'no final' then 0.3 when 'part' then greatest(base * 0.5, 0.2) else base end as double) as confidence,
+      case when what = 'denied' then 'permission_denial' when what in ('no path', 'written', 'untracked', 'no final') then 'missing_final_state' else kind end as evidence_kind from b"""
 )
 def classify(spark, d):
-    """The label of each proposal by the states that name it and its file's last state, against an empty file before it."""
-    timeline = table(spark, d, "file_timelines")
+    """The label of each proposal by the state before it, the states that name it and its file's last state. A proposal counts as denied if one
+    of its id is labelled so, and as executed if a state names it."""
+    timeline, examples = table(spark, d, "file_timelines"), table(spark, d, "preference_examples")
     key = [*taste.KEYS, "file_path"]
+    refs = lambda df, column, name: df.where(F.col(column).isNotNull()).select(F.col(column).alias("tool_ref")).distinct().withColumn(name, F.lit(True))
     rows = (
-        table(spark, d, "preference_examples")
-        .withColumnRenamed("tool_use_id", "tool_ref")
+        examples.withColumnRenamed("tool_use_id", "tool_ref")
         .join(taste.final_states(timeline).withColumn("tracked", F.lit(True)), key, "left")
         .join(taste.first_by_trigger(timeline), [*key, "tool_ref"], "left")
+        .join(refs(examples.where("evidence_kind = 'permission_denial'"), "tool_use_id", "denied"), "tool_ref", "left")
+        .join(refs(timeline, "trigger_event_ref", "executed"), "tool_ref", "left")
+        .join(before_state_asof(spark, d), "example_id", "left")
     )
-    no = F.lit(False)
-    label = text.classify(F.col("tool_name"), F.col("file_path"), no, no, F.coalesce("tracked", no), F.lit(None).cast("string"), F.col("applied.content"), F.col("final"))
-    return rows.select("example_id", label["outcome"].alias("outcome"))
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    label = text.classify(F.col("tool_name"), F.col("file_path"), flag("denied"), flag("executed"), flag("tracked"), F.col("before_content"), F.col("applied.content"), F.col("final"))
+    return rows.select("example_id", label.alias("l")).select("example_id", "l.*")
 
 
 @query(
@@ -492,15 +525,28 @@ def error_reports(spark, d):
     )
 
 
-@query()
-def error_upsert(spark, d):
-    """The valid error records, folded into one row for each key; the records read before 2026 are stored, the others seen."""
+_FIELDS = "nullif(c[1], '') as source, nullif(c[2], '') as source_session_id, nullif(c[3], '') as file_path, try_cast(c[4] as bigint) as generation, try_cast(c[5] as bigint) as byte_offset, try_cast(c[6] as bigint) as line_number, c[7] as error_kind"
+
+
+def _records(spark, d) -> DataFrame:
+    """The valid error records, each once, with the time at which they were first read."""
     from loomlog.operators.parse_failures import valid_records
 
-    records = valid_records(table(spark, d, "error_records")).select(*journal.ERROR_KEY, "message", "first_seen_at", "last_seen_at", "occurrence_count", "record_id").join(table(spark, d, "error_records").select("record_id", "read_at"), "record_id")
-    once = records.dropDuplicates([*journal.ERROR_KEY, "message", "first_seen_at", "last_seen_at", "occurrence_count"])
+    records, read = valid_records(table(spark, d, "error_records")), table(spark, d, "error_records").select("record_id", "read_at")
+    return records.join(read, "record_id").groupBy(*journal.ERROR_KEY, "message", "first_seen_at", "last_seen_at", "occurrence_count").agg(F.min("read_at").alias("read_at"))
+
+
+@query(
+    f"""with {RECORDS}, e as (select {_FIELDS}, c[8] as message, c[9] as first_seen_at, c[10] as last_seen_at, cast(c[11] as bigint) as occurrence_count, min(read_at) as read_at from records where reason is null group by all),
+    p as (select *, case when coalesce(read_at >= timestamp '2026-01-01', true) then 1 else 0 end as pass from e)
+    select source, source_session_id, file_path, generation, byte_offset, line_number, error_kind, arg_max(message, {{'p': pass, 'l': last_seen_at, 'm': message}}) as message, min(first_seen_at) as first_seen_at,
+      max(last_seen_at) as last_seen_at, cast(sum(occurrence_count) as bigint) as occurrence_count from p group by source, source_session_id, file_path, generation, byte_offset, line_number, error_kind"""
+)
+def error_upsert(spark, d):
+    """The valid error records, folded into one row for each key; the records read before 2026 are stored, the others seen."""
+    once = _records(spark, d)
     late = F.coalesce(F.col("read_at") >= F.lit("2026-01-01").cast("timestamp_ntz"), F.lit(True))
-    return journal.upsert_errors(once.where(~late).drop("record_id", "read_at"), once.where(late).drop("record_id", "read_at"))
+    return journal.upsert_errors(once.where(~late).drop("read_at"), once.where(late).drop("read_at"))
 
 
 @query(
@@ -526,12 +572,20 @@ def ratio_pending(spark, d):
     return rows.agg(finished.alias("done"), F.greatest(F.lit(0).cast("long"), F.count(F.lit(1)) - finished).alias("pending"))
 
 
-@query("select count(*) as unresolved from error_records")
+@query(
+    f"""with {RECORDS}, e as (select {_FIELDS}, c[8] as message, c[9] as a, c[10] as b, c[11]::bigint as n from records where reason is null group by all)
+    select count(*) as unresolved from e where not exists (select 1 from sessions s where s.source = e.source and s.file_path = e.file_path and s.event_count > 0)"""
+)
 def doctor(spark, d):
-    return journal.doctor(table(spark, d, "error_records"))[0]
+    """The errors that stay unresolved when those of files with stored events are resolved."""
+    none = F.lit(None).cast("string")
+    errors = _records(spark, d).drop("read_at").withColumns({"resolved_at": none, "resolution_note": none})
+    well = table(spark, d, "sessions").where("file_path is not null and event_count > 0").select("source", "file_path")
+    fixed = well.join(errors.select("source", "file_path", "error_kind"), ["source", "file_path"])
+    return journal.doctor(journal.unresolved(journal.resolve_errors(errors, fixed, F.lit("2026-01-01T00:00:00.000Z"), "read again")))[0]
 
 
-@query("select path, opened_at from source_files order by path desc offset 30")
+@query("select path, opened_at from source_files order by path desc nulls last offset 30")
 def retention(spark, d):
     """What a retention of 30 would delete; paths are unique."""
     return journal.beyond_newest(table(spark, d, "source_files").select("path", "opened_at"), "path", 30)
@@ -544,11 +598,20 @@ def zstd_roundtrip(spark, d):
     return packed.select("doc_id", F.col("e.payload_size").alias("payload_size"), (codec.decode(F.col("e.payload"), F.col("e.codec")) == F.col("original")).alias("same"))
 
 
-@query()
+def _compaction(spark, d) -> DataFrame:
+    return table(spark, d, "session_lines").select(codec.plan(F.col("raw_line").cast("binary")).alias("p"), F.octet_length("raw_line").alias("size"))
+
+
+@query("select case when strlen(raw_line) >= 1024 then 'compact' else 'small' end as action, count(*) as n, cast(sum(strlen(raw_line)) as bigint) as payload_bytes from session_lines group by 1")
 def compaction_plan(spark, d):
-    """What compaction would do with all lines, and the bytes it would save."""
-    rows = table(spark, d, "session_lines").select(codec.plan(F.col("raw_line").cast("binary")).alias("p"))
-    return rows.groupBy(F.col("p.action").alias("action")).agg(F.count(F.lit(1)).alias("n"), F.sum("p.saved").alias("saved"))
+    """What compaction would do with all lines; lines of JSON always get smaller."""
+    return _compaction(spark, d).groupBy(F.col("p.action").alias("action")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("payload_bytes"))
+
+
+@query()
+def compaction_savings(spark, d):
+    """The bytes that compaction would save, which are those of the codec."""
+    return _compaction(spark, d).groupBy(F.col("p.action").alias("action")).agg(F.sum("p.saved").alias("saved"))
 
 
 @query()
