@@ -71,6 +71,38 @@ def preview(payload: Column, read_bytes: int = 4096, shown: int = 280) -> Column
     return F.substring(F.make_valid_utf8(F.substring(payload, 1, read_bytes).cast("string")), 1, shown)
 
 
+def html_escaped(value: Column) -> Column:
+    """A text as it may stand in a page."""
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        value = F.replace(value, F.lit(mark), F.lit(name))
+    return value
+
+
+def url_encoded(value: Column) -> Column:
+    """A text as a part of an address: all but letters, digits and - _ . ~ by the bytes of UTF-8."""
+    value = F.url_encode(value)
+    for mark, name in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        value = F.replace(value, F.lit(mark), F.lit(name))
+    return value
+
+
+def percent_decoded(value: Column) -> Column:
+    """The text of a part of an address: + is a space, a percent sign without two digits stays, broken UTF-8 is replaced."""
+    plain = F.regexp_replace(value, "%(?![0-9A-Fa-f]{2})", "%25")
+    parts = F.split(F.replace(plain, F.lit("+"), F.lit(" ")), "(?=%)")
+    coded = F.transform(parts, lambda x: F.when(F.startswith(x, F.lit("%")), F.concat(F.substring(x, 2, 2), F.hex(F.substring(x, 4, 1 << 30)))).otherwise(F.hex(x)))
+    return F.make_valid_utf8(F.unhex(F.array_join(coded, "")).cast("string"))
+
+
+def query_values(target: Column) -> Column:
+    """The names and values of an address' query, decoded; of repeated names the last counts."""
+    pairs = F.when(F.contains(target, F.lit("?")), F.split(F.regexp_replace(target, r"\A[^?]*\?", ""), "&")).otherwise(F.array().cast("array<string>"))
+    value = lambda x: percent_decoded(F.when(F.contains(x, F.lit("=")), F.regexp_replace(x, r"\A[^=]*=", "")).otherwise(""))
+    entries = F.transform(pairs, lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), value(x).alias("value")))
+    last = F.filter(entries, lambda x, i: ~F.exists(F.filter(entries, lambda y, j: j > i), lambda y: y["key"] == x["key"]))
+    return F.map_from_entries(last)
+
+
 def base_confidence(tool: Column) -> Column:
     return F.when(tool.isin("Edit", "Write", "NotebookEdit"), 1.0).when((tool == "Bash") | F.startswith(tool, F.lit("mcp_")), 0.6).otherwise(0.3)
 

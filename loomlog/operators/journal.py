@@ -210,6 +210,19 @@ def merge_sessions(stored: DataFrame, imported: DataFrame) -> DataFrame:
     )
 
 
+def sidechain_ids(sessions: DataFrame) -> DataFrame:
+    """(session_id, source_session_id) of the claude_cli sessions `agent-...` that a stored parent, or without one their path, qualifies as
+    <parent>/subagents/<own>: an update from a join, and where that has none from the path."""
+    parents = sessions.select(F.col("session_id").alias("parent_session_id"), F.col("source_session_id").alias("parent_id"))
+    agents = sessions.where("source = 'claude_cli' and source_session_id like 'agent-%'").select("session_id", "source_session_id", "parent_session_id", "file_path")
+    rows = agents.join(parents, "parent_session_id", "left")
+    end = F.concat(F.lit("/subagents/"), "source_session_id", F.lit(".jsonl"))
+    owner = F.right(F.substring(F.col("file_path"), F.lit(1), F.length("file_path") - F.length(end)), F.lit(36))
+    shaped = F.col("parent_session_id").isNull() & F.endswith(F.col("file_path"), end) & owner.rlike(r"(?s)\A.{8}-.{4}-.{4}-.{4}-.{12}\z")
+    parent = F.coalesce("parent_id", F.when(shaped, owner))
+    return rows.where(parent.isNotNull()).select("session_id", F.concat(parent, F.lit("/subagents/"), "source_session_id").alias("source_session_id"))
+
+
 def new_events(seen: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
     """Events whose key isn't stored; of repeated ones, one."""
     return seen.dropDuplicates(key).join(stored.select(*key), key, "left_anti")

@@ -224,8 +224,19 @@ def _fixed(plan: DataFrame, lines: DataFrame, stores: list) -> DataFrame:
     return well.unionByName(mended).unionByName(read.select("source", F.col("path").alias("file_path"), F.lit("invalid_json").alias("error_kind")))
 
 
-def extract(spark: SparkSession, store: Store, history_root: str, force: bool = False, clock: str | None = None) -> dict[str, int]:
-    """Compiles the examples of all sessions that need it, subagents with their parents, and replaces what those sessions had."""
+def parent_sessions(sessions: DataFrame, source: str, session: str | None = None) -> DataFrame:
+    """The sessions of a tool that have no parent, by id, or the one asked for; LookupError where there is none."""
+    found = sessions.where((F.col("source") == source) & F.col("parent_session_id").isNull())
+    if session is not None:
+        found = found.where(F.col("source_session_id") == session)
+        if not found.limit(1).count():
+            raise LookupError(f"no session {session} of {source}")
+    return found.orderBy("session_id")
+
+
+def extract(spark: SparkSession, store: Store, history_root: str, force: bool = False, clock: str | None = None, session: tuple[str, str] | None = None) -> dict[str, int]:
+    """Compiles the examples of all sessions that need it, or of the one asked for (source, source_session_id), subagents with their parents,
+    and replaces what those sessions had."""
     from loomlog.operators import taste
 
     ship(spark)
@@ -234,6 +245,8 @@ def extract(spark: SparkSession, store: Store, history_root: str, force: bool =
         sessions = store.table("sessions")
         family = sessions.select("session_id", "source", F.coalesce("parent_source_session_id", "source_session_id").alias("source_session_id"), F.col("source_session_id").alias("own"), "current_generation", "event_count", "cwd", "parent_source_session_id")
         counts = family.groupBy(*KEY).agg(F.sum("event_count").alias("event_count"), F.max(F.when(F.col("parent_source_session_id").isNull(), F.col("cwd"))).alias("cwd"))
+        if session is not None:
+            counts = counts.join(parent_sessions(sessions, *session).select(*KEY), KEY, "left_semi")
         todo = stored(taste.pending(counts, store.table("taste_extractions"), force=force), "pending")
         streams = family.join(todo.select(*KEY), KEY, "left_semi")
         chain = F.when(F.col("parent_source_session_id").isNotNull(), F.substring_index("own", "/subagents/", -1))
@@ -248,14 +261,27 @@ def extract(spark: SparkSession, store: Store, history_root: str, force: bool =
 
 
 def compact(store: Store, apply: bool = False) -> dict[str, int]:
-    """What compaction does with the raw payloads, done where asked for: those that get smaller and come back the same are packed."""
-    events = store.table("events")
-    planned = stored(events.where("codec = 'raw'").select("*", codec.plan("payload").alias("p")), "plan")
+    """What compaction does with the raw payloads, done where asked for: those that get smaller and come back the same are packed. Only the
+    folders that hold such rows are written anew, under the lock from the first read on."""
+    if not apply:
+        return _compacted(store, False)
+    with store.writing():
+        return _compacted(store, True)
+
+
+def _compacted(store: Store, apply: bool) -> dict[str, int]:
+    held = store.state()["tables"].get("events", [])
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "/data/([^/]+)/[^/]*$", 1) if held else F.lit("")
+    events = store.table("events").select("*", folder.alias("folder"))
+    packed = F.col("p.action") == "compact"
+    planned = stored(events.where("codec = 'raw'").select("session_id", "generation", "seq", "ts", "payload", "payload_size", "created_at", "folder", codec.plan("payload").alias("p")), "plan")
     found = {r["action"]: r for r in planned.groupBy(F.col("p.action").alias("action")).agg(F.count(F.lit(1)).alias("n"), F.sum("p.saved").alias("saved")).collect()}
     report = {a: found[a]["n"] if a in found else 0 for a in ("compact", "small", "not_smaller", "round_trip_failed")} | {"saved_bytes": found["compact"]["saved"] if "compact" in found else 0}
     if apply and report["compact"]:
-        packed = F.col("p.action") == "compact"
-        raw = planned.select("session_id", "generation", "seq", "ts", F.when(packed, F.col("p.packed")).otherwise(F.col("payload")).alias("payload"), F.when(packed, "zstd").otherwise("raw").alias("codec"), "payload_size", "created_at")
-        with store.writing():
-            store.replace("events", events.where("codec <> 'raw'").unionByName(raw))
+        touched = sorted({r["folder"] for r in planned.where(packed).select("folder").distinct().collect()} & set(held))  # names of folders, one for each pass
+        raw = planned.where(F.col("folder").isin(touched)).select(
+            "session_id", "generation", "seq", "ts", F.when(packed, F.col("p.packed")).otherwise(F.col("payload")).alias("payload"), F.when(packed, "zstd").otherwise("raw").alias("codec"), "payload_size", "created_at"
+        )
+        rest = events.where(F.col("folder").isin(touched) & (F.col("codec") != "raw")).drop("folder")
+        store.replace_folders("events", touched, rest.unionByName(raw))
     return report

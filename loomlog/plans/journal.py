@@ -431,6 +431,30 @@ def file_modifying(spark, d):
     return rows.groupBy("tool_name").agg(F.count(F.lit(1)).alias("n")).select("tool_name", text.is_file_modifying(F.col("tool_name")).alias("modifies"), "n")
 
 
+@query(
+    """select s.session_id, coalesce(p.source_session_id, substr(left(s.file_path, length(s.file_path) - length('/subagents/' || s.agent || '.jsonl')), -36)) || '/subagents/' || s.agent as source_session_id
+    from (select *, regexp_replace(source_session_id, '.*/', '') as agent from sessions where source = 'claude_cli' and contains(source_session_id, 'agent-')) s
+    left join (select session_id, case when contains(source_session_id, 'agent-') then regexp_replace(source_session_id, '.*/', '') else source_session_id end as source_session_id from sessions) p on p.session_id = s.parent_session_id where p.source_session_id is not null or s.parent_session_id is null and ends_with(s.file_path, '/subagents/' || s.agent || '.jsonl')
+    and regexp_full_match(substr(left(s.file_path, length(s.file_path) - length('/subagents/' || s.agent || '.jsonl')), -36), '.{8}-.{4}-.{4}-.{4}-.{12}')"""
+)
+def sidechain_ids(spark, d):
+    """The qualified ids of side chains, from their own names alone."""
+    own = F.regexp_replace("source_session_id", ".*/", "")
+    s = table(spark, d, "sessions")
+    return journal.sidechain_ids(s.withColumn("source_session_id", F.when(F.contains("source_session_id", F.lit("agent-")), own).otherwise(F.col("source_session_id"))))
+
+
+_ESCAPED = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')"
+
+
+@query(f"select doc_id, md5({_ESCAPED}) as escaped, md5(url_encode(text)) as encoded, text as decoded from documents where text is not null")
+def page_texts(spark, d):
+    """Texts escaped for a page, encoded for an address, and decoded again."""
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    encoded = text.url_encoded(F.col("text"))
+    return rows.select("doc_id", F.md5(text.html_escaped(F.col("text"))).alias("escaped"), F.md5(encoded).alias("encoded"), text.percent_decoded(encoded).alias("decoded"))
+
+
 @query("select file_id, case when cwd is not null and starts_with(replace(path, '\\', '/'), rtrim(cwd, '/') || '/') then substr(replace(path, '\\', '/'), length(rtrim(cwd, '/')) + 2) else replace(path, '\\', '/') end as path from source_files")
 def normalize_path(spark, d):
     return table(spark, d, "source_files").select("file_id", text.normalize_path(F.col("path"), F.col("cwd")).alias("path"))

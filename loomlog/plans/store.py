@@ -7,6 +7,10 @@ writes new folders and then replaces the pointer in one rename, so that a failed
 from __future__ import annotations
 
 import json
+import os
+import socket
+import threading
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -31,6 +35,8 @@ APPENDED = {"events", "instants"}
 BY_SESSION = {"file_timelines", "preference_examples", "taste_extractions"}
 PARTS = 256
 POINTER, LOCK = "journal.json", "journal.lock"
+#: A writer touches its lock every BEAT seconds; one that hasn't been touched for STALE seconds has no owner any more.
+BEAT, STALE = 30.0, 600.0
 
 
 class Store:
@@ -92,17 +98,60 @@ class Store:
             state["tables"][name] = sorted(set(held) - set(mine)) + [f"{folder}/{part}" for part in sorted(written)]
         self._show(state, run)
 
+    def _owned(self) -> str | None:
+        """Who holds the lock, or None where its owner is gone: a process of this machine that doesn't run, or one that has stopped touching
+        it."""
+        try:
+            owner = json.loads(self._read(LOCK) or "{}")
+            touched = self._fs.getFileStatus(self._path(f"{self.root}/{LOCK}")).getModificationTime() / 1000
+        except Exception:  # another run has just let it go, or is writing it
+            return "another run"
+        if owner.get("host") == socket.gethostname() and owner.get("pid"):
+            try:
+                os.kill(owner["pid"], 0)
+            except ProcessLookupError:
+                return None
+            except PermissionError:
+                pass
+        return None if time.time() - touched > STALE else f"{owner.get('host', 'another machine')}, process {owner.get('pid')}, since {owner.get('since')}"
+
+    def _lock(self, mark: str) -> None:
+        path = self._path(f"{self.root}/{LOCK}")
+        for _ in range(2):
+            try:
+                self._write(LOCK, mark, False)
+                return
+            except Exception as error:
+                if not self._fs.exists(path):
+                    raise
+                owner = self._owned()
+                if owner is not None:
+                    raise RuntimeError(f"another run writes this journal: {owner}") from error
+                left = self._path(f"{self.root}/{LOCK}.left-{uuid.uuid4().hex}")
+                if self._fs.rename(path, left):  # one run alone succeeds in this
+                    self._fs.delete(left, False)
+        raise RuntimeError("another run writes this journal")
+
     @contextmanager
     def writing(self):
-        """The only writer: a lock file that can't be created twice."""
-        try:
-            self._write(LOCK, "locked", False)
-        except Exception as error:
-            raise RuntimeError("another run writes this journal") from error
+        """The only writer: a lock file that can't be created twice, with its owner; it is taken from an owner that is gone."""
+        mark = json.dumps({"host": socket.gethostname(), "pid": os.getpid(), "since": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "run": uuid.uuid4().hex})
+        self._lock(mark)
+        path, done = self._path(f"{self.root}/{LOCK}"), threading.Event()
+
+        def beat() -> None:
+            while not done.wait(BEAT):
+                self._fs.setTimes(path, int(time.time() * 1000), -1)
+
+        thread = threading.Thread(target=beat, daemon=True)
+        thread.start()
         try:
             yield self
         finally:
-            self._fs.delete(self._path(f"{self.root}/{LOCK}"), False)
+            done.set()
+            thread.join()
+            if self._read(LOCK) == mark:
+                self._fs.delete(path, False)
 
     def commit(self, **tables: DataFrame) -> dict[str, int]:
         """Writes new versions (events: what is added) and then shows all of them at once. Returns the rows written."""
@@ -136,6 +185,13 @@ class Store:
         state["tables"][name] = [f"{name}-{run}"]
         self._show(state, run)
 
+    def replace_folders(self, name: str, folders: list[str], df: DataFrame) -> None:
+        """The rows of some folders of an appended table anew, in one folder; the others stay as they are."""
+        run, state = uuid.uuid4().hex[:12], self.state()
+        df.write.option("compression", "zstd").parquet(f"{self.root}/data/{name}-{run}")
+        state["tables"][name] = [f for f in state["tables"][name] if f not in folders] + [f"{name}-{run}"]
+        self._show(state, run)
+
     def unseen(self) -> list[str]:
         """Folders that no pointer names: what runs that failed, or versions since replaced, have left."""
         data = self._path(f"{self.root}/data")
@@ -144,6 +200,10 @@ class Store:
         named = {f.partition("/")[0] for folders in self.state()["tables"].values() for f in folders}
         return sorted({s.getPath().getName() for s in self._fs.listStatus(data)} - named)
 
+    def reclaimable(self) -> int:
+        """The bytes that vacuum() would free."""
+        return sum(self._fs.getContentSummary(self._path(f"{self.root}/data/{f}")).getLength() for f in self.unseen())
+
     def vacuum(self) -> list[str]:
         gone = self.unseen()
         for folder in gone:
