@@ -124,12 +124,12 @@ def test_commands(spark, tmp_path, capsys, monkeypatch):
     assert run("pack", "--output", "x.tar.gz")[1][0]["events"] == 2 and run("pack")[1][0]["archive"].startswith("journal-pack-")
     code, _, error = run("settle", "x.tar.gz")
     assert code == 1 and "holds a journal" in error and run("settle", "x.tar.gz", "--force")[1] == [{"sessions": 1, "events": 2}]
-    assert run("events", "claude_cli", "a", "out")[0] == 0 and run("events", "claude_cli", "b", "out2")[0] == 1
-    assert sorted(len(r.value) for r in spark.read.text("out").collect()) == sorted([len(SMALL), len(BIG)])
+    assert run("events", "claude_cli", "a", f"{tmp_path}/out")[0] == 0 and run("events", "claude_cli", "b", f"{tmp_path}/out2")[0] == 1
+    assert sorted(len(r.value) for r in spark.read.text(f"{tmp_path}/out").collect()) == sorted([len(SMALL), len(BIG)])
     code, _, error = run("extract", "--history", "none", "--session", "claude_cli", "b")
     assert code == 1 and "no session b" in error
     assert run("extract", "--history", "none", "--session", "claude_cli", "a")[1] == [{"sessions": 1, "timeline_rows": 0, "examples": 0}]
-    assert run("labels")[1][0]["examples"] == 0 and run("export", "labels.jsonl")[0] == 0
+    assert run("labels")[1][0]["examples"] == 0 and run("export", f"{tmp_path}/labels")[0] == 0
 
 
 def test_side_chain_ids(spark):
