@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from loomlog.functions import codec, text
 from loomlog.operators import journal, ordered, taste
-from loomlog.plans.sql import RECORDS
+from loomlog.operators.parse_failures import line_reason, valid_records
+from loomlog.plans.sql import RECORDS, VALID
 from loomlog.tables import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -468,19 +469,20 @@ def bash_target(spark, d):
     return table(spark, d, "preference_examples").where("proposal_content is not null").select("example_id", text.bash_target(F.col("proposal_content")).alias("target"))
 
 
+def _at(path: str) -> str:
+    return f"case when json_type(j, '$.{path}') = 'VARCHAR' then json_extract_string(j, '$.{path}') end"
+
+
 @query(
-    """select l.line_id, coalesce(case when json_type(l.raw_line, '$.timestamp') = 'VARCHAR' then json_extract_string(l.raw_line, '$.timestamp') end,
-    case when json_type(l.raw_line, '$.snapshot.timestamp') = 'VARCHAR' then json_extract_string(l.raw_line, '$.snapshot.timestamp') end) as ts
-    from session_lines l where json_valid(l.raw_line) and json_type(l.raw_line) = 'OBJECT' and contains(l.raw_line, '"timestamp"') and not regexp_matches(l.raw_line, '[:,\\[]\\s*(NaN|-?Infinity)') and not regexp_matches(l.raw_line, ',\\s*\\}\\s*$')"""
+    f"""with {VALID} select line_id, coalesce({_at('timestamp')}, {_at('snapshot.timestamp')}, case source when 'claude_local_agent' then {_at('_audit_timestamp')} when 'codex_cli' then {_at('payload.timestamp')} end) as ts from v"""
 )
 def event_timestamp(spark, d):
-    """The time of an event as text: its own, else its snapshot's."""
+    """The time of an event as text: its own, else its snapshot's, else that of its tool's audit or payload."""
     v = F.try_parse_json("raw_line")
     of = lambda path: F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
-    from loomlog.operators.parse_failures import line_reason
-
-    lines = table(spark, d, "session_lines").where(F.contains("raw_line", F.lit('"timestamp"'))).withColumn("reason", line_reason(F.col("raw_line"))).where("reason is null")
-    return lines.select("line_id", F.coalesce(of("$.timestamp"), of("$.snapshot.timestamp")).alias("ts"))
+    lines = table(spark, d, "session_lines").select("line_id", "source", "raw_line").withColumn("reason", line_reason(F.col("raw_line"))).where("reason is null")
+    tool = F.when(F.col("source") == "claude_local_agent", of("$._audit_timestamp")).when(F.col("source") == "codex_cli", of("$.payload.timestamp"))
+    return lines.select("line_id", F.coalesce(of("$.timestamp"), of("$.snapshot.timestamp"), tool).alias("ts"))
 
 
 @query(
@@ -524,6 +526,38 @@ def classify(spark, d):
     return rows.select("example_id", label.alias("l")).select("example_id", "l.*")
 
 
+@query(
+    f"""with {_STATES}, f as (select source, source_session_id, file_path, arg_max({{'c': content}}, seq).c as fin from file_timelines group by all),
+    r as (select s.backup_id, t.file_path, f.fin, s.content as post, coalesce(s.old, '') as old, case t.source_kind when 'inline_snapshot' then 'direct_edit' else 'bash_correlation' end as kind, case t.source_kind when 'inline_snapshot' then 1.0 else 0.6 end as base
+      from s join file_timelines t using (backup_id) left join f on f.source is not distinct from t.source and f.source_session_id is not distinct from t.source_session_id and f.file_path is not distinct from t.file_path),
+    l as (select *, list_distinct(list_filter({_LINES.format('post')}, lambda x: not list_contains({_LINES.format('old')}, x))) as added,
+        list_distinct(list_filter({_LINES.format('old')}, lambda x: not list_contains({_LINES.format('post')}, x))) as removed, {_LINES.format('fin')} as z from r),
+    k as (select *, len(list_filter(added, lambda x: list_contains(z, x))) as there, len(list_filter(removed, lambda x: list_contains(z, x))) as left_over from l),
+    b as (select *, case when file_path is null then 'no path' when fin is null then 'no final' when there = len(added) and left_over = 0 then 'all' when there > 0 and there < len(added) then 'part' else 'none' end as what from k)
+    select backup_id, case what when 'all' then 'accepted' when 'part' then 'edited' else 'rejected' end as outcome,
+      cast(case what when 'no path' then 0.2 when 'no final' then 0.3 when 'part' then greatest(base * 0.5, 0.2) else base end as double) as confidence,
+      case when what in ('no path', 'no final') then 'missing_final_state' else kind end as evidence_kind from b"""
+)
+def classify_states(spark, d):
+    """The label that a proposal would get which turned each known state of a file into the next: by Edit for inline states, by Bash for
+    others."""
+    timeline = table(spark, d, "file_timelines")
+    key = [*taste.KEYS, "file_path"]
+    last = taste.final_states(timeline)
+    rows = (
+        _states(spark, d).select("backup_id", "old_id").join(timeline.select("backup_id", "source_kind", "content", *key), "backup_id")
+        .join(_contents(spark, d, "old_id", "old"), "old_id", "left")
+        .withColumnsRenamed({k: f"own_{k}" for k in key})
+    )
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(f"own_{k}").eqNullSafe(F.col(k))
+    rows = rows.join(last, same, "left")
+    tool = F.when(F.col("source_kind") == "inline_snapshot", "Edit").otherwise("Bash")
+    label = text.classify(tool, F.col("own_file_path"), F.lit(False), F.lit(True), F.lit(True), F.col("old"), F.col("content"), F.col("final"))
+    return rows.select("backup_id", label.alias("l")).select("backup_id", "l.*")
+
+
 @query(
     """select s.session_id, case when s.file_size = f.size and s.content_fingerprint = s.prefix_fingerprint then 'skip' when s.file_size is null then 'append' when f.jsonl and s.next_read_offset > f.size then 'rewrite'
     when f.jsonl and f.size > s.file_size then 'append' else 'rewrite' end as mode
@@ -554,8 +588,6 @@ _FIELDS = "nullif(c[1], '') as source, nullif(c[2], '') as source_session_id, nu
 
 def _records(spark, d) -> DataFrame:
     """The valid error records, each once, with the time at which they were first read."""
-    from loomlog.operators.parse_failures import valid_records
-
     records, read = valid_records(table(spark, d, "error_records")), table(spark, d, "error_records").select("record_id", "read_at")
     return records.join(read, "record_id").groupBy(*journal.ERROR_KEY, "message", "first_seen_at", "last_seen_at", "occurrence_count").agg(F.min("read_at").alias("read_at"))
 
