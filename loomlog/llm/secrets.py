@@ -84,8 +84,8 @@ _BETWEEN = re.compile(
 _FALLBACK = re.compile(r"(?:(?:os\.environ\.get|(?:os\.)?getenv|env|ENV\.fetch)\([^,()\n]*,|[\w.]+(?:\([^()\n]*\)|\[[^\[\]\n]*\])?[ \t]*(?:\?\?|\|\||\bor\b|\?:))[ \t]*(?=[\"'`])")
 _WRAP = re.compile(r"(?:(?:String::from|str|Secret(?:Str)?|SecretString::from|new\s+\w+|bytes|quote|trim|\w+)?\(\s*)?(?:[fFbBrRuU]{1,2}(?=[\"']))?")
 _QUOTED = re.compile(r"""\\?(?P<q>["'`])(?P<v>(?:(?!(?P=q))[^\n\\]|\\(?!["'`]).)*)""")
-_MORE = re.compile(r"""[ \t]*(?:[+\\.]?[ \t]*\r?\n[ \t]*\+?|[+.])[ \t]*[fbru]{0,2}(?P<q>["'])(?P<v>(?:(?!(?P=q))[^\n\\])*)(?P=q)""")
-_BESIDE = re.compile(r"""[ \t]++[fbru]{0,2}(?P<q>["'])(?P<v>(?:(?!(?P=q))[^\n\\])*)(?P=q)""")
+_MORE = re.compile(r"""[ \t]*(?:[+\\.]?[ \t]*\r?\n[ \t]*\+?|[+.])[ \t]*[fbru]{0,2}(?P<q>["'])(?P<v>(?:(?!(?P=q))[^\n\\])*)(?P=q)(?!\s*(?::|=>?|,\s*["'][^"'\n]*["']\s*:))""")
+_BESIDE = re.compile(r"""[ \t]++[fbru]{0,2}(?P<q>["'])(?P<v>(?:(?!(?P=q))[^\n\\])*)(?P=q)(?!\s*(?::|=>?))""")
 _UNQUOTED = re.compile(r"[^\s\"'`,;<>(){}\[\]|&\\]++")
 _FOLDED = re.compile(r":\s*[>|][+-]?[0-9]?[ \t]*\r?\n([ \t]+)(?P<v>[^\s]+)[ \t]*(?=\r?\n|\Z)")
 _NEXT_LINE = re.compile(r"\\?[\"'`]?\]?\s*[:=]\s*\(?\s*\\?\r?\n[ \t]*(?=\\?[\"'`])")

@@ -176,6 +176,11 @@ def test_a_key_without_end_leaves_what_stands_before_the_next():
     assert "\nother_code = run(alpha)\n" in clean and not any(x in clean for x in BODY) and len(secrets.credentials(text)) == 2
 
 
+def test_the_next_name_is_no_part():
+    text = 'password: "abc7Kf9QzL"\n"other_name": "plain words"\n'
+    assert [text[a:b] for a, b in secrets.find(text)] == ["abc7Kf9QzL"]
+
+
 LIST = ["token=abc7Kf9QzL&x=1", "dsn=Server=x;Pwd=Zanru.nek4962;Pooling=true", "redis=password=abc7Kf9QzL,ssl=True"]
 
 
