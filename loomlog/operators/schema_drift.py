@@ -2,11 +2,12 @@
 
 An observed schema graph has a node for each path of names through objects (arrays are leaves), its parent, its name and its
 types, as deep as the listed paths go. There is one for each schema that files have, many files sharing one. Names that no path can hold
-(with a dot or slash, or empty) are counted as left out; names below a parent of more than MAP_NAMES names in one schema are data, and part
-of it only if they are listed. The watched graph holds the paths under which each watched field may stand. Scores flow between the two
-graphs until they no longer change; the pairs are then selected from the roots down, each path once, the best scores first. A path that is
-listed is always selected as itself (see flood); one that isn't may be selected in place of a listed one that the file doesn't have, and
-is reported as inferred. A tool's path belongs to the field that its files' scores are for.
+(with a dot or slash, or empty) are counted as left out. All others take part, however many there are: where a parent has more than MAP_NAMES
+names in one schema, paths that nothing tells apart share a node with their number, which gives each the score that it would have by itself.
+The watched graph holds the paths under which each watched field may stand. Scores flow between the two graphs until they no longer change;
+the pairs are then selected from the roots down, each path once, the best scores first. A path that is listed is always selected as itself
+(see flood); one that isn't may be selected in place of a listed one that the file doesn't have, and is reported as inferred. A tool's path
+belongs to the field that its files' scores are for.
 
 Lines that are no single JSON object, and files without such a line, count for nothing; null values have no type; a null file_id belongs
 to no file.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -34,8 +36,10 @@ DAMPING = 0.1
 #: A pair is selected from this score on, as a share of the roots' own. Where each listed path was taken from the list in turn, all that were
 #: selected got their own field, from a threshold of 0.2 to one of 0.35.
 THRESHOLD = 0.25
-#: A parent with more names than this in one schema holds data under them.
+#: A parent with more names than this in one schema holds data under them. Schemas with such names, and those of more than ONE_BY_ONE paths,
+#: are flooded by groups of paths; the selection is that of all paths one by one, so results don't depend on either.
 MAP_NAMES = 1_000
+ONE_BY_ONE = 10_000
 #: The path of what is left out.
 LEFT_OUT = "\x00left out"
 
@@ -91,12 +95,17 @@ def _alike(a: set, b: set) -> float:
     return len(a & b) / len(a | b) if a or b else 0.0
 
 
+def _spelled(name: str) -> tuple[str, set[str]]:
+    """A name's last word, and the three letters from each of its letters on."""
+    words = _words(name)
+    return words[-1] if words else "", {f" {w} "[i : i + 3] for w in words for i in range(len(w))}
+
+
 @lru_cache(100_000)
 def _named_alike(a: str, b: str) -> float:
     """How alike two names are: the last word says what a value is, the others which one."""
-    x, y = _words(a), _words(b)
-    grams = [{f" {w} "[i : i + 3] for w in words for i in range(len(w))} for words in (x, y)]
-    return 0.6 * bool(x and y and x[-1] == y[-1]) + 0.4 * _alike(*grams)
+    (x, grams), (y, others) = _spelled(a), _spelled(b)
+    return 0.6 * bool(x and x == y) + 0.4 * _alike(grams, others)
 
 
 def _tree(paths: Iterable[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -128,40 +137,91 @@ def _first_scores(left: list[str], right: list[str], paths: dict[str, set[str]],
     return first
 
 
+def _groups(left: list[str], up: list[int], right: list[str], paths: dict[str, set[str]]) -> tuple[list[int], list[int]]:
+    """The group of each node, and the first node of each group.
+
+    Nodes are in one group if their parents are, their first scores are the same, and what is below them is of the same shape: whatever flows
+    to one flows to all. A watched path is a group of its own."""
+    ends = sorted({p.rpartition(".")[2] for p in right})
+    grams = set().union(*(_spelled(m)[1] for m in ends))
+    some = re.compile("|".join(sorted({g.strip() for g in grams})) or "(?!)")
+    watched, plain, names = set(right), {"object"}, {}
+
+    def look(name: str) -> tuple[float, ...]:
+        """How alike a name is to each watched one; few names of data share letters with any."""
+        if name not in names:
+            none = not some.search(name.lower()) or _spelled(name)[1].isdisjoint(grams)
+            names[name] = () if none else tuple(_named_alike.__wrapped__(name, m) for m in ends)
+        return names[name]
+
+    shapes: dict[tuple, int] = {}
+    shape: list[int] = [0] * len(left)
+    below: dict[int, dict[int, int]] = {}
+    for i in range(len(left) - 1, -1, -1):  # a parent stands before its children
+        path = left[i]
+        own = path if path in watched else (look(path.rpartition(".")[2]), frozenset(paths.get(path) or plain))
+        inner = below.pop(i, None)
+        shape[i] = shapes.setdefault((own, inner and frozenset(inner.items())), len(shapes))
+        if i:
+            near = below.setdefault(up[i], {})
+            near[shape[i]] = near.get(shape[i], 0) + 1
+    group, first, found = [0] * len(left), [0], {}
+    for i in range(1, len(left)):
+        group[i] = found.setdefault((group[up[i]], shape[i]), len(first))
+        if group[i] == len(first):
+            first.append(i)
+    return group, first
+
+
 def flood(paths: dict[str, set[str]], aliases: list[tuple[str, str]]) -> list[tuple[str, str, str, float]]:
     """(path, field, listed path, score) of the observed paths that are selected.
 
     Each round adds to a pair's score its first score and DAMPING times what flows from the pair of parents, shared among the pairs of
     children, and back from the children; scores are divided by the largest until they no longer change. At most 4 flows to a pair and
     first scores of pairs of equal paths are ahead by a half, so that these stay ahead of all pairs with one of their paths. From the
-    roots down, the children of each selected pair are paired by falling score, each once, from THRESHOLD times the roots' score on."""
+    roots down, the children of each selected pair are paired by falling score, each once, from THRESHOLD times the roots' score on.
+
+    Paths of one group have one row of scores, which counts as often as there are such children of a parent. Of a group no more children are
+    paired than there are watched ones, the first by name."""
     fields: dict[str, str] = {}
     for field, path in aliases:
         fields.setdefault(path, field)
-    left, up_a, out_a = _tree(paths)
+    left, up, out_a = _tree(paths)
     right, up_b, out_b = _tree(fields)
-    first = _first_scores(left, right, paths, fields)
+    many = len(paths) > ONE_BY_ONE or len(_no_data(paths, aliases)) < len(paths)
+    group, ones = _groups(left, up.tolist(), right, paths) if many else (range(len(left)),) * 2
+    size = np.bincount(group)
+    up_a, out_a = np.asarray(group)[up[ones]], out_a[ones]
+    times = (size / size[up_a])[1:, None]
+    first = _first_scores([left[i] for i in ones], right, paths, fields)
     share = 1.0 / np.outer(out_a, out_b)
     score = first
     while True:
         total = first + score
         flow = (total * share)[np.ix_(up_a, up_b)]
         flow[0, :] = flow[:, 0] = 0
-        np.add.at(flow, (up_a[1:, None], up_b[None, 1:]), total[1:, 1:] * share[np.ix_(up_a[1:], up_b[1:])])
+        np.add.at(flow, (up_a[1:, None], up_b[None, 1:]), times * total[1:, 1:] * share[np.ix_(up_a[1:], up_b[1:])])
         flow[0, 1:] = flow[1:, 0] = 0
         new = total + DAMPING * flow
         new /= new.max()
         if np.abs(new - score).max() < EPSILON:
             break
         score = new
-    below_a, below_b = _children(up_a), _children(up_b)
+    below_a, below_b = _children(up), _children(up_b)
     chosen, todo = [], [(0, 0)]
     while todo:
         a, b = todo.pop()
         if right[b] in fields:
-            chosen.append((left[a], fields[right[b]], right[b], float(score[a, b] / score[0, 0])))
-        free_a, free_b = set(below_a.get(a, ())), set(below_b.get(b, ()))
-        for _, i, j in sorted((-score[i, j], i, j) for i in free_a for j in free_b if score[i, j] >= THRESHOLD * score[0, 0]):
+            chosen.append((left[a], fields[right[b]], right[b], float(score[group[a], b] / score[0, 0])))
+        free_b = set(below_b.get(b, ()))
+        met: Counter = Counter()
+        free_a = set()
+        for i in below_a.get(a, ()) if free_b else ():
+            if met[group[i]] < len(free_b):
+                met[group[i]] += 1
+                free_a.add(i)
+        near = ((score[group[i]], i) for i in free_a)
+        for _, i, j in sorted((-row[j], i, j) for row, i in near for j in free_b if row[j] >= THRESHOLD * score[0, 0]):
             if i in free_a and j in free_b:
                 free_a.discard(i)
                 free_b.discard(j)
@@ -177,7 +237,7 @@ def _children(up: np.ndarray) -> dict[int, list[int]]:
 
 
 def _no_data(kinds: dict[str, set[str]], aliases: list[tuple[str, str]]) -> dict[str, set[str]]:
-    """A schema without the names that are data."""
+    """A schema without the names that are data; where it lacks any, flood groups the paths."""
     names: dict[str, int] = {}
     for p in kinds:
         up = p.rpartition(".")[0]
@@ -186,6 +246,11 @@ def _no_data(kinds: dict[str, set[str]], aliases: list[tuple[str, str]]) -> dict
     return {p: k for p, k in kinds.items() if p in listed or names[p.rpartition(".")[0]] <= MAP_NAMES}
 
 
+@lru_cache(1_000)
+def _with(kinds: frozenset[str], kind: str) -> frozenset[str]:
+    return kinds | {kind}
+
+
 _SELECTED = "source string, path string, field_name string, listed_path string, score double, files long"
 
 
@@ -196,11 +261,12 @@ def correspondences(seen: DataFrame, aliases: list[tuple[str, str]]) -> DataFram
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for source, schema, files in zip(*(c.to_pylist() for c in batch.columns)):
-                kinds: dict[str, set[str]] = {}
-                for x in schema:
-                    kinds.setdefault(x["path"], set()).add(x["type"])
-                out += [(source, *row, files) for row in flood(_no_data(kinds, aliases), aliases)]
+            sources, schemas, files = batch.columns
+            for source, schema, n in zip(sources.to_pylist(), schemas, files.to_pylist()):  # one schema at a time: it can have any number of paths
+                kinds: dict[str, frozenset[str]] = {}
+                for path, kind in zip(*(schema.values.field(x).to_pylist() for x in ("path", "type"))):
+                    kinds[path] = _with(kinds.get(path, frozenset()), kind)
+                out += [(source, *row, n) for row in flood(kinds, aliases)]
             types = [pa.string()] * 4 + [pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 6, types)], names=[x.split()[0] for x in _SELECTED.split(", ")])
 

@@ -190,6 +190,43 @@ def test_names_that_are_data_and_depth():
     assert ("a.b.c.d", "number") in set(schema_drift._paths({"a": {"b": {"c": {"d": 1}}}}, 4)) and (schema_drift.LEFT_OUT, "") in set(schema_drift._paths({"x/y": 1}, 1))
 
 
+def test_names_beside_many_others_are_inferred(spark):
+    """A new name counts beside any number of names that are data, at the root, below a listed parent and in objects named by ids."""
+    many = {f"k{i}": i for i in range(schema_drift.MAP_NAMES + 1)}
+    lines = [{"type": "a", "payload": {"cli_version": "1"}}, {"eventType": "a", "payload": {"clientVersion": "2"} | many} | many, {"eventType": "b", "payload": {k: {"v": 1} for k in many} | {"clientVersion": "3"}}]
+    df = spark.createDataFrame([(i, i, "s", i, 0, json.dumps(x), "") for i, x in enumerate(lines, 1)], LINES)
+    files = spark.createDataFrame([(k, "r", dt.datetime(2026, 1, k)) for k in (1, 2, 3)], "file_id long, source_root string, opened_at timestamp_ntz")
+    v = "payload.cli_version"
+    aliases = [(v, v), ("type", "type"), ("type", "event_type")]
+    got = {(r.file_id, r.field_name, r.change, r.listed) for r in schema_drift.drift(df, files, aliases, stored).collect()}
+    assert got == {(2, v, "removed", True), (2, v, "renamed", False), (2, "type", "removed", True), (2, "type", "renamed", False)}
+    seen = stored(schema_drift.observed(df, schema_drift.depth_of(aliases)), "schemas")
+    report = {r.path: r for r in schema_drift.report(seen, schema_drift.correspondences(seen, aliases)).collect()}
+    assert report["payload.clientVersion"].field_name == v and report["payload.clientVersion"].files == 2 and report["eventType"].field_name == "type" and {"k7", "payload.k7"} < set(report)
+
+
+def test_flooding_by_groups_selects_as_one_by_one(spark, monkeypatch):
+    aliases = schema_drift.alias_list(table(spark, D, "field_aliases"))
+    r = random.Random(11)
+    words = ["version", "cliVersion", "type", "kind", "payload", "body", "entry", "client", "data", "clientVersion", "event", "build"]
+    saved = 0
+    for _ in range(100):
+        some = {".".join(r.choice(words) for _ in range(r.randrange(1, 4))) for _ in range(r.randrange(20))}
+        for _ in range(r.randrange(4)):  # names that are data, with and without objects below them
+            below, end = r.choice(["", *(f"{p}." for p in some)]), r.choice(["", "_version", "Type", "x"])
+            for k in range(r.randrange(50)):
+                some |= {f"{below}{r.choice('abk')}{k}{end}"} | ({f"{below}k{k}{end}.{r.choice(words)}"} if r.random() < 0.3 else set())
+        schema = with_parents({p: {r.choice(["string", "number", "array"])} for p in some})
+        want = schema_drift.flood(schema, aliases)
+        with monkeypatch.context() as m:
+            m.setattr(schema_drift, "ONE_BY_ONE", 0)
+            got = schema_drift.flood(schema, aliases)
+        assert [x[:3] for x in got] == [x[:3] for x in want] and [x[3] for x in got] == pytest.approx([x[3] for x in want], abs=1e-9)
+        left, up, _ = schema_drift._tree(schema)
+        saved += len(left) - len(schema_drift._groups(left, up.tolist(), schema_drift._tree(p for _, p in aliases)[0], schema)[1])
+    assert saved > 1000
+
+
 def test_inferred_renames(spark):
     """Without the flooding, a lookup of listed paths would see neither the new name nor the rename."""
     line = lambda name, v: json.dumps({"type": "a", "payload": {name: v, "id": "x"}})
