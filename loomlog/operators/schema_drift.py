@@ -40,6 +40,10 @@ THRESHOLD = 0.25
 #: are flooded by groups of paths; the selection is that of all paths one by one, so results don't depend on either.
 MAP_NAMES = 1_000
 ONE_BY_ONE = 10_000
+#: So many combinations are counted before they are handed on, to be summed with others of their kind.
+COUNTED = 200_000
+#: So many lines of a batch are texts in Python at once.
+LINES = 500
 #: The path of what is left out.
 LEFT_OUT = "\x00left out"
 
@@ -65,23 +69,29 @@ def observed(lines: DataFrame, depth: int) -> DataFrame:
     """(file_id, source, path, type, n): what each file's counting lines hold; the path '' stands for a counting line, LEFT_OUT for a name that
     no path can hold.
 
-    Each batch of rows is reduced to its distinct combinations before anything is shuffled."""
+    Each batch of rows is reduced to its distinct combinations before anything is shuffled, COUNTED of them at a time."""
+
+    def counted(seen: dict[tuple, int]) -> pa.RecordBatch:
+        columns = list(zip(*seen)) or [[], [], [], []]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:]), pa.array(list(seen.values()), pa.int64())],
+            names=["file_id", "source", "path", "type", "n"],
+        )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[tuple, int] = {}
-            for file_id, source, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            for file_id, source, raw in (row for k in range(0, batch.num_rows, LINES) for row in zip(*(c.to_pylist() for c in batch.slice(k, LINES).columns))):
                 value = load_object(raw)
                 if value is None or file_id is None:
                     continue
                 for path, kind in (("", ""), *_paths(value, depth)):
                     key = (file_id, source or "", path, kind)
                     seen[key] = seen.get(key, 0) + 1
-            columns = list(zip(*seen)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:]), pa.array(list(seen.values()), pa.int64())],
-                names=["file_id", "source", "path", "type", "n"],
-            )
+                if len(seen) >= COUNTED:
+                    yield counted(seen)
+                    seen = {}
+            yield counted(seen)
 
     rows = lines.select("file_id", "source", "raw_line").mapInArrow(run, "file_id long, source string, path string, type string, n long")
     return rows.groupBy("file_id", "source", "path", "type").agg(F.sum("n").alias("n"))
@@ -143,15 +153,16 @@ def _groups(left: list[str], up: list[int], right: list[str], paths: dict[str, s
     Nodes are in one group if their parents are, their first scores are the same, and what is below them is of the same shape: whatever flows
     to one flows to all. A watched path is a group of its own."""
     ends = sorted({p.rpartition(".")[2] for p in right})
-    grams = set().union(*(_spelled(m)[1] for m in ends))
+    spelled = [_spelled(m) for m in ends]
+    grams = set().union(*(g for _, g in spelled))
     some = re.compile("|".join(sorted({g.strip() for g in grams})) or "(?!)")
     watched, plain, names = set(right), {"object"}, {}
 
-    def look(name: str) -> tuple[float, ...]:
+    def look(name: str) -> tuple[tuple[bool, float], ...]:
         """How alike a name is to each watched one; few names of data share letters with any."""
         if name not in names:
-            none = not some.search(name.lower()) or _spelled(name)[1].isdisjoint(grams)
-            names[name] = () if none else tuple(_named_alike.__wrapped__(name, m) for m in ends)
+            x, own = _spelled(name) if some.search(name.lower()) else ("", set())
+            names[name] = () if own.isdisjoint(grams) else tuple((x == y, _alike(own, g)) for y, g in spelled)
         return names[name]
 
     shapes: dict[tuple, int] = {}
